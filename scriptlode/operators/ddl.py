@@ -376,3 +376,12 @@ def insert_columns(stmts: DataFrame) -> DataFrame:
     return (rows.select("repo_url", "file_id", "stmt_seq", "stmt_id", "table_ref",
                         F.posexplode("cols").alias("clause_seq", "col_name"))
             .filter(~F.col("col_name").contains(" ")))
+
+
+_TARGETS = {"create": _CREATE_NAME, "ctas": _CTAS_NAME, "alter": _ALTER_NAME, "index": _INDEX_ON,
+            "insert": _INSERT_INTO}
+
+
+def target_name(stmt: Column, kind: str) -> Column:
+    """Table a statement is about; null when the statement has not the form of its kind."""
+    return _name(stmt, _TARGETS[kind])
