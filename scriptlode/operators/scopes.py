@@ -19,7 +19,8 @@ _KEYS = ["repo_url", "file_id", "stmt_id"]
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """Add q: the statement without hints and with empty literals."""
-    return queries.withColumn("q", X.mask_literals(X.strip_hints(F.col("stmt"))))
+    plain = X.mask_literals(X.strip_hints(F.col("stmt")))
+    return queries.withColumn("q", F.regexp_replace(plain, r"\s+", " "))
 
 
 def is_union(queries: DataFrame) -> DataFrame:

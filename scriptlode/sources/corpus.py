@@ -78,7 +78,7 @@ select status st, Sum(price) total FROM {T} where kind = 3 group by st union all
 """,
     9: """select x.id, y.n from {T} x join (select id as rid, kind, count(id) as n from {U} where kind > 2 group by id, kind) y on x.id = y.rid and y.kind <= x.kind
   \t
-select * from {T}, {U} where {T}.id = {U}.id and {T}.code <> {U}.code and userName = note;
+select * from {T} (nolock), {U} where {T}.id (+) = {U}.id and {T}.code <> {U}.code and userName = note;
 select t.price from {T} t where exists (select 1 from {U} u where u.id = t.id and u.status in ('a', 'b'))
 """,
 }
