@@ -6,9 +6,11 @@ stack in the executor JVM.
 
 from pyspark.sql import Column, functions as F
 
-# One name part, quoted or bare, and a dotted name.
-IDENT = r"""(?:`[^`]+`|"[^"]+"|\[[^\]]+\]|'[^']+'|[^\s()`"'\[\],;]+)"""
-NAME = IDENT + r"(?:\s*\.\s*" + IDENT + r")*+"
+# A column name, a part of a table name, and a dotted table name; parts may be quoted.
+_QUOTED = r"""`[^`]+`|"[^"]+"|\[[^\]]+\]|'[^']+'"""
+IDENT = rf"""(?:{_QUOTED}|[^\s()`"'\[\],;]+)"""
+_PART = rf"""(?:{_QUOTED}|[^\s()`"'\[\],;.]+)"""
+NAME = _PART + r"(?:\s*\.[\s.]*" + _PART + r")*+"
 
 _COMMENT = r"('[^'\n]*')|--[^\n]*|(?s:/\*.*?\*/)|#[ \t][^\n]*"
 
@@ -94,18 +96,26 @@ def to_snake(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1_$2"))
 
 
-def _fold(tokens, zero, step, finish):
-    return F.aggregate(tokens, zero, step, finish)
-
-
 def _delta(t):
     return F.when(t == "(", F.lit(1)).when(t == ")", F.lit(-1)).otherwise(F.lit(0))
 
 
+def _let(value: Column, use) -> Column:
+    """Evaluate an expression once and use it several times."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+# A parenthesis group of at most three levels; deeper or unbalanced ones take the exact fold.
+_GROUP = r"\([^()]*+\)"
+for _ in range(2):
+    _GROUP = rf"\((?:[^()]++|{_GROUP})*+\)"
+
+
 def split_top(c: Column) -> Column:
     """Items of a comma list; commas inside parentheses do not split, at any depth.
 
-    Runs inside the row (no shuffle); a text without parentheses takes the plain split.
+    Runs inside the row (no shuffle). Texts without parentheses take the plain split, shallow
+    ones a pattern, all others a fold over the tokens.
     """
     tokens = F.regexp_extract_all(c, F.lit(r"[(),]|[^(),]+"), F.lit(0))
     zero = F.struct(F.lit(0).alias("d"), F.lit("").alias("cur"),
@@ -118,8 +128,13 @@ def split_top(c: Column) -> Column:
             F.when(cut, F.lit("")).otherwise(F.concat(a["cur"], t)).alias("cur"),
             F.when(cut, F.array_append(a["out"], a["cur"])).otherwise(a["out"]).alias("out"))
 
-    folded = _fold(tokens, zero, step, lambda a: F.array_append(a["out"], a["cur"]))
-    items = F.when(F.contains(c, F.lit("(")), folded).otherwise(F.split(c, ","))
+    def shallow_or_fold(items):
+        whole = F.array_join(items, ",") == c
+        return F.when(whole, items).otherwise(
+            F.aggregate(tokens, zero, step, lambda a: F.array_append(a["out"], a["cur"])))
+
+    shallow = F.regexp_extract_all(c, F.lit(rf"(?:[^,()]++|{_GROUP})++"), F.lit(0))
+    items = F.when(F.contains(c, F.lit("(")), _let(shallow, shallow_or_fold)).otherwise(F.split(c, ","))
     return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -141,7 +156,12 @@ def first_group(c: Column) -> Column:
             F.when(closes | opens, a["cur"]).otherwise(F.concat(a["cur"], t)).alias("cur"),
             closes.alias("done")))
 
-    return F.when(at > 0, _fold(tokens, zero, step, lambda a: a["cur"]))
+    def shallow_or_fold(group):
+        return F.when(group != "", F.substring(group, F.lit(2), F.length(group) - 2)).otherwise(
+            F.aggregate(tokens, zero, step, lambda a: a["cur"]))
+
+    shallow = F.regexp_extract(c, rf"^[^(]*+({_GROUP})", 1)
+    return F.when(at > 0, _let(shallow, shallow_or_fold))
 
 
 def outer_text(c: Column) -> Column:
@@ -154,8 +174,8 @@ def outer_text(c: Column) -> Column:
         return F.struct((a["d"] + _delta(t)).alias("d"),
                         F.when(keep, F.concat(a["cur"], t)).otherwise(a["cur"]).alias("cur"))
 
-    folded = _fold(tokens, zero, step, lambda a: a["cur"])
-    return F.when(F.contains(c, F.lit("(")), folded).otherwise(c)
+    folded = F.aggregate(tokens, zero, step, lambda a: a["cur"])
+    return F.when(c.rlike("[()]"), folded).otherwise(c)
 
 
 def ident_list(c: Column) -> Column:

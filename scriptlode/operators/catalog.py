@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import text as X
 from ..functions.fixed import base_type_rows
-from ..session import cut
+from ..session import cut, cut_all
 from . import ddl
 
 
@@ -33,12 +33,10 @@ def table_versions(facts: DataFrame) -> DataFrame:
             .withColumn("n_keys", F.size("keys") + F.size("fks")))
 
 
-_VERSION_ORDER = (F.desc("n_cols"), F.desc("n_keys"), F.desc("file_id"), F.desc("stmt_seq"))
-
-
 def pick_tables(versions: DataFrame) -> DataFrame:
     """One version per (repo, name): most columns, then most keys, then the newest."""
-    return _top1(versions, ["repo_url", "table_name"], *_VERSION_ORDER)
+    return _top1(versions, ["repo_url", "table_name"],
+                 F.desc("n_cols"), F.desc("n_keys"), F.desc("file_id"), F.desc("stmt_seq"))
 
 
 def dropped_versions(versions: DataFrame, picked: DataFrame) -> DataFrame:
@@ -121,26 +119,38 @@ def first_owner(columns: DataFrame) -> DataFrame:
                  ["repo_url", "lcol"], "file_id", "stmt_seq", "table_name")
 
 
-def _adopt(refs: DataFrame, tables: DataFrame):
-    """Names of refs resolved; an unknown name becomes a table, spelled as in its first use.
+def adopt_names(refs: DataFrame, tables: DataFrame) -> DataFrame:
+    """Names used by later stages, each with the table it means.
 
-    Returns (mapping of repo_url, table_ref to table_name, new tables).
+    Input: repo_url, table_ref, stage, file_id, stmt_seq, stmt_id. An unknown name becomes a new
+    table, spelled as in its first use; names with the same last part mean the same new table.
+    Output adds table_name and is_new; the row of a new table is the one with its own name.
     """
-    first = refs.groupBy("repo_url", "table_ref").agg(
-        F.min(F.struct("file_id", "stmt_seq", "stmt_id")).alias("at"))
+    at = ["stage", "file_id", "stmt_seq", "stmt_id"]
+    first = refs.groupBy("repo_url", "table_ref").agg(F.min(F.struct(*at)).alias("at"))
     known = (first.join(resolve_table(first, tables), ["repo_url", "table_ref"], "left")
              .withColumn("lbase", X.last_part(F.lower("table_ref"))))
     new = (known.filter(F.col("table_name").isNull()).groupBy("repo_url", "lbase")
            .agg(F.min(F.struct("at", "table_ref")).alias("first")))
-    mapping = known.join(
+    return known.join(
         new.select("repo_url", "lbase", F.col("first.table_ref").alias("new_name")),
         ["repo_url", "lbase"], "left").select(
-        "repo_url", "table_ref", F.coalesce("table_name", "new_name").alias("table_name"))
-    new_tables = new.select("repo_url", F.col("first.table_ref").alias("table_name"),
-                            F.col("first.at.file_id").alias("file_id"),
-                            F.col("first.at.stmt_seq").alias("stmt_seq"),
-                            F.col("first.at.stmt_id").alias("stmt_id"))
-    return mapping, new_tables
+        "repo_url", "table_ref", F.coalesce("table_name", "new_name").alias("table_name"),
+        F.col("table_name").isNull().alias("is_new"), "at.*")
+
+
+def new_tables(names: DataFrame, stages=("alter", "insert")) -> DataFrame:
+    return (names.filter(F.col("is_new") & (F.col("table_ref") == F.col("table_name"))
+                         & F.col("stage").isin(*stages)).select(*_TABLE))
+
+
+def first_mentions(rows: DataFrame) -> DataFrame:
+    """The first mention of each column of each table name; repeats are dropped before the
+    shuffle, so a table filled by very many statements costs little."""
+    return (rows.withColumn("lcol", F.lower("col_name")).groupBy("repo_url", "table_ref", "lcol")
+            .agg(F.min(F.struct("file_id", "stmt_seq", F.col("clause_seq").alias("ord"), "stmt_id",
+                                "col_name", "col_type", "not_null")).alias("c"))
+            .select("repo_url", "table_ref", "lcol", "c.*"))
 
 
 _TABLE = ["repo_url", "table_name", "file_id", "stmt_seq", "stmt_id"]
@@ -148,17 +158,15 @@ _COLUMN = ["repo_url", "table_name", "col_name", "lcol", "col_type", "not_null",
            "file_id", "stmt_seq", "ord"]
 
 
-def _new_columns(rows: DataFrame, mapping: DataFrame, columns: DataFrame, origin: str) -> DataFrame:
-    """Columns named by later statements that their table lacks: the first mention of each."""
-    first = (rows.withColumn("lcol", F.lower("col_name"))
-             .groupBy("repo_url", "table_ref", "lcol")
-             .agg(F.min(F.struct("file_id", "stmt_seq", "clause_seq", "col_name", "col_type",
-                                 "not_null")).alias("c")))
-    named = (first.join(mapping, ["repo_url", "table_ref"])
-             .groupBy("repo_url", "table_name", "lcol").agg(F.min("c").alias("c")))
-    return (named.join(columns, ["repo_url", "table_name", "lcol"], "left_anti")
-            .select("repo_url", "table_name", "lcol", "c.*", F.lit(origin).alias("origin"))
-            .withColumnRenamed("clause_seq", "ord").select(*_COLUMN))
+def merge_columns(base: DataFrame, mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """Columns of the created tables and, where they lack it, of later statements.
+
+    One pick per (repo, table, column): created before altered before inserted, then the first.
+    """
+    later = mentions.join(names.select("repo_url", "table_ref", "table_name"), ["repo_url", "table_ref"])
+    rows = base.unionByName(later.select(*_COLUMN))
+    rank = F.when(F.col("origin") == "create", 0).when(F.col("origin") == "alter", 1).otherwise(2)
+    return _top1(rows, ["repo_url", "table_name", "lcol"], rank, "file_id", "stmt_seq", "ord")
 
 
 def ctas_columns(items: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
@@ -319,72 +327,77 @@ class Catalog:
 
     versions: DataFrame
     picked: DataFrame
-    base_columns: DataFrame
-    alter_columns: DataFrame
-    insert_columns: DataFrame
+    names: DataFrame
     all_tables: DataFrame
     tables: DataFrame
     columns: DataFrame
     later_keys: DataFrame
     keys: DataFrame
-    indexes: DataFrame
     fks: DataFrame
 
+    def columns_before_inserts(self) -> DataFrame:
+        return self.columns.filter(F.col("origin") != "insert")
+
+    def indexes(self) -> DataFrame:
+        return self.keys.filter(F.col("key_type").isin("Index", "UniqueIndex")).withColumnRenamed(
+            "key_type", "index_type")
+
+
+_KEY = ["repo_url", "table_name", "stmt_id", "clause_seq", "file_id", "stmt_seq", "key_type", "cols"]
+_FK = ["repo_url", "file_id", "stmt_seq", "stmt_id", "clause_seq", "table_ref", "cols", "ref_table",
+       "ref_cols"]
 
-def build_catalog(stmts: DataFrame, cut_lineage: bool = True) -> Catalog:
+
+def build_catalog(stmts: DataFrame) -> Catalog:
     """Resolve DDL statements to a catalog.
 
-    Stages see what earlier ones made: create, alter, insert; foreign keys see everything. With
-    cut_lineage (the default) parsed statements and the main fact tables are written to the shared
-    folder, so the text is read and parsed once and not once per fact table.
+    Stages see what earlier ones made: create, alter, insert; foreign keys see everything. Every
+    step is written to the shared folder: the text is scanned once, each statement is parsed once,
+    and the joins read small typed tables.
     """
-    stmts = cut(stmts) if cut_lineage else stmts
-    facts = ddl.create_facts(stmts)
-    created = table_versions(cut(facts) if cut_lineage else facts)
+    stmts = cut(stmts, "kind")
+    untyped = [F.lit(None).cast("string").alias("col_type"), F.lit(False).alias("not_null")]
+    created, items, altered, indexed, inserted = cut_all([
+        table_versions(ddl.create_facts(stmts)), ddl.ctas_items(stmts),
+        ddl.alter_facts(ddl.alter_clauses(stmts)), ddl.create_index(stmts),
+        first_mentions(ddl.insert_columns(stmts).select("*", *untyped))])
+
     first_pick = pick_tables(created)
-    ctas = ctas_columns(ddl.ctas_items(stmts), first_pick, _columns_of(first_pick, "create"))
+    ctas = ctas_columns(items, first_pick, _columns_of(first_pick, "create"))
     versions = created.unionByName(_ctas_versions(ctas, created))
-    picked = pick_tables(versions)
-    picked = cut(picked) if cut_lineage else picked
-    base_tables, base_columns = picked.select(*_TABLE), _columns_of(picked, "create")
-
-    clauses = ddl.alter_clauses(stmts)
-    altered, new_by_alter = _adopt(clauses, base_tables)
-    tables_a = base_tables.unionByName(new_by_alter)
-    alter_columns = _new_columns(ddl.alter_columns(clauses), altered, base_columns, "alter")
-    columns_a = base_columns.unionByName(alter_columns)
-
-    inserted = ddl.insert_columns(stmts).withColumn("col_type", F.lit(None).cast("string")).withColumn(
-        "not_null", F.lit(False))
-    targets, new_by_insert = _adopt(inserted, tables_a)
-    all_tables = tables_a.unionByName(new_by_insert)
-    insert_columns = _new_columns(inserted, targets, columns_a, "insert")
-    columns = columns_a.unionByName(insert_columns)
-    if cut_lineage:
-        all_tables, columns = cut(all_tables), cut(columns)
-
-    key_cols = ["repo_url", "table_name", "stmt_id", "clause_seq", "file_id", "stmt_seq", "key_type", "cols"]
-    altered_keys = ddl.alter_keys(clauses).join(altered, ["repo_url", "table_ref"])
-    index_rows = ddl.create_index(stmts)
-    index_keys = index_rows.join(resolve_table(index_rows, tables_a), ["repo_url", "table_ref"])
-    later_keys = altered_keys.select(*key_cols).unionByName(index_keys.select(*key_cols))
+    picked = cut(pick_tables(versions))
+    base_tables = picked.select(*_TABLE)
+
+    at = ["repo_url", "table_ref", "file_id", "stmt_seq", "stmt_id"]
+    # A statement that only names a table still makes it known.
+    heads = stmts.filter(F.col("kind") == "alter_table").withColumn(
+        "table_ref", ddl.target_name(F.col("stmt"), "alter")).filter(F.col("table_ref").isNotNull())
+    refs = heads.select(*at, F.lit("alter").alias("stage")).unionByName(
+        inserted.select(*at, F.lit("insert").alias("stage")))
+    names = cut(adopt_names(refs, base_tables))
+    all_tables = base_tables.unionByName(new_tables(names))
+
+    mentions = first_mentions(ddl.alter_columns(altered)).withColumn("origin", F.lit("alter")).unionByName(
+        inserted.withColumn("origin", F.lit("insert")))
+    columns = cut(merge_columns(_columns_of(picked, "create"), mentions, names))
+
+    altered_keys = ddl.alter_keys(altered).join(
+        names.select("repo_url", "table_ref", "table_name"), ["repo_url", "table_ref"])
+    known = base_tables.unionByName(new_tables(names, ("alter",)))
+    index_keys = indexed.join(resolve_table(indexed, known), ["repo_url", "table_ref"])
+    later_keys = altered_keys.select(*_KEY).unionByName(index_keys.select(*_KEY))
     own_keys = (picked.select(*_TABLE, F.inline("keys"))
-                .withColumn("clause_seq", F.col("seq")).select(*key_cols))
-    keys = own_keys.unionByName(valid_keys(later_keys, columns_a).select(*key_cols))
-    keys = cut(keys) if cut_lineage else keys
-    indexes = keys.filter(F.col("key_type").isin("Index", "UniqueIndex")).withColumnRenamed(
-        "key_type", "index_type")
-
-    fk_cols = ["repo_url", "file_id", "stmt_seq", "stmt_id", "clause_seq", "table_ref", "cols",
-               "ref_table", "ref_cols"]
+                .withColumn("clause_seq", F.col("seq")).select(*_KEY))
+    before_inserts = columns.filter(F.col("origin") != "insert")
+    keys = cut(own_keys.unionByName(valid_keys(later_keys, before_inserts).select(*_KEY)))
+
     own_fks = (created.select("repo_url", "file_id", "stmt_seq", "stmt_id",
                               F.col("table_name").alias("table_ref"), F.inline("fks"))
-               .withColumn("clause_seq", F.col("seq")).select(*fk_cols))
-    fk_refs = own_fks.unionByName(ddl.alter_fk(clauses).select(*fk_cols))
-    fks = resolve_fks(fk_refs, all_tables, columns, keys)
-    fks = cut(fks) if cut_lineage else fks
-    return Catalog(versions, picked, base_columns, alter_columns, insert_columns, all_tables,
-                   finalize_catalog(all_tables, columns), columns, later_keys, keys, indexes, fks)
+               .withColumn("clause_seq", F.col("seq")).select(*_FK))
+    fk_refs = own_fks.unionByName(ddl.alter_fk(altered).select(*_FK))
+    fks = cut(resolve_fks(fk_refs, all_tables, columns, keys))
+    return Catalog(versions, picked, names, all_tables, finalize_catalog(all_tables, columns), columns,
+                   later_keys, keys, fks)
 
 
 # --- nearest names -----------------------------------------------------------------------------

@@ -298,60 +298,63 @@ def alter_kind(clause: Column) -> Column:
             .when(low.rlike(r"^add\b") & ~constraint, "column"))
 
 
-def _alter(rows: DataFrame, *kinds: str) -> DataFrame:
-    return (rows.withColumn("alter_kind", alter_kind(F.col("clause")))
-            .filter(F.col("alter_kind").isin(*kinds)))
-
-
-def alter_keys(rows: DataFrame) -> DataFrame:
-    """Keys added by alter table: primary, unique, unique index and candidate keys."""
+def alter_facts(rows: DataFrame) -> DataFrame:
+    """What each alter clause adds: a key, a foreign key or a column; each clause by itself."""
     kind, clause = F.col("alter_kind"), F.col("clause")
-    pattern = (F.when(kind == "pk", X.group_of(clause, rf"(?i)primary\s+key[^(]*{_COLS}"))
-               .when(kind == "key", X.group_of(clause, rf"(?i)\bkey\b[^(]*{_COLS}"))
-               .otherwise(X.group_of(clause, rf"(?i)\bunique\b[^(]*{_COLS}")))
+    rows = rows.withColumn("alter_kind", alter_kind(clause)).filter(kind.isNotNull())
+    listed = (F.when(kind == "pk", X.group_of(clause, rf"(?i)primary\s+key[^(]*{_COLS}"))
+              .when(kind == "key", X.group_of(clause, rf"(?i)\bkey\b[^(]*{_COLS}"))
+              .when(kind == "fk", X.group_of(clause, _FK, 1))
+              .when(kind != "column", X.group_of(clause, rf"(?i)\bunique\b[^(]*{_COLS}")))
     key_type = (F.when(kind == "pk", "PrimaryKey").when(kind == "key", "CandidateKey")
-                .when(kind == "unique_index", "UniqueIndex").otherwise("UniqueKey"))
-    return (_alter(rows, "pk", "unique_key", "unique_index", "key")
-            .withColumn("key_type", key_type).withColumn("cols", X.ident_list(pattern))
-            .filter(F.col("cols").isNotNull())
-            .select("repo_url", "file_id", "stmt_seq", "stmt_id", "clause_seq", "table_ref",
-                    "key_type", "cols"))
+                .when(kind == "unique_index", "UniqueIndex").when(kind == "unique_key", "UniqueKey"))
+    tail = F.regexp_replace(clause, r"(?i)^add\s+(?:column\s+)?(?:if not exists\s+)?", "")
+    is_column, is_fk = kind == "column", kind == "fk"
+    rows = (rows.withColumn("key_type", key_type).withColumn("cols", X.ident_list(listed))
+            .withColumn("ref_table", F.when(is_fk, _name(clause, _FK_TABLE)))
+            .withColumn("ref_cols", F.when(is_fk, F.coalesce(X.ident_list(X.group_of(clause, _FK, 3)), "cols")))
+            .withColumn("tail", F.when(is_column, tail))
+            .withColumn("col_name", F.when(is_column, _first_ident(F.col("tail"))))
+            .withColumn("col_type", F.when(is_column, _type_after_name(F.col("tail"))))
+            .withColumn("not_null", F.lower(clause).contains("not null")))
+    good_column = ((F.col("col_name") != "") & F.col("col_type").rlike(_KNOWN_TYPE)
+                   & ~F.lower("tail").rlike(_NO_COLUMN_HEAD))
+    keep = (F.when(is_column, good_column)
+            .when(is_fk, F.col("cols").isNotNull() & F.col("ref_table").isNotNull())
+            .otherwise(F.col("cols").isNotNull()))
+    return rows.filter(keep).select(
+        "repo_url", "file_id", "stmt_seq", "stmt_id", "clause_seq", "table_ref", "key_type", "cols",
+        "ref_table", "ref_cols", "col_name", "col_type", "not_null")
+
+
+_ALTER_HEAD = ("repo_url", "file_id", "stmt_seq", "stmt_id", "clause_seq", "table_ref")
+
+
+def alter_keys(facts: DataFrame) -> DataFrame:
+    """Keys added by alter table: primary, unique, unique index and candidate keys."""
+    return facts.filter(F.col("key_type").isNotNull()).select(*_ALTER_HEAD, "key_type", "cols")
 
 
-def alter_pk(rows: DataFrame) -> DataFrame:
-    return alter_keys(rows).filter(F.col("key_type") == "PrimaryKey")
+def alter_pk(facts: DataFrame) -> DataFrame:
+    return alter_keys(facts).filter(F.col("key_type") == "PrimaryKey")
 
 
-def alter_unique(rows: DataFrame) -> DataFrame:
-    return alter_keys(rows).filter(F.col("key_type").startswith("Unique"))
+def alter_unique(facts: DataFrame) -> DataFrame:
+    return alter_keys(facts).filter(F.col("key_type").startswith("Unique"))
 
 
-def alter_key(rows: DataFrame) -> DataFrame:
-    return alter_keys(rows).filter(F.col("key_type") == "CandidateKey")
+def alter_key(facts: DataFrame) -> DataFrame:
+    return alter_keys(facts).filter(F.col("key_type") == "CandidateKey")
 
 
-def alter_fk(rows: DataFrame) -> DataFrame:
-    clause = F.col("clause")
-    cols, given = X.ident_list(X.group_of(clause, _FK, 1)), X.ident_list(X.group_of(clause, _FK, 3))
-    return (_alter(rows, "fk").withColumn("cols", cols)
-            .withColumn("ref_table", _name(clause, _FK_TABLE))
-            .withColumn("ref_cols", F.coalesce(given, F.col("cols")))
-            .filter(F.col("cols").isNotNull() & F.col("ref_table").isNotNull())
-            .select("repo_url", "file_id", "stmt_seq", "stmt_id", "clause_seq", "table_ref",
-                    "cols", "ref_table", "ref_cols"))
+def alter_fk(facts: DataFrame) -> DataFrame:
+    return facts.filter(F.col("ref_table").isNotNull()).select(*_ALTER_HEAD, "cols", "ref_table", "ref_cols")
 
 
-def alter_columns(rows: DataFrame) -> DataFrame:
+def alter_columns(facts: DataFrame) -> DataFrame:
     """Columns named by ADD [COLUMN], before the check whether they exist."""
-    tail = F.regexp_replace("clause", r"(?i)^add\s+(?:column\s+)?(?:if not exists\s+)?", "")
-    return (_alter(rows, "column").withColumn("tail", tail)
-            .withColumn("col_name", _first_ident(F.col("tail")))
-            .withColumn("col_type", _type_after_name(F.col("tail")))
-            .filter((F.col("col_name") != "") & F.col("col_type").rlike(_KNOWN_TYPE)
-                    & ~F.lower("tail").rlike(_NO_COLUMN_HEAD))
-            .withColumn("not_null", F.lower("clause").contains("not null"))
-            .select("repo_url", "file_id", "stmt_seq", "stmt_id", "clause_seq", "table_ref",
-                    "col_name", "col_type", "not_null"))
+    return facts.filter(F.col("col_name").isNotNull()).select(
+        *_ALTER_HEAD, "col_name", "col_type", "not_null")
 
 
 def create_index(stmts: DataFrame) -> DataFrame:

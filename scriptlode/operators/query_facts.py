@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 from ..functions.fixed import MIRRORED
-from ..session import cut
+from ..session import cut, cut_all
 from . import scopes as Q
 from .catalog import Catalog, resolve_column, resolve_table
 
@@ -83,13 +83,11 @@ def _outer(rows: DataFrame, tables: DataFrame) -> DataFrame:
     names = tables.select(
         "stmt_id", F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"), "table_ref", "child",
         F.explode(F.array_distinct(F.array_compact(F.array("alias", F.lower("table_ref"))))).alias("prefix"))
-    near = asked.join(names, ["stmt_id", "prefix"], "left").filter(
-        F.col("t_lo").isNull() | ((F.col("t_lo") < F.col("lo")) & (F.col("t_hi") >= F.col("lo"))))
-    best = near.groupBy(*_REF, "lcol", "prefix").agg(
-        F.max(F.when(F.col("t_lo").isNotNull(), F.struct("t_lo", "table_ref", "child"))).alias("t"))
-    # An alias that is bound only in scopes that do not enclose this one names a table.
-    all_asked = asked.join(best, [*_REF, "lcol", "prefix"], "left")
-    return all_asked.select(
+    encloses = (F.col("t_lo") < F.col("lo")) & (F.col("t_hi") >= F.col("lo"))
+    best = asked.join(names, ["stmt_id", "prefix"], "left").groupBy(*_REF, "mode", "lcol", "prefix").agg(
+        F.max(F.when(encloses, F.struct("t_lo", "table_ref", "child"))).alias("t"))
+    # An alias that no enclosing scope binds names a table.
+    return best.select(
         *_REF, "mode", "lcol", F.lit(0).cast("bigint").alias("c_pos"),
         F.when(F.col("t").isNull(), F.col("prefix")).otherwise(F.col("t.table_ref")).alias("table_ref"),
         F.col("t.child").alias("child"))
@@ -123,19 +121,27 @@ def _derived(cands: DataFrame, parts: DataFrame) -> DataFrame:
             .withColumn("c_pos", F.col("in_pos")).drop("in_pos"))
 
 
+def _anywhere(rows: DataFrame) -> DataFrame:
+    """Bare columns of conditions may, in the end, belong to any table of the repository."""
+    return rows.filter((F.col("mode") == "bare") & (F.col("kind") == "condition")).select(
+        *_REF, "mode", "lcol", F.lit(_ANY_TABLE_POS).alias("c_pos"), F.lit("*").alias("table_ref"))
+
+
 def candidates(parts: DataFrame) -> DataFrame:
-    """Each mention with the tables that may hold it, in order of preference (c_pos)."""
-    rows = mentions(parts)
+    """Each mention with the tables that may hold it, in order of preference (c_pos).
+
+    Statements of one scope are bound row by row, without a shuffle; only the mentions of nested
+    statements are joined to the scopes around and inside them.
+    """
+    flat, nested = mentions(parts.filter("not nested")), cut(mentions(parts.filter("nested")))
     tables = Q.scope_tables(parts.filter("nested"))
-    direct = _named_and_bare(rows).unionByName(_outer(rows, tables))
-    named_child = rows.filter(F.col("mode") == "derived").select(
+    direct = _named_and_bare(nested).unionByName(_outer(nested, tables))
+    named_child = nested.filter(F.col("mode") == "derived").select(
         *_REF, "mode", "lcol", F.lit(0).cast("bigint").alias("c_pos"),
         F.lit(None).cast("string").alias("table_ref"), F.col("bound.child").alias("child"))
-    held = direct.filter(F.col("table_ref").isNotNull()).drop("child")
     inner = _derived(direct.filter(F.col("child").isNotNull()).unionByName(named_child), parts)
-    anywhere = rows.filter((F.col("mode") == "bare") & (F.col("kind") == "condition")).select(
-        *_REF, "mode", "lcol", F.lit(_ANY_TABLE_POS).alias("c_pos"), F.lit("*").alias("table_ref"))
-    return held.unionByName(inner).unionByName(anywhere)
+    held = _named_and_bare(flat).unionByName(direct).filter(F.col("table_ref").isNotNull()).drop("child")
+    return held.unionByName(inner).unionByName(_anywhere(flat)).unionByName(_anywhere(nested))
 
 
 def resolved(cands: DataFrame, catalog: Catalog) -> DataFrame:
@@ -290,6 +296,7 @@ class QueryFacts:
     statements: DataFrame
     scopes: DataFrame
     parts: DataFrame
+    candidates: DataFrame
     conditions: DataFrame
     refs: DataFrame
     binary_joins: DataFrame
@@ -297,19 +304,13 @@ class QueryFacts:
     queries: DataFrame
 
 
-def build_query_facts(query_stmts: DataFrame, catalog: Catalog, cut_lineage: bool = True) -> QueryFacts:
+def build_query_facts(query_stmts: DataFrame, catalog: Catalog) -> QueryFacts:
     """Extract and resolve the facts of query statements."""
     scope_rows = Q.scopes(query_stmts)
-    parts = Q.scope_parts(scope_rows)
-    parts = cut(parts) if cut_lineage else parts
-    cands = candidates(parts)
-    cands = cut(cands) if cut_lineage else cands
-    found = resolved(cands, catalog)
-    found = cut(found) if cut_lineage else found
-    conds = conditions(found)
-    refs = query_refs(found, star_columns(cands, catalog))
-    if cut_lineage:
-        conds, refs = cut(conds), cut(refs)
+    parts = cut(Q.scope_parts(scope_rows))
+    cands = cut(candidates(parts))
+    found = cut(resolved(cands, catalog))
+    conds, refs = cut_all([conditions(found), query_refs(found, star_columns(cands, catalog))])
     joins = binary_joins(conds, parts)
-    return QueryFacts(query_stmts, parts, parts, conds, refs, joins,
+    return QueryFacts(query_stmts, parts, parts, cands, conds, refs, joins,
                       resolution_failures(conds), queries(refs, joins))

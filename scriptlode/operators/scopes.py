@@ -66,16 +66,21 @@ def _nested_scopes(nested: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.when(~F.col("mark"), F.struct("pos", "tok"))))
     arms = _pieces(nested).groupBy(*_KEYS, "block", "arm").agg(
         F.min("pos").alias("lo"), F.max("pos").alias("top"), F.max("depth").alias("depth"),
-        F.array_join(F.transform(parts, lambda p: p["tok"]), "").alias("own_text"),
-        F.array_sort(F.collect_list("child")).alias("children"))
+        F.array_join(F.transform(parts, lambda p: p["tok"]), "").alias("own_text"))
     in_block = W.partitionBy("stmt_id", "block")
     last_arm = F.col("arm") == F.max("arm").over(in_block)
     hi = F.when((F.col("block") == -1) & last_arm, F.lit(_END)).otherwise(F.col("top"))
     arms = (arms.withColumn("hi", hi).withColumn("block_hi", F.max("hi").over(in_block))
             .withColumn("own_text", F.trim(F.regexp_replace("own_text", r"\s+", " "))))
     selects = arms.filter(F.col("own_text").rlike(_SELECT))
-    links = selects.select("stmt_id", F.explode("children").alias("block"), F.col("lo").alias("parent_lo"))
-    return selects.join(links, ["stmt_id", "block"], "left")
+    # Parent: the last scope one level up that starts before and still encloses this one. Each
+    # scope takes part at its own level and, as a possible parent, one level deeper.
+    as_child = F.struct((F.col("depth") + 1).alias("level"), F.struct("lo", "hi").alias("parent"))
+    here = F.struct(F.col("depth").alias("level"), F.lit(None).cast("struct<lo:int,hi:int>").alias("parent"))
+    both = selects.select("*", F.inline(F.array(here, as_child)))
+    parent = F.last("parent", ignorenulls=True).over(W.partitionBy("stmt_id", "level").orderBy("lo"))
+    linked = both.withColumn("up", parent).filter(F.col("parent").isNull())
+    return linked.withColumn("parent_lo", F.when(F.col("up.hi") >= F.col("lo"), F.col("up.lo")))
 
 
 def scopes(queries: DataFrame) -> DataFrame:

@@ -265,7 +265,7 @@ def c15_ctas_columns(spark, sf):
 
 
 def _alter(spark, sf):
-    return D.alter_clauses(stmts(spark, sf))
+    return D.alter_facts(D.alter_clauses(stmts(spark, sf)))
 
 
 _ALTER_KEY = ("stmt_id", "clause_seq", "table_ref", "key_type", "cols")
@@ -288,12 +288,12 @@ def c19_alter_key(spark, sf):
 
 
 def c20_alter_columns(spark, sf):
-    return _flat(catalog(spark, sf).alter_columns, "repo_url", "table_name", "lcol", "col_name", "col_type",
+    return _flat(catalog(spark, sf).columns.filter("origin = 'alter'"), "repo_url", "table_name", "lcol", "col_name", "col_type",
                  "file_id", "stmt_seq", "ord")
 
 
 def c21_alter_clauses(spark, sf):
-    return _flat(_alter(spark, sf), "stmt_id", "clause_seq", "table_ref", "clause")
+    return _flat(D.alter_clauses(stmts(spark, sf)), "stmt_id", "clause_seq", "table_ref", "clause")
 
 
 def c21_later_tables(spark, sf):
@@ -308,7 +308,7 @@ def c22_create_index(spark, sf):
 
 
 def c23_insert_columns(spark, sf):
-    return _flat(catalog(spark, sf).insert_columns, "repo_url", "table_name", "lcol", "col_name",
+    return _flat(catalog(spark, sf).columns.filter("origin = 'insert'"), "repo_url", "table_name", "lcol", "col_name",
                  "file_id", "stmt_seq", "ord")
 
 
@@ -342,8 +342,7 @@ def d4_resolve_table(spark, sf):
 
 def d5_key_validity(spark, sf):
     c = catalog(spark, sf)
-    seen = c.base_columns.unionByName(c.alter_columns)
-    return _flat(C.checked_keys(c.later_keys, seen), "stmt_id", "clause_seq", "table_name", "key_type", "valid")
+    return _flat(C.checked_keys(c.later_keys, c.columns_before_inserts()), "stmt_id", "clause_seq", "table_name", "key_type", "valid")
 
 
 def d6_canonical_cols(spark, sf):
@@ -426,7 +425,7 @@ def e6_operator_names(spark, sf):
 
 
 def e7_side_resolution(spark, sf):
-    found = QF.candidates(scope_parts(spark, sf)).filter("kind = 'condition' and table_ref <> '*'")
+    found = query_facts(spark, sf).candidates.filter("kind = 'condition' and table_ref <> '*'")
     return _flat(found.select("stmt_id", "lo", F.col("seq").alias("atom_seq"), "side",
                               F.lower("table_ref").alias("table_ref"), "lcol"))
 

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows of script text are costly per byte: do not merge small shuffles into one task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -35,12 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage: later stages read typed columns, not script text, with column pruning and
     known sizes, and a lost executor costs no recomputation.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_all(dfs: list) -> list:
+    """Cut several independent tables; their jobs share the executors."""
+    with ThreadPoolExecutor(max(1, len(dfs))) as pool:
+        return list(pool.map(cut, dfs))

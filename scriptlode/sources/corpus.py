@@ -97,6 +97,10 @@ def corpus(spark: SparkSession, sf_dir: str, extra: tuple = ()) -> DataFrame:
     """Scripts table of the derived corpus. `extra` keeps helper columns for tests."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    cores = spark.sparkContext.defaultParallelism
+    if part.rdd.getNumPartitions() < cores:
+        # A small input is one file; spread its keys before any text is made.
+        part = part.repartition(cores, "p_partkey")
     n = supplier.agg(F.count("*")).scalar()
     named = (part.withColumn("n", n)
              .withColumn("s_suppkey", F.col("p_partkey") % F.col("n"))
