@@ -61,11 +61,12 @@ def missing_in_user(failures: DataFrame, tables: DataFrame) -> DataFrame:
              .groupBy("repo_url", F.lower("name").alias("lname")).agg(F.count("*").alias("n")))
     names = tables.select("repo_url", F.lower("table_name").alias("lname")).distinct()
     absent = _with_user(asked.join(names, ["repo_url", "lname"], "left_anti"))
-    elsewhere = _with_user(names).select("user", "lname").distinct().withColumn("hit", F.lit(True))
-    total = asked.agg(F.sum("n").alias("total"))
-    found = absent.join(elsewhere, ["user", "lname"], "left_semi").agg(F.sum("n").alias("found"))
-    counts = total.select(F.lit(1).alias("one"), F.coalesce("total", F.lit(0)).alias("total")).join(
-        found.select(F.lit(1).alias("one"), F.coalesce("found", F.lit(0)).alias("found")), "one")
+    elsewhere = _with_user(names).select("user", "lname").distinct()
+    hits = absent.join(elsewhere, ["user", "lname"], "left_semi")
+    zero = F.lit(0).cast("bigint")
+    counts = asked.select(F.col("n").alias("total"), zero.alias("found")).unionByName(
+        hits.select(zero.alias("total"), F.col("n").alias("found"))).agg(
+        F.coalesce(F.sum("total"), zero).alias("total"), F.coalesce(F.sum("found"), zero).alias("found"))
     return counts.select("total", "found", F.try_divide(F.col("found"), F.col("total")).alias("share"))
 
 

@@ -94,8 +94,10 @@ def _outer(rows: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def _derived(cands: DataFrame, parts: DataFrame) -> DataFrame:
-    """Replace a derived table by the base tables inside it, in order of appearance; a column
-    that a select alias inside renames is traced to its source column."""
+    """Replace a derived table by the base tables inside it, in order of appearance.
+
+    A column that a select alias inside renames is traced to its source column, and the tables of
+    the renaming select come first."""
     asked = cands.filter(F.col("child").isNotNull() & (F.col("lcol") != "*"))
     keys = asked.select("stmt_id", "child", "lcol").distinct()
     inside = parts.filter("nested")
@@ -114,7 +116,8 @@ def _derived(cands: DataFrame, parts: DataFrame) -> DataFrame:
     tables = (renamed.join(base, "stmt_id")
               .filter((F.col("s_lo") >= F.col("child")) & (F.col("s_lo") <= F.col("block_hi")))
               .select("stmt_id", "child", "lcol", F.coalesce("r.src", "lcol").alias("src_col"),
-                      (F.col("s_lo").cast("bigint") * 65536 + F.col("t_pos")).alias("in_pos"), "base_ref"))
+                      (F.when(F.col("s_lo") < F.col("r.s_lo"), F.lit(1 << 39)).otherwise(F.lit(0))
+                       + F.col("s_lo").cast("bigint") * 65536 + F.col("t_pos")).alias("in_pos"), "base_ref"))
     return (asked.join(tables, ["stmt_id", "child", "lcol"])
             .select(*_REF, F.when(F.col("mode") == "bare", F.lit("bare_derived")).otherwise("derived").alias("mode"),
                     F.col("src_col").alias("lcol"), "in_pos", "c_pos", F.col("base_ref").alias("table_ref"))
