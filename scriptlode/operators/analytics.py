@@ -60,7 +60,7 @@ def missing_in_user(failures: DataFrame, tables: DataFrame) -> DataFrame:
     asked = (failures.filter("reason = 'table' and name is not null")
              .groupBy("repo_url", F.lower("name").alias("lname")).agg(F.count("*").alias("n")))
     names = tables.select("repo_url", F.lower("table_name").alias("lname")).distinct()
-    absent = _with_user(asked.join(names, ["repo_url", "lname"], "left_anti"))
+    absent = _with_user(asked.join(names, ["lname", "repo_url"], "left_anti"))
     elsewhere = _with_user(names).select("user", "lname").distinct()
     hits = absent.join(elsewhere, ["user", "lname"], "left_semi")
     zero = F.lit(0).cast("bigint")
@@ -122,8 +122,8 @@ def fk_join_overlap(foreign_keys: DataFrame, joins: DataFrame) -> DataFrame:
 def table_signatures(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Tables with the key under which equal tables cluster: name and sorted column names."""
     names = F.array_join(F.array_sort(F.collect_list("col_name")), "___")
-    keys = columns.groupBy("repo_url", "table_name").agg(names.alias("names"))
-    return (tables.select("repo_url", "table_name", "file_id").join(keys, ["repo_url", "table_name"])
+    keys = columns.groupBy("table_name", "repo_url").agg(names.alias("names"))
+    return (tables.select("repo_url", "table_name", "file_id").join(keys, ["table_name", "repo_url"])
             .select("repo_url", "table_name", "file_id",
                     F.concat("table_name", F.lit(":"), "names").alias("cluster_key")))
 
@@ -143,7 +143,7 @@ def keep_first(signatures: DataFrame) -> DataFrame:
 def table_constraints(labels: DataFrame) -> DataFrame:
     """Label counts per table and the share of its columns that cannot be null."""
     label = F.col("label")
-    return (labels.groupBy("repo_url", "table_name").agg(
+    return (labels.groupBy("table_name", "repo_url").agg(
         F.count("*").alias("n_cols"), _count_if(label == "[UNIQUE]").alias("n_unique"),
         _count_if(label == "[NOTNULL]").alias("n_notnull"), _count_if(label == "").alias("n_none"),
         _count_if(F.col("not_null_col")).alias("n_not_null_cols"))
@@ -167,7 +167,7 @@ def training_stats(all_tables: DataFrame, constraints: DataFrame, signatures: Da
     high = F.col("notnull_share") > max_notnull_share
     no_constraint = bare if skip_no_constraint else F.lit(False)
     kept = filter_tables(constraints, skip_no_constraint, max_notnull_share)
-    kept_keys = signatures.join(kept, ["repo_url", "table_name"])
+    kept_keys = signatures.join(kept, ["table_name", "repo_url"])
     out = keep_first(kept_keys) if dedup else kept_keys
     parts = [
         _metrics(all_tables, input_tables=F.count("*")),

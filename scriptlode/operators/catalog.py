@@ -3,7 +3,8 @@
 Scale rules used here: a "pick one per group" is row_number() = 1, which Spark cuts to one row per
 group before the shuffle (WindowGroupLimit); references are reduced to distinct names by a
 partial aggregate before any lookup; lookups go to sides that are unique on the join key, so a
-name that holds a large share of the rows can be split by adaptive execution.
+name that holds a large share of the rows can be split by adaptive execution. Key lists start with the most selective name: repository urls share a long
+prefix, which would make every sort compare whole strings.
 """
 
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ def table_versions(facts: DataFrame) -> DataFrame:
 
 def pick_tables(versions: DataFrame) -> DataFrame:
     """One version per (repo, name): most columns, then most keys, then the newest."""
-    return _top1(versions, ["repo_url", "table_name"],
+    return _top1(versions, ["table_name", "repo_url"],
                  F.desc("n_cols"), F.desc("n_keys"), F.desc("file_id"), F.desc("stmt_seq"))
 
 
@@ -47,7 +48,7 @@ def dropped_versions(versions: DataFrame, picked: DataFrame) -> DataFrame:
     kept = picked.select("repo_url", "table_name", F.col("stmt_id").alias("saved_stmt_id"),
                          F.col("n_cols").alias("saved_n_cols"), F.col("n_keys").alias("saved_n_keys"),
                          F.col("lcols").alias("saved_lcols"))
-    return (versions.join(kept, ["repo_url", "table_name"])
+    return (versions.join(kept, ["table_name", "repo_url"])
             .filter(F.col("stmt_id") != F.col("saved_stmt_id")))
 
 
@@ -73,7 +74,7 @@ def table_keys(tables: DataFrame, prefixes: bool = True) -> DataFrame:
     rows = tables.select(
         "repo_url", "table_name", "file_id", "stmt_seq",
         F.posexplode(name_variants(F.col("table_name"), prefixes)).alias("form", "lookup"))
-    return (_top1(rows, ["repo_url", "lookup"], "form", "file_id", "stmt_seq", "table_name")
+    return (_top1(rows, ["lookup", "repo_url"], "form", "file_id", "stmt_seq", "table_name")
             .select("repo_url", "lookup", "table_name"))
 
 
@@ -86,8 +87,8 @@ def resolve_table(refs: DataFrame, tables: DataFrame, prefixes: bool = False) ->
     names = refs.select("repo_url", "table_ref").distinct()
     forms = names.select("repo_url", "table_ref", F.posexplode(
         name_variants(F.col("table_ref"), prefixes)).alias("form", "lookup"))
-    found = forms.join(table_keys(tables, prefixes), ["repo_url", "lookup"], "left")
-    return found.groupBy("repo_url", "table_ref").agg(
+    found = forms.join(table_keys(tables, prefixes), ["lookup", "repo_url"], "left")
+    return found.groupBy("table_ref", "repo_url").agg(
         F.min_by("table_name", F.when(F.col("table_name").isNotNull(), F.col("form"))).alias("table_name"))
 
 
@@ -104,19 +105,19 @@ def resolve_column(refs: DataFrame, tables: DataFrame, columns: DataFrame,
     """
     names = refs.select("repo_url", "table_ref", "lcol").distinct()
     named, any_table = names.filter("table_ref <> '*'"), names.filter("table_ref = '*'")
-    found = (named.join(resolve_table(named, tables, prefixes), ["repo_url", "table_ref"], "left")
+    found = (named.join(resolve_table(named, tables, prefixes), ["table_ref", "repo_url"], "left")
              .join(columns.select("repo_url", "table_name", "lcol", "col_name"),
-                   ["repo_url", "table_name", "lcol"], "left"))
-    owners = first_owner(columns.join(any_table, ["repo_url", "lcol"], "left_semi"))
+                   ["lcol", "table_name", "repo_url"], "left"))
+    owners = first_owner(columns.join(any_table, ["lcol", "repo_url"], "left_semi"))
     return found.select("repo_url", "table_ref", "lcol", "table_name", "col_name").unionByName(
-        any_table.join(owners, ["repo_url", "lcol"], "left")
+        any_table.join(owners, ["lcol", "repo_url"], "left")
         .select("repo_url", "table_ref", "lcol", "table_name", "col_name"))
 
 
 def first_owner(columns: DataFrame) -> DataFrame:
     """The first table, in catalog order, that holds each column name of a repository."""
     return _top1(columns.select("repo_url", "lcol", "table_name", "col_name", "file_id", "stmt_seq"),
-                 ["repo_url", "lcol"], "file_id", "stmt_seq", "table_name")
+                 ["lcol", "repo_url"], "file_id", "stmt_seq", "table_name")
 
 
 def adopt_names(refs: DataFrame, tables: DataFrame) -> DataFrame:
@@ -127,14 +128,14 @@ def adopt_names(refs: DataFrame, tables: DataFrame) -> DataFrame:
     Output adds table_name and is_new; the row of a new table is the one with its own name.
     """
     at = ["stage", "file_id", "stmt_seq", "stmt_id"]
-    first = refs.groupBy("repo_url", "table_ref").agg(F.min(F.struct(*at)).alias("at"))
-    known = (first.join(resolve_table(first, tables), ["repo_url", "table_ref"], "left")
+    first = refs.groupBy("table_ref", "repo_url").agg(F.min(F.struct(*at)).alias("at"))
+    known = (first.join(resolve_table(first, tables), ["table_ref", "repo_url"], "left")
              .withColumn("lbase", X.last_part(F.lower("table_ref"))))
-    new = (known.filter(F.col("table_name").isNull()).groupBy("repo_url", "lbase")
+    new = (known.filter(F.col("table_name").isNull()).groupBy("lbase", "repo_url")
            .agg(F.min(F.struct("at", "table_ref")).alias("first")))
     return known.join(
         new.select("repo_url", "lbase", F.col("first.table_ref").alias("new_name")),
-        ["repo_url", "lbase"], "left").select(
+        ["lbase", "repo_url"], "left").select(
         "repo_url", "table_ref", F.coalesce("table_name", "new_name").alias("table_name"),
         F.col("table_name").isNull().alias("is_new"), "at.*")
 
@@ -147,7 +148,7 @@ def new_tables(names: DataFrame, stages=("alter", "insert")) -> DataFrame:
 def first_mentions(rows: DataFrame) -> DataFrame:
     """The first mention of each column of each table name; repeats are dropped before the
     shuffle, so a table filled by very many statements costs little."""
-    return (rows.withColumn("lcol", F.lower("col_name")).groupBy("repo_url", "table_ref", "lcol")
+    return (rows.withColumn("lcol", F.lower("col_name")).groupBy("lcol", "table_ref", "repo_url")
             .agg(F.min(F.struct("file_id", "stmt_seq", F.col("clause_seq").alias("ord"), "stmt_id",
                                 "col_name", "col_type", "not_null")).alias("c"))
             .select("repo_url", "table_ref", "lcol", "c.*"))
@@ -163,10 +164,10 @@ def merge_columns(base: DataFrame, mentions: DataFrame, names: DataFrame) -> Dat
 
     One pick per (repo, table, column): created before altered before inserted, then the first.
     """
-    later = mentions.join(names.select("repo_url", "table_ref", "table_name"), ["repo_url", "table_ref"])
+    later = mentions.join(names.select("repo_url", "table_ref", "table_name"), ["table_ref", "repo_url"])
     rows = base.unionByName(later.select(*_COLUMN))
     rank = F.when(F.col("origin") == "create", 0).when(F.col("origin") == "alter", 1).otherwise(2)
-    return _top1(rows, ["repo_url", "table_name", "lcol"], rank, "file_id", "stmt_seq", "ord")
+    return _top1(rows, ["lcol", "table_name", "repo_url"], rank, "file_id", "stmt_seq", "ord")
 
 
 def ctas_columns(items: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
@@ -179,13 +180,13 @@ def ctas_columns(items: DataFrame, tables: DataFrame, columns: DataFrame) -> Dat
     sources = resolve_table(stars, tables).withColumnRenamed("table_name", "source_table")
     source_columns = columns.select("repo_url", F.col("table_name").alias("source_table"),
                                     "ord", "col_name", "col_type")
-    expanded = (stars.join(sources, ["repo_url", "table_ref"])
+    expanded = (stars.join(sources, ["table_ref", "repo_url"])
                 .join(source_columns.withColumnRenamed("col_name", "star_col"),
-                      ["repo_url", "source_table"])
+                      ["source_table", "repo_url"])
                 .select("repo_url", "file_id", "stmt_seq", "stmt_id", "table_name", "item_seq",
                         "ord", F.col("star_col").alias("col_name"), "col_type"))
     rows = named.unionByName(expanded).withColumn("lcol", F.lower("col_name"))
-    return (rows.groupBy("repo_url", "file_id", "stmt_seq", "stmt_id", "table_name", "lcol")
+    return (rows.groupBy("stmt_id", "lcol", "repo_url", "file_id", "stmt_seq", "table_name")
             .agg(F.min(F.struct("item_seq", "ord", "col_name", "col_type")).alias("c"))
             .select("repo_url", "file_id", "stmt_seq", "stmt_id", "table_name", "lcol",
                     "c.item_seq", "c.ord", "c.col_name", "c.col_type"))
@@ -194,7 +195,7 @@ def ctas_columns(items: DataFrame, tables: DataFrame, columns: DataFrame) -> Dat
 def _ctas_versions(ctas_cols: DataFrame, like: DataFrame) -> DataFrame:
     """Create-as-select statements as table versions; a statement bounds its column list."""
     cols = F.array_sort(F.collect_list(F.struct("item_seq", "ord", "col_name", "lcol", "col_type")))
-    listed = (ctas_cols.groupBy("repo_url", "file_id", "stmt_seq", "stmt_id", "table_name")
+    listed = (ctas_cols.groupBy("stmt_id", "repo_url", "file_id", "stmt_seq", "table_name")
               .agg(cols.alias("found")))
     struct = F.transform("found", lambda c, i: F.struct(
         i.alias("ord"), c["col_name"].alias("col_name"), c["lcol"].alias("lcol"),
@@ -225,9 +226,9 @@ def checked_keys(keys: DataFrame, columns: DataFrame) -> DataFrame:
                      "file_id", "stmt_seq", F.posexplode("cols").alias("pos", "written"))
              .withColumn("lcol", F.lower("written")))
     found = parts.join(columns.select("repo_url", "table_name", "lcol", "col_name"),
-                       ["repo_url", "table_name", "lcol"], "left")
+                       ["lcol", "table_name", "repo_url"], "left")
     listed = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("col_name", "written").alias("name"))))
-    return (found.groupBy("repo_url", "table_name", "stmt_id", "clause_seq", "key_type", "n",
+    return (found.groupBy("stmt_id", "clause_seq", "repo_url", "table_name", "key_type", "n",
                           "file_id", "stmt_seq")
             .agg(F.count("col_name").alias("n_found"), listed.alias("parts"))
             .select("repo_url", "table_name", "stmt_id", "clause_seq", "file_id", "stmt_seq",
@@ -248,7 +249,7 @@ def canonical_cols(keys: DataFrame, columns: DataFrame) -> DataFrame:
 
 def _single_pk(keys: DataFrame) -> DataFrame:
     """The one column of the only primary key of a table."""
-    pks = (keys.filter("key_type = 'PrimaryKey'").groupBy("repo_url", "table_name")
+    pks = (keys.filter("key_type = 'PrimaryKey'").groupBy("table_name", "repo_url")
            .agg(F.countDistinct("cols").alias("n"), F.min("cols").alias("cols")))
     return pks.filter((F.col("n") == 1) & (F.size("cols") == 1)).select(
         "repo_url", F.col("table_name").alias("ref_name"), F.col("cols").alias("pk_cols"))
@@ -260,18 +261,18 @@ def resolve_fks(fk_refs: DataFrame, tables: DataFrame, columns: DataFrame, keys:
     Input: repo_url, stmt_id, clause_seq, file_id, stmt_seq, table_ref, cols, ref_table, ref_cols.
     Output adds table_name, ref_name and `resolved`; the columns are then spelled as defined.
     """
-    same = ["repo_url", "table_ref", "cols", "ref_table", "ref_cols"]
+    same = ["table_ref", "ref_table", "cols", "ref_cols", "repo_url"]
     distinct = fk_refs.groupBy(*same).agg(
         F.min(F.struct("file_id", "stmt_seq", "stmt_id", "clause_seq")).alias("at"))
     refs = distinct.select(*same, F.concat_ws("#", "at.stmt_id", F.col("at.clause_seq").cast("string")).alias("fk_id"))
     both = refs.select("repo_url", "table_ref").unionByName(
         refs.select("repo_url", F.col("ref_table").alias("table_ref")))
     names = resolve_table(both, tables)
-    owned = (refs.join(names, ["repo_url", "table_ref"], "left")
+    owned = (refs.join(names, ["table_ref", "repo_url"], "left")
              .join(names.select("repo_url", F.col("table_ref").alias("ref_table"),
                                 F.col("table_name").alias("ref_name")),
-                   ["repo_url", "ref_table"], "left")
-             .join(_single_pk(keys), ["repo_url", "ref_name"], "left")
+                   ["ref_table", "repo_url"], "left")
+             .join(_single_pk(keys), ["ref_name", "repo_url"], "left")
              .withColumn("to_cols", F.coalesce("ref_cols", "pk_cols", F.array().cast("array<string>"))))
     ends = owned.withColumn("n", F.when(F.size("cols") == F.size("to_cols"), F.size("cols")).otherwise(-1))
     parts = ends.select(
@@ -283,14 +284,14 @@ def resolve_fks(fk_refs: DataFrame, tables: DataFrame, columns: DataFrame, keys:
                  F.col("pair.to").alias("written")))))
     found = (sides.withColumn("lcol", F.lower("written"))
              .join(columns.select("repo_url", "table_name", "lcol", "col_name"),
-                   ["repo_url", "table_name", "lcol"]))
+                   ["lcol", "table_name", "repo_url"]))
 
     def spelled(side):
         return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "col_name"))))
 
-    done = found.groupBy("repo_url", "fk_id").agg(
+    done = found.groupBy("fk_id", "repo_url").agg(
         F.count("*").alias("n_found"), spelled("own").alias("own"), spelled("to").alias("to"))
-    return (ends.join(done, ["repo_url", "fk_id"], "left")
+    return (ends.join(done, ["fk_id", "repo_url"], "left")
             .withColumn("resolved", F.coalesce(F.col("n_found") == 2 * F.col("n"), F.lit(False)))
             .withColumn("cols", F.when(F.col("resolved"), F.col("own.col_name")).otherwise(F.col("cols")))
             .withColumn("ref_cols", F.when(F.col("resolved"), F.col("to.col_name")).otherwise(F.col("ref_cols")))
@@ -318,7 +319,7 @@ def with_base_type(columns: DataFrame) -> DataFrame:
 
 def finalize_catalog(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Tables that have columns; a repository without such a table disappears with them."""
-    return tables.join(columns.select("repo_url", "table_name"), ["repo_url", "table_name"], "left_semi")
+    return tables.join(columns.select("repo_url", "table_name"), ["table_name", "repo_url"], "left_semi")
 
 
 @dataclass
@@ -359,7 +360,7 @@ def build_catalog(stmts: DataFrame) -> Catalog:
     untyped = [F.lit(None).cast("string").alias("col_type"), F.lit(False).alias("not_null")]
     created, items, altered, indexed, inserted = cut_all([
         table_versions(ddl.create_facts(stmts)), ddl.ctas_items(stmts),
-        ddl.alter_facts(ddl.alter_clauses(stmts)), ddl.create_index(stmts),
+        ddl.alter_facts(stmts), ddl.create_index(stmts),
         first_mentions(ddl.insert_columns(stmts).select("*", *untyped))])
 
     first_pick = pick_tables(created)
@@ -382,9 +383,9 @@ def build_catalog(stmts: DataFrame) -> Catalog:
     columns = cut(merge_columns(_columns_of(picked, "create"), mentions, names))
 
     altered_keys = ddl.alter_keys(altered).join(
-        names.select("repo_url", "table_ref", "table_name"), ["repo_url", "table_ref"])
+        names.select("repo_url", "table_ref", "table_name"), ["table_ref", "repo_url"])
     known = base_tables.unionByName(new_tables(names, ("alter",)))
-    index_keys = indexed.join(resolve_table(indexed, known), ["repo_url", "table_ref"])
+    index_keys = indexed.join(resolve_table(indexed, known), ["table_ref", "repo_url"])
     later_keys = altered_keys.select(*_KEY).unionByName(index_keys.select(*_KEY))
     own_keys = (picked.select(*_TABLE, F.inline("keys"))
                 .withColumn("clause_seq", F.col("seq")).select(*_KEY))

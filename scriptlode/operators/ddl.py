@@ -273,15 +273,18 @@ def ctas_items(stmts: DataFrame) -> DataFrame:
         "col_name", F.when(~star, X.last_part(last_word))).drop("source")
 
 
+def _alter_statements(stmts: DataFrame) -> DataFrame:
+    rest = F.regexp_replace("stmt", r"^.*?" + _ALTER_NAME, "")
+    return (stmts.filter(F.col("kind") == "alter_table")
+            .withColumn("table_ref", _name(F.col("stmt"), _ALTER_NAME))
+            .withColumn("clauses", X.split_top(X.mask_punctuated_literals(rest))))
+
+
 def alter_clauses(stmts: DataFrame) -> DataFrame:
     """One row per clause of an alter-table statement."""
-    rows = (stmts.filter(F.col("kind") == "alter_table")
-            .withColumn("table_ref", _name(F.col("stmt"), _ALTER_NAME))
-            .filter(F.col("table_ref").isNotNull())
-            .withColumn("rest", F.regexp_replace("stmt", r"^.*?" + _ALTER_NAME, "")))
-    return rows.select(
+    return _alter_statements(stmts).filter(F.col("table_ref").isNotNull()).select(
         "repo_url", "file_id", "stmt_seq", "stmt_id", "table_ref",
-        F.posexplode(X.split_top(X.mask_punctuated_literals(F.col("rest")))).alias("clause_seq", "clause"))
+        F.posexplode("clauses").alias("clause_seq", "clause"))
 
 
 def alter_kind(clause: Column) -> Column:
@@ -298,33 +301,40 @@ def alter_kind(clause: Column) -> Column:
             .when(low.rlike(r"^add\b") & ~constraint, "column"))
 
 
-def alter_facts(rows: DataFrame) -> DataFrame:
-    """What each alter clause adds: a key, a foreign key or a column; each clause by itself."""
-    kind, clause = F.col("alter_kind"), F.col("clause")
-    rows = rows.withColumn("alter_kind", alter_kind(clause)).filter(kind.isNotNull())
+def alter_facts(stmts: DataFrame) -> DataFrame:
+    """What each alter clause adds: a key, a foreign key or a column; each clause by itself.
+
+    Worked out inside the statement's row, as for create-table clauses.
+    """
+    kinds = F.transform("clauses", lambda c, i: F.struct(
+        i.alias("clause_seq"), c.alias("clause"), alter_kind(c).alias("kind"),
+        F.regexp_replace(c, r"(?i)^add\s+(?:column\s+)?(?:if not exists\s+)?", "").alias("tail")))
+    known = F.filter(kinds, lambda f: f["kind"].isNotNull())
+    facts = F.filter(F.transform(known, _alter_step), lambda f: f["ok"])
+    return (_alter_statements(stmts).filter(F.col("table_ref").isNotNull())
+            .select("repo_url", "file_id", "stmt_seq", "stmt_id", "table_ref", F.inline(facts)).drop("ok"))
+
+
+def _alter_step(f: Column) -> Column:
+    kind, clause, tail = f["kind"], f["clause"], f["tail"]
+    is_column, is_fk = kind == "column", kind == "fk"
     listed = (F.when(kind == "pk", X.group_of(clause, rf"(?i)primary\s+key[^(]*{_COLS}"))
               .when(kind == "key", X.group_of(clause, rf"(?i)\bkey\b[^(]*{_COLS}"))
-              .when(kind == "fk", X.group_of(clause, _FK, 1))
-              .when(kind != "column", X.group_of(clause, rf"(?i)\bunique\b[^(]*{_COLS}")))
+              .when(is_fk, X.group_of(clause, _FK, 1))
+              .when(~is_column, X.group_of(clause, rf"(?i)\bunique\b[^(]*{_COLS}")))
     key_type = (F.when(kind == "pk", "PrimaryKey").when(kind == "key", "CandidateKey")
                 .when(kind == "unique_index", "UniqueIndex").when(kind == "unique_key", "UniqueKey"))
-    tail = F.regexp_replace(clause, r"(?i)^add\s+(?:column\s+)?(?:if not exists\s+)?", "")
-    is_column, is_fk = kind == "column", kind == "fk"
-    rows = (rows.withColumn("key_type", key_type).withColumn("cols", X.ident_list(listed))
-            .withColumn("ref_table", F.when(is_fk, _name(clause, _FK_TABLE)))
-            .withColumn("ref_cols", F.when(is_fk, F.coalesce(X.ident_list(X.group_of(clause, _FK, 3)), "cols")))
-            .withColumn("tail", F.when(is_column, tail))
-            .withColumn("col_name", F.when(is_column, _first_ident(F.col("tail"))))
-            .withColumn("col_type", F.when(is_column, _type_after_name(F.col("tail"))))
-            .withColumn("not_null", F.lower(clause).contains("not null")))
-    good_column = ((F.col("col_name") != "") & F.col("col_type").rlike(_KNOWN_TYPE)
-                   & ~F.lower("tail").rlike(_NO_COLUMN_HEAD))
-    keep = (F.when(is_column, good_column)
-            .when(is_fk, F.col("cols").isNotNull() & F.col("ref_table").isNotNull())
-            .otherwise(F.col("cols").isNotNull()))
-    return rows.filter(keep).select(
-        "repo_url", "file_id", "stmt_seq", "stmt_id", "clause_seq", "table_ref", "key_type", "cols",
-        "ref_table", "ref_cols", "col_name", "col_type", "not_null")
+    col_type = _type_after_name(tail)
+    good_column = (_first_ident(tail) != "") & col_type.rlike(_KNOWN_TYPE) & ~F.lower(tail).rlike(_NO_COLUMN_HEAD)
+    target = F.when(is_fk, _name(clause, _FK_TABLE))
+    ok = (F.when(is_column, good_column).when(is_fk, listed.isNotNull() & target.isNotNull())
+          .otherwise(listed.isNotNull()))
+    return F.struct(
+        f["clause_seq"].alias("clause_seq"), key_type.alias("key_type"), X.ident_list(listed).alias("cols"),
+        target.alias("ref_table"),
+        F.when(is_fk, X.ident_list(F.coalesce(X.group_of(clause, _FK, 3), listed))).alias("ref_cols"),
+        F.when(is_column, _first_ident(tail)).alias("col_name"), F.when(is_column, col_type).alias("col_type"),
+        F.lower(clause).contains("not null").alias("not_null"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 _ALTER_HEAD = ("repo_url", "file_id", "stmt_seq", "stmt_id", "clause_seq", "table_ref")

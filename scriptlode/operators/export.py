@@ -19,15 +19,15 @@ def label_rows(tables: DataFrame, columns: DataFrame, keys: DataFrame) -> DataFr
     marking = keys.filter(F.col("key_type").isin("PrimaryKey", "UniqueColumn"))
     marks = (marking.select("repo_url", "table_name", (F.col("key_type") == "PrimaryKey").alias("pk"),
                             (F.size("cols") == 1).alias("single"), F.explode("cols").alias("col_name"))
-             .groupBy("repo_url", "table_name", "col_name")
+             .groupBy("col_name", "table_name", "repo_url")
              .agg(F.max("pk").alias("in_pk"), F.max("single").alias("single")))
-    several = (marking.filter("key_type = 'PrimaryKey'").groupBy("repo_url", "table_name")
+    several = (marking.filter("key_type = 'PrimaryKey'").groupBy("table_name", "repo_url")
                .agg(F.count("*").alias("n_pk")).filter("n_pk > 1"))
     rows = (columns.select("repo_url", "table_name", "col_name", "not_null", "origin",
                            F.col("file_id").alias("from_file"), "stmt_seq", "ord")
-            .join(tables.select("repo_url", "table_name", "file_id"), ["repo_url", "table_name"])
-            .join(marks, ["repo_url", "table_name", "col_name"], "left")
-            .join(several, ["repo_url", "table_name"], "left"))
+            .join(tables.select("repo_url", "table_name", "file_id"), ["table_name", "repo_url"])
+            .join(marks, ["col_name", "table_name", "repo_url"], "left")
+            .join(several, ["table_name", "repo_url"], "left"))
     cannot_be_null = F.col("not_null") | F.coalesce("in_pk", F.lit(False))
     unique = F.coalesce("single", F.lit(False)) & F.col("n_pk").isNull()
     label = F.when(unique, LABEL_UNIQUE).when(cannot_be_null, LABEL_NOTNULL).otherwise("")
@@ -66,7 +66,7 @@ def read_catalog(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def table_view(tables: DataFrame, columns: DataFrame, keys: DataFrame, foreign_keys: DataFrame) -> DataFrame:
     """Tables with their columns, keys and foreign keys as nested arrays."""
-    by = ["repo_url", "table_name"]
+    by = ["table_name", "repo_url"]
     cols = columns.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(
         "file_id", "stmt_seq", "ord", "col_name", "col_type", "not_null"))).alias("cols"))
     key_lists = keys.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct("key_type", "cols"))).alias("keys"))

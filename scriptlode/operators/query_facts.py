@@ -16,8 +16,8 @@ from ..session import cut, cut_all
 from . import scopes as Q
 from .catalog import Catalog, resolve_column, resolve_table
 
-_KEYS = ["repo_url", "file_id", "stmt_id"]
-_REF = [*_KEYS, "lo", "kind", "seq", "side", "func", "atom"]
+_KEYS = ["stmt_id", "repo_url", "file_id"]
+_REF = ["stmt_id", "lo", "seq", "kind", "side", "func", "atom", "repo_url", "file_id"]
 _PART = r"[a-z_#@$\u0080-￿][\w$#@]*"
 _ANY_TABLE_POS = 1 << 40
 
@@ -151,15 +151,15 @@ def resolved(cands: DataFrame, catalog: Catalog) -> DataFrame:
     """Candidates with the table and column found; null where not."""
     plain = cands.filter("lcol <> '*'")
     found = resolve_column(plain, catalog.all_tables, catalog.columns)
-    return plain.join(found, ["repo_url", "table_ref", "lcol"], "left")
+    return plain.join(found, ["lcol", "table_ref", "repo_url"], "left")
 
 
 def star_columns(cands: DataFrame, catalog: Catalog) -> DataFrame:
     """Columns of the tables named by star projections."""
     stars = cands.filter("lcol = '*' and table_ref <> '*'").select(*_REF, "table_ref").distinct()
     names = resolve_table(stars, catalog.all_tables, prefixes=True)
-    return (stars.join(names, ["repo_url", "table_ref"])
-            .join(catalog.columns.select("repo_url", "table_name", "col_name"), ["repo_url", "table_name"]))
+    return (stars.join(names, ["table_ref", "repo_url"])
+            .join(catalog.columns.select("repo_url", "table_name", "col_name"), ["table_name", "repo_url"]))
 
 
 def query_refs(found: DataFrame, stars: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def query_refs(found: DataFrame, stars: DataFrame) -> DataFrame:
     derived table to the first table inside that holds it.
     """
     hits = found.filter((F.col("kind") != "condition") & F.col("col_name").isNotNull())
-    out = ["repo_url", "file_id", "stmt_id", "kind", "func", "table_name", "col_name"]
+    out = ["stmt_id", "repo_url", "file_id", "kind", "func", "table_name", "col_name"]
     inner = F.col("mode").isin("derived", "bare_derived", "outer")
     first = (hits.filter(inner).groupBy(*_REF)
              .agg(F.min(F.struct("c_pos", "table_name", "col_name")).alias("t"))
@@ -226,8 +226,8 @@ def conditions(found: DataFrame) -> DataFrame:
     def column(side):
         return F.min(F.when(F.col("side") == side, F.col("lcol")))
 
-    rows = rows.groupBy(*_KEYS, "lo", F.col("seq").alias("atom_seq"), F.col("func").alias("op"),
-                        F.col("atom").alias("condition")).agg(
+    rows = rows.groupBy("stmt_id", "lo", F.col("seq").alias("atom_seq"), F.col("func").alias("op"),
+                        F.col("atom").alias("condition"), "repo_url", "file_id").agg(
         hit("l").alias("l"), hit("r").alias("r"), any_table("l").alias("lt"), any_table("r").alias("rt"),
         asked("l").alias("la"), asked("r").alias("ra"), column("l").alias("lc"), column("r").alias("rc"))
     side = F.when(F.col("l").isNull(), "left").when(F.col("r").isNull(), "right")
@@ -270,7 +270,7 @@ def binary_joins(conds: DataFrame, scope_rows: DataFrame) -> DataFrame:
         *_KEYS, "lo", pick("l_table", "r_table").alias("l_table"), pick("r_table", "l_table").alias("r_table"),
         F.struct(pick("l_col", "r_col").alias("l"), F.when(flip, mirror[F.col("op")]).otherwise(F.col("op")).alias("op"),
                  pick("r_col", "l_col").alias("r")).alias("cond"))
-    pairs = rows.groupBy(*_KEYS, "lo", "l_table", "r_table").agg(
+    pairs = rows.groupBy("stmt_id", "lo", "l_table", "r_table", "repo_url", "file_id").agg(
         F.array_sort(F.collect_set("cond")).alias("conditions"))
     types = Q.scope_join_type(scope_rows).select("stmt_id", "lo", "join_type")
     return pairs.join(types, ["stmt_id", "lo"], "left")
@@ -286,7 +286,7 @@ def queries(refs: DataFrame, joins: DataFrame) -> DataFrame:
     def has(kind):
         return F.max(F.col("kind") == kind)
 
-    return rows.groupBy("repo_url", "file_id", "stmt_id").agg(
+    return rows.groupBy(*_KEYS).agg(
         F.sum("joins").alias("n_joins"), F.sum("conds").alias("n_conditions"),
         has("projection").alias("has_projection"), has("aggregate").alias("has_aggregate"),
         has("selection").alias("has_selection"), has("groupby").alias("has_groupby"))
@@ -309,11 +309,11 @@ class QueryFacts:
 
 def build_query_facts(query_stmts: DataFrame, catalog: Catalog) -> QueryFacts:
     """Extract and resolve the facts of query statements."""
-    scope_rows = Q.scopes(query_stmts)
-    parts = cut(Q.scope_parts(scope_rows))
+    query_stmts = cut(Q.prepare_queries(query_stmts))
+    parts = cut(Q.scope_parts(Q.scopes(query_stmts)))
     cands = cut(candidates(parts))
     found = cut(resolved(cands, catalog))
     conds, refs = cut_all([conditions(found), query_refs(found, star_columns(cands, catalog))])
     joins = binary_joins(conds, parts)
-    return QueryFacts(query_stmts, parts, parts, cands, conds, refs, joins,
+    return QueryFacts(query_stmts.drop("q"), parts, parts, cands, conds, refs, joins,
                       resolution_failures(conds), queries(refs, joins))

@@ -14,7 +14,7 @@ _SETOP = "\u0001"
 _END = 2147483647
 _NESTED = r"(?i)\(\s*select\b|\b(?:union|intersect|except|minus)\b"
 _SELECT = r"(?i)\bselect\b"
-_KEYS = ["repo_url", "file_id", "stmt_id"]
+_KEYS = ["stmt_id", "repo_url", "file_id"]
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def _pieces(nested: DataFrame) -> DataFrame:
 
 def _nested_scopes(nested: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.when(~F.col("mark"), F.struct("pos", "tok"))))
-    arms = _pieces(nested).groupBy(*_KEYS, "block", "arm").agg(
+    arms = _pieces(nested).groupBy("stmt_id", "block", "arm", "repo_url", "file_id").agg(
         F.min("pos").alias("lo"), F.max("pos").alias("top"), F.max("depth").alias("depth"),
         F.array_join(F.transform(parts, lambda p: p["tok"]), "").alias("own_text"))
     in_block = W.partitionBy("stmt_id", "block")
@@ -88,7 +88,7 @@ def scopes(queries: DataFrame) -> DataFrame:
 
     A nested select shows up in the parent's own text as (#n), where n is the child's block.
     """
-    q = prepare_queries(queries)
+    q = queries if "q" in queries.columns else prepare_queries(queries)
     cols = [*_KEYS, "block", "block_hi", "lo", "hi", "parent_lo", "depth", "nested", "own_text"]
     flat = q.filter(~F.col("q").rlike(_NESTED)).select(
         *_KEYS, F.lit(-1).alias("block"), F.lit(_END).alias("block_hi"), F.lit(0).alias("lo"),

@@ -9,8 +9,9 @@ _DDL_HEADS = r"(?i)(create table|alter table|create index|create unique index|in
 
 
 def _stmt_id(kind: str) -> Column:
-    return F.concat_ws("#", "repo_url", "file_id",
-                       F.concat(F.lit(kind), F.col("stmt_seq").cast("string")))
+    """File, position, repository. The file comes first: repository urls share a long prefix, and
+    sorts on the id should be settled by its first bytes."""
+    return F.concat_ws("#", "file_id", F.concat(F.lit(kind), F.col("stmt_seq").cast("string")), "repo_url")
 
 
 def ddl_statements(scripts: DataFrame) -> DataFrame:
@@ -66,8 +67,25 @@ def classify_stmt(stmts: DataFrame) -> DataFrame:
 
 
 def statements(scripts: DataFrame) -> DataFrame:
-    """Clean, classified DDL statements: repo_url, file_id, stmt_seq, stmt, stmt_id, stage, kind."""
-    return classify_stmt(clean_statements(size_guard(stage_filter(ddl_statements(scripts)))))
+    """Clean, classified DDL statements: repo_url, file_id, stmt_seq, stmt, stmt_id, stage, kind.
+
+    The same steps as the operators above, but done on the pieces before they become rows: a
+    filter on a cleaned text would otherwise be pushed down and clean the text again.
+    """
+    pieces = F.split(F.regexp_replace("text", _DDL_HEADS, ";\n$1"), ";")
+    staged = F.filter(
+        F.transform(pieces, lambda s, i: F.struct(
+            i.alias("stmt_seq"), s.alias("raw"), stage_of(s).alias("stage"))),
+        lambda p: p["stage"].isNotNull() & (F.length(p["raw"]) < STATEMENT_LIMIT))
+    cleaned = F.transform(staged, lambda p: F.struct(
+        p["stmt_seq"].alias("stmt_seq"), p["stage"].alias("stage"),
+        X.clean_stmt(X.normalize_text(p["raw"])).alias("stmt")))
+    rows = F.transform(F.filter(cleaned, lambda p: p["stmt"] != ""), lambda p: F.struct(
+        p["stmt_seq"].alias("stmt_seq"), p["stmt"].alias("stmt"), p["stage"].alias("stage"),
+        kind_of(p["stmt"]).alias("kind")))
+    return (scripts.select("repo_url", "file_id", F.inline(rows))
+            .withColumn("stmt_id", _stmt_id("d"))
+            .select("repo_url", "file_id", "stmt_seq", "stmt", "stmt_id", "stage", "kind"))
 
 
 def has_from_comma(low: Column) -> Column:
@@ -75,26 +93,25 @@ def has_from_comma(low: Column) -> Column:
     return F.substring_index(F.get(F.split(low, "from"), F.lit(1)), "where", 1).contains(",")
 
 
-def _query_pieces(scripts: DataFrame) -> DataFrame:
-    blocks = F.regexp_replace("text", r"\r?\n(?:[ \t\r]*\n)+", ";")
-    return (scripts.select("repo_url", "file_id",
-                           F.posexplode(F.split(blocks, ";")).alias("stmt_seq", "stmt"))
-            .withColumn("stmt_id", _stmt_id("q")))
-
-
 def query_statements(scripts: DataFrame, join_only: bool = False) -> DataFrame:
     """Query statements: blocks end at blank lines and semicolons and hold 'select ' and 'from '.
 
     join_only also asks for a join, or a where with a comma in the from clause, and a comparison.
     """
-    low = F.lower("stmt")
-    keep = low.contains("select ") & low.contains("from ")
-    if join_only:
-        joins = low.contains("join ") | (low.contains("where ") & has_from_comma(low))
-        keep = keep & joins & F.col("stmt").rlike("[=<>]")
-    out = _query_pieces(scripts).filter(keep)
-    out = out.withColumn("stmt", X.normalize_text(F.col("stmt"))).filter(F.col("stmt") != "")
-    return size_guard(out, query=True)
+    def wanted(piece):
+        low = F.lower(piece)
+        keep = low.contains("select ") & low.contains("from ")
+        if join_only:
+            joins = low.contains("join ") | (low.contains("where ") & has_from_comma(low))
+            keep = keep & joins & piece.rlike("[=<>]")
+        return keep
+
+    pieces = F.split(F.regexp_replace("text", r"\r?\n(?:[ \t\r]*\n)+", ";"), ";")
+    numbered = F.transform(pieces, lambda s, i: F.struct(i.alias("stmt_seq"), s.alias("raw")))
+    cleaned = F.transform(F.filter(numbered, lambda p: wanted(p["raw"])), lambda p: F.struct(
+        p["stmt_seq"].alias("stmt_seq"), X.normalize_text(p["raw"]).alias("stmt")))
+    rows = scripts.select("repo_url", "file_id", F.inline(F.filter(cleaned, lambda p: p["stmt"] != "")))
+    return size_guard(rows, query=True).withColumn("stmt_id", _stmt_id("q"))
 
 
 def join_like(scripts: DataFrame) -> DataFrame:

@@ -198,11 +198,12 @@ def _base() -> str:
         _values("p_query", "tpl, q, is_union, join_like", _QUERIES),
         _values("p_type", "col_type, base_type", base_type_rows()),
     ]
-    ddl_id, q_id = ("f.repo_url || '#' || f.file_id || '#d' || ", "f.repo_url || '#' || f.file_id || '#q' || ")
+    ddl_id = "f.file_id || '#d%s#' || f.repo_url"
+    q_id = "f.file_id || '#q' || p.q || '#' || f.repo_url"
     derived = f"""
     created AS (
       SELECT f.repo_url, f."user", f.file_id, f.tpl, f."T" AS table_name, f."U", f."V", 1 AS stmt_seq,
-             {ddl_id} '1' AS stmt_id,
+             {ddl_id % '1'} AS stmt_id,
              (SELECT count(*) FROM p_col c WHERE c.tpl = f.tpl) AS n_cols,
              (SELECT count(*) FROM p_key k WHERE k.tpl = f.tpl AND k.cols <> 'nope')
              + (SELECT count(*) FROM p_fk k WHERE k.tpl = f.tpl) AS n_keys
@@ -215,7 +216,7 @@ def _base() -> str:
       SELECT v.repo_url, v.file_id, v.stmt_id, v.stmt_seq, v.table_name, k.seq, k.clause_kind, k.key_type, k.cols
       FROM created v JOIN p_key k USING (tpl)),
     c_fk AS (
-      SELECT f.repo_url, f.file_id, {ddl_id} '1' AS stmt_id, 1 AS stmt_seq, f."T" AS table_name, k.seq,
+      SELECT f.repo_url, f.file_id, {ddl_id % '1'} AS stmt_id, 1 AS stmt_seq, f."T" AS table_name, k.seq,
              k.clause_kind, k.cols, {_render('k.ref_table')} AS ref_table, k.ref_cols
       FROM files f JOIN p_fk k USING (tpl)),
     c_clause AS (
@@ -230,14 +231,14 @@ def _base() -> str:
     first_col AS (
       SELECT c.* FROM c_col c JOIN first_pick USING (stmt_id)),
     made_col AS (
-      SELECT f.repo_url, f.file_id, 5 AS stmt_seq, {ddl_id} '5' AS stmt_id, 'c_' || f."k" AS table_name,
+      SELECT f.repo_url, f.file_id, 5 AS stmt_seq, {ddl_id % '5'} AS stmt_id, 'c_' || f."k" AS table_name,
              0 AS item, c.ord, c.col_name, c.col_type
       FROM files f JOIN first_col c ON f.tpl = 5 AND c.repo_url = f.repo_url AND c.table_name = f."T"
       UNION ALL
-      SELECT f.repo_url, f.file_id, 5, {ddl_id} '5', 'v_' || f."k", i, 0, n, NULL
+      SELECT f.repo_url, f.file_id, 5, {ddl_id % '5'}, 'v_' || f."k", i, 0, n, NULL
       FROM files f, (VALUES (0, 'id'), (1, 'who')) x(i, n) WHERE f.tpl = 6
       UNION ALL
-      SELECT f.repo_url, f.file_id, 5, {ddl_id} '5', 'v_' || f."k", 2, c.ord, c.col_name, c.col_type
+      SELECT f.repo_url, f.file_id, 5, {ddl_id % '5'}, 'v_' || f."k", 2, c.ord, c.col_name, c.col_type
       FROM files f JOIN first_col c ON f.tpl = 6 AND c.repo_url = f.repo_url AND c.table_name = f."U"),
     ctas_col AS (
       SELECT *, lower(col_name) AS lcol FROM made_col
@@ -258,7 +259,7 @@ def _base() -> str:
     base_col AS (
       SELECT d.*, 'create' AS origin FROM all_def d JOIN picked USING (stmt_id)),
     alter_rows AS (
-      SELECT f.repo_url, f.file_id, a.seq AS stmt_seq, {ddl_id} a.seq AS stmt_id, a.clause_seq,
+      SELECT f.repo_url, f.file_id, a.seq AS stmt_seq, f.file_id || '#d' || a.seq || '#' || f.repo_url AS stmt_id, a.clause_seq,
              {_render('a.table_ref')} AS table_ref, a.adds, a.cols, {_render('a.target')} AS target, a.target_cols,
              {_render('a.clause')} AS clause
       FROM files f, p_alter a WHERE f.tpl = 4),
@@ -280,7 +281,7 @@ def _base() -> str:
       SELECT repo_url, table_name, lcol, col_name, col_type, not_null, origin, file_id, stmt_seq, ord FROM base_col
       UNION ALL SELECT repo_url, table_name, lcol, col_name, col_type, not_null, origin, file_id, stmt_seq, ord FROM alter_col),
     insert_rows AS (
-      SELECT f.repo_url, f.file_id, seq AS stmt_seq, {ddl_id} seq AS stmt_id, {_render('x.t')} AS table_ref, ord, col_name
+      SELECT f.repo_url, f.file_id, seq AS stmt_seq, f.file_id || '#d' || seq || '#' || f.repo_url AS stmt_id, {_render('x.t')} AS table_ref, ord, col_name
       FROM files f, (VALUES (1, '{{T}}', 0, 'id'), (1, '{{T}}', 1, 'userName'), (1, '{{T}}', 2, 'memo'),
                             (3, 'log_{{k}}', 0, 'id'), (3, 'log_{{k}}', 1, 'msg')) x(seq, t, ord, col_name)
       WHERE f.tpl = 6),
@@ -303,7 +304,7 @@ def _base() -> str:
       SELECT * FROM all_tables t WHERE EXISTS (
         SELECT 1 FROM all_col c WHERE c.repo_url = t.repo_url AND c.table_name = t.table_name)),
     index_rows AS (
-      SELECT f.repo_url, f.file_id, seq AS stmt_seq, {ddl_id} seq AS stmt_id, {_render('x.t')} AS table_ref,
+      SELECT f.repo_url, f.file_id, seq AS stmt_seq, f.file_id || '#d' || seq || '#' || f.repo_url AS stmt_id, {_render('x.t')} AS table_ref,
              f."T" AS table_name, key_type, cols
       FROM files f, (VALUES (1, 'app.{{T}}', 'UniqueIndex', 'id,code'), (3, '{{T}}', 'Index', 'status')) x(seq, t, key_type, cols)
       WHERE f.tpl = 5),
@@ -343,15 +344,15 @@ def _base() -> str:
     fk_resolved AS (
       SELECT DISTINCT repo_url, table_ref AS table_name, cols, ref_name, ref_cols FROM fk_done WHERE resolved),
     q_all AS (
-      SELECT f.repo_url, f.file_id, {q_id} p.q AS stmt_id, p.* EXCLUDE (tpl) FROM files f JOIN p_query p USING (tpl)),
+      SELECT f.repo_url, f.file_id, {q_id} AS stmt_id, p.* EXCLUDE (tpl) FROM files f JOIN p_query p USING (tpl)),
     q_scope AS (
-      SELECT {q_id} p.q AS stmt_id, p.lo, p.hi, p.parent_lo, p.depth, p.join_type, {_render('p.own_text')} AS own_text
+      SELECT {q_id} AS stmt_id, p.lo, p.hi, p.parent_lo, p.depth, p.join_type, {_render('p.own_text')} AS own_text
       FROM files f JOIN p_scope p USING (tpl)),
     q_tab AS (
-      SELECT f.repo_url, {q_id} p.q AS stmt_id, p.lo, p.pos, {_render('p.table_ref')} AS table_ref, p.alias, p.child
+      SELECT f.repo_url, {q_id} AS stmt_id, p.lo, p.pos, {_render('p.table_ref')} AS table_ref, p.alias, p.child
       FROM files f JOIN p_tab p USING (tpl)),
     q_atom AS (
-      SELECT f.repo_url, f.file_id, {q_id} p.q AS stmt_id, p.lo, p.atom_seq, {_render('p.atom')} AS atom, p.op,
+      SELECT f.repo_url, f.file_id, {q_id} AS stmt_id, p.lo, p.atom_seq, {_render('p.atom')} AS atom, p.op,
              {_render('p.l_ref')} AS l_ref, p.l_col, {_render('p.r_ref')} AS r_ref, p.r_col, p.derived
       FROM files f JOIN p_atom p USING (tpl)),
     owner AS (
@@ -403,7 +404,7 @@ def _base() -> str:
       SELECT repo_url, file_id, stmt_id, lo, l_table, r_table, string_agg(DISTINCT c, ',' ORDER BY c) AS conditions,
              count(DISTINCT c) AS n FROM pair GROUP BY ALL),
     refs AS (
-      SELECT DISTINCT f.repo_url, f.file_id, {q_id} p.q AS stmt_id, p.kind, p.func, c.table_name, c.col_name
+      SELECT DISTINCT f.repo_url, f.file_id, {q_id} AS stmt_id, p.kind, p.func, c.table_name, c.col_name
       FROM files f JOIN p_ref p USING (tpl)
       JOIN all_col c ON c.repo_url = f.repo_url AND c.table_name = {_render('p.table_ref')} AND (c.lcol = p.lcol OR p.lcol = '*')),
     queries AS (
@@ -451,7 +452,7 @@ def _base() -> str:
     normal AS (
       SELECT repo_url, file_id, trim(regexp_replace(regexp_replace(text, '{_COMMENT}', '\\1', 'g'), '\\s+', ' ', 'g')) AS text FROM scripts),
     piece AS (
-      SELECT repo_url, file_id, seq - 1 AS stmt_seq, s AS stmt, repo_url || '#' || file_id || '#d' || (seq - 1) AS stmt_id
+      SELECT repo_url, file_id, seq - 1 AS stmt_seq, s AS stmt, file_id || '#d' || (seq - 1) || '#' || repo_url AS stmt_id
       FROM (SELECT repo_url, file_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS seq
             FROM (SELECT *, string_split(regexp_replace(text,
                     '(?i)(create table|alter table|create index|create unique index|insert into|create view)',
@@ -471,7 +472,7 @@ def _base() -> str:
       FROM (SELECT *, string_split(regexp_replace(text, '\\r?\\n([ \\t\\r]*\\n)+', ';', 'g'), ';') AS parts FROM scripts)),
     query_stmt AS (
       SELECT stmt_id, stmt, s FROM (
-        SELECT repo_url || '#' || file_id || '#q' || seq AS stmt_id, s,
+        SELECT file_id || '#q' || seq || '#' || repo_url AS stmt_id, s,
                trim(regexp_replace(regexp_replace(s, '{_COMMENT}', '\\1', 'g'), '\\s+', ' ', 'g')) AS stmt
         FROM block WHERE contains(lower(s), 'select ') AND contains(lower(s), 'from ')))
     """
@@ -510,7 +511,7 @@ def _final() -> dict[str, str]:
         UNION ALL SELECT 'query', doc_id, length(text)::BIGINT FROM documents WHERE length(text) <= 50000"""
     f["b4_normalize_text"] = "SELECT file_id, text FROM normal"
     f["b5_clean_statements"] = "SELECT stmt_id, stmt FROM cleaned WHERE stmt <> ''"
-    f["b6_classify_stmt"] = "SELECT f.repo_url || '#' || f.file_id || '#d' || p.seq AS stmt_id, p.kind FROM files f JOIN p_ddl p USING (tpl)"
+    f["b6_classify_stmt"] = "SELECT f.file_id || '#d' || p.seq || '#' || f.repo_url AS stmt_id, p.kind FROM files f JOIN p_ddl p USING (tpl)"
     f["b7_query_statements"] = "SELECT stmt_id, stmt FROM query_stmt"
     f["b7_join_statements"] = "SELECT stmt_id, stmt FROM query_stmt JOIN q_all USING (stmt_id) WHERE join_like"
     f["b8_strip_hints"] = "SELECT stmt_id, replace(replace(stmt, '(nolock)', ''), '(+)', '') AS stmt FROM query_stmt"
@@ -614,7 +615,7 @@ def _final() -> dict[str, str]:
     f["e14_aggregates"] = "SELECT stmt_id, func, table_name, col_name FROM refs WHERE kind = 'aggregate'"
     f["e16_queries"] = "SELECT * EXCLUDE (repo_url) FROM queries"
     f["e17_union_flag"] = "SELECT stmt_id, is_union FROM q_all"
-    f["e18_inner_selects"] = """SELECT f.repo_url || '#' || f.file_id || '#q' || p.q AS stmt_id, p.lo::BIGINT AS lo,
+    f["e18_inner_selects"] = """SELECT f.file_id || '#q' || p.q || '#' || f.repo_url AS stmt_id, p.lo::BIGINT AS lo,
         p.expr, p.out AS "out", p.func FROM files f JOIN p_item p USING (tpl)"""
 
     key_count = "SELECT '{}', count(*) FROM all_key WHERE {}"

@@ -265,7 +265,7 @@ def c15_ctas_columns(spark, sf):
 
 
 def _alter(spark, sf):
-    return D.alter_facts(D.alter_clauses(stmts(spark, sf)))
+    return D.alter_facts(stmts(spark, sf))
 
 
 _ALTER_KEY = ("stmt_id", "clause_seq", "table_ref", "key_type", "cols")

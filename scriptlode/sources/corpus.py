@@ -94,15 +94,27 @@ def _text(template: str) -> Column:
 
 
 def corpus(spark: SparkSession, sf_dir: str, extra: tuple = ()) -> DataFrame:
-    """Scripts table of the derived corpus. `extra` keeps helper columns for tests."""
+    """Scripts table with one file per part. `extra` keeps name columns."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    return _scripts(spark, sf_dir, part, extra)
+
+
+def large_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts table with one file per lineitem row, from the same templates."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("p_partkey"),
+        F.col("l_quantity").cast("int").alias("p_size"))
+    return _scripts(spark, sf_dir, line, ())
+
+
+def _scripts(spark: SparkSession, sf_dir: str, keys: DataFrame, extra: tuple) -> DataFrame:
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
     cores = spark.sparkContext.defaultParallelism
-    if part.rdd.getNumPartitions() < cores:
+    if keys.rdd.getNumPartitions() < cores:
         # A small input is one file; spread its keys before any text is made.
-        part = part.repartition(cores, "p_partkey")
+        keys = keys.repartition(cores, "p_partkey")
     n = supplier.agg(F.count("*")).scalar()
-    named = (part.withColumn("n", n)
+    named = (keys.withColumn("n", n)
              .withColumn("s_suppkey", F.col("p_partkey") % F.col("n"))
              .withColumn("num", F.floor(F.col("p_partkey") / F.col("n")))
              .withColumn("k", (F.col("num") % 7).cast("string"))

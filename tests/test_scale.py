@@ -85,7 +85,7 @@ def test_statement_and_fact_extraction_does_not_shuffle(spark):
     base = plan(scripts).count("Exchange")
     stmts = S.statements(scripts)
     flat = S.query_statements(scripts)
-    for df in (stmts, D.create_facts(stmts), D.alter_facts(D.alter_clauses(stmts)), D.insert_columns(stmts), flat):
+    for df in (stmts, D.create_facts(stmts), D.alter_facts(stmts), D.insert_columns(stmts), flat):
         assert plan(df).count("Exchange") == base
 
 
