@@ -49,14 +49,14 @@ def mentions(parts: DataFrame) -> DataFrame:
             "condition", i, F.when(a["is_join"], a["l"]), "l", a["op_name"], a["atom"])),
         F.transform("atoms", lambda a, i: _mention(
             "condition", i, F.when(a["is_join"], a["r"]), "r", a["op_name"], a["atom"]))]
-    rows = (parts.select(*_KEYS, "lo", "hi", "nested", "from_tables",
-                         F.inline(F.concat(*arrays)))
-            .filter(F.col("ref").rlike(rf"^(?:{_PART}\.)*(?:{_PART}|\*)$")))
-    rows = (rows.withColumn("prefix", F.nullif(F.regexp_extract("ref", r"^(.*)\.[^.]+$", 1), F.lit("")))
-            .withColumn("lcol", X.last_part(F.col("ref"))))
-    bound = F.get(F.filter("from_tables", lambda t: (t["alias"] == F.col("prefix"))
-                           | (F.lower(t["table_ref"]) == F.col("prefix"))), F.lit(0))
-    rows = rows.withColumn("bound", bound)
+    refs = F.filter(F.concat(*arrays), lambda m: m["ref"].rlike(rf"^(?:{_PART}\.)*(?:{_PART}|\*)$"))
+    named = F.transform(refs, lambda m: m.withField(
+        "prefix", F.nullif(F.regexp_extract(m["ref"], r"^(.*)\.[^.]+$", 1), F.lit("")))
+        .withField("lcol", X.last_part(m["ref"])))
+    bound = F.transform(named, lambda m: m.withField("bound", F.when(
+        m["prefix"].isNotNull(), F.get(F.filter("from_tables", lambda t: (t["alias"] == m["prefix"])
+                                                | (F.lower(t["table_ref"]) == m["prefix"])), F.lit(0)))))
+    rows = parts.select(*_KEYS, "lo", "hi", "nested", "from_tables", F.inline(bound))
     mode = (F.when(F.col("prefix").isNull(), "bare")
             .when(F.col("bound.child").isNotNull(), "derived")
             .when(F.col("bound").isNotNull() | ~F.col("nested"), "named")
@@ -65,15 +65,21 @@ def mentions(parts: DataFrame) -> DataFrame:
 
 
 def _named_and_bare(rows: DataFrame) -> DataFrame:
-    """Candidates of named mentions (one) and bare ones (each table of the scope)."""
-    one = F.array(F.struct(F.lit(None).cast("string").alias("alias"),
-                           F.coalesce("bound.table_ref", "prefix").alias("table_ref"),
-                           F.lit(None).cast("int").alias("child")))
-    listed = F.when(F.col("mode") == "named", one).otherwise(F.col("from_tables"))
+    """Candidates of named mentions (one) and of bare ones: each table of the scope and, for a
+    condition in the end, any table of the repository."""
+    def entry(table_ref):
+        return F.struct(F.lit(None).cast("string").alias("alias"), table_ref.alias("table_ref"),
+                        F.lit(None).cast("int").alias("child"))
+
+    bare = F.when(F.col("kind") == "condition", F.array_append("from_tables", entry(F.lit("*")))).otherwise(
+        F.col("from_tables"))
+    listed = F.when(F.col("mode") == "named",
+                    F.array(entry(F.coalesce("bound.table_ref", "prefix")))).otherwise(bare)
     return (rows.filter(F.col("mode").isin("named", "bare"))
-            .select(*_REF, "lo", "mode", "lcol", "nested",
-                    F.posexplode(listed).alias("c_pos", "t"))
-            .select(*_REF, "mode", "lcol", F.col("c_pos").cast("bigint").alias("c_pos"),
+            .select(*_REF, "mode", "lcol", F.posexplode(listed).alias("pos", "t"))
+            .select(*_REF, "mode", "lcol",
+                    F.when(F.col("t.table_ref") == "*", F.lit(_ANY_TABLE_POS)).otherwise(
+                        F.col("pos").cast("bigint")).alias("c_pos"),
                     "t.table_ref", "t.child"))
 
 
@@ -124,12 +130,6 @@ def _derived(cands: DataFrame, parts: DataFrame) -> DataFrame:
             .withColumn("c_pos", F.col("in_pos")).drop("in_pos"))
 
 
-def _anywhere(rows: DataFrame) -> DataFrame:
-    """Bare columns of conditions may, in the end, belong to any table of the repository."""
-    return rows.filter((F.col("mode") == "bare") & (F.col("kind") == "condition")).select(
-        *_REF, "mode", "lcol", F.lit(_ANY_TABLE_POS).alias("c_pos"), F.lit("*").alias("table_ref"))
-
-
 def candidates(parts: DataFrame) -> DataFrame:
     """Each mention with the tables that may hold it, in order of preference (c_pos).
 
@@ -144,7 +144,7 @@ def candidates(parts: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("table_ref"), F.col("bound.child").alias("child"))
     inner = _derived(direct.filter(F.col("child").isNotNull()).unionByName(named_child), parts)
     held = _named_and_bare(flat).unionByName(direct).filter(F.col("table_ref").isNotNull()).drop("child")
-    return held.unionByName(inner).unionByName(_anywhere(flat)).unionByName(_anywhere(nested))
+    return held.unionByName(inner)
 
 
 def resolved(cands: DataFrame, catalog: Catalog) -> DataFrame:

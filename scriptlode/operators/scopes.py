@@ -144,76 +144,103 @@ def scope_parts(scope_rows: DataFrame) -> DataFrame:
     commas = X.split_top(F.col("from_text"))
     from_items = F.flatten(F.transform(commas, lambda c: F.split(c, _JOIN)))
     rows = (rows.withColumn("from_items", from_items)
-            .withColumn("from_tables", F.filter(F.transform("from_items", _from_item),
-                                                lambda t: t["table_ref"].isNotNull() | t["child"].isNotNull()))
-            .withColumn("select_items", F.transform(X.split_top(F.col("select_text")), _select_item))
+            .withColumn("from_tables", _from_items(F.col("from_items")))
+            .withColumn("select_items", _select_items(X.split_top(F.col("select_text"))))
             .withColumn("group_items", F.transform(F.split("group_text", ","),
                                                    lambda g: F.lower(_unquote(F.trim(g))))))
     ons = F.filter(F.transform("from_items", lambda i: F.regexp_extract(i, r"(?i)\son\b\s*(.*)$", 1)),
                    lambda t: t != "")
     cond = F.concat_ws(" and ", ons, F.nullif(F.trim("where_text"), F.lit("")))
-    atoms = F.filter(F.transform(F.split(cond, r"(?i)\s+(?:and|or)\s+"), lambda a: _bare_atom(a)),
-                     lambda a: a != "")
+    rows = rows.withColumn("cond_text", cond)
     rows = rows.withColumn("limit_cols", F.regexp_extract_all(
-        F.lower(_unquote(cond)), F.lit(r"[\w$#@.]+"), F.lit(0)))
-    return rows.withColumn("atoms", F.transform(F.transform(atoms, lambda a: _atom(a)), lambda a: _judge(a)))
+        F.lower(_unquote(F.col("cond_text"))), F.lit(r"[\w$#@.]+"), F.lit(0)))
+    return rows.withColumn("atoms", _atoms(F.col("cond_text"))).drop("from_items", "cond_text")
 
 
 def _unquote(c: Column) -> Column:
     return F.regexp_replace(c, r"""[`"\[\]]""", "")
 
 
-def _from_item(item: Column) -> Column:
-    item = F.regexp_replace(item, r"^[\s(]+(?!#)", "")
-    child = F.regexp_extract(item, r"^\(?#(\d+)\)", 1)
-    name = X.group_of(item, rf"^({X.NAME})")
-    rest = F.regexp_replace(item, rf"^(?:\(?#\d+\)|{X.NAME})\s*", "")
-    alias = F.lower(_unquote(F.regexp_extract(rest, r"(?i)^(?:as\s+)?([`\"\[]?[\w$#@]+[`\"\]]?)", 1)))
-    alias = F.when(~alias.isin("", *_NO_ALIAS), alias)
-    is_child = child != ""
-    table = F.when(~is_child & ~item.startswith("#"), X.clean_ident(name))
-    return F.struct(F.coalesce(alias, F.lower(X.last_part(table))).alias("alias"),
-                    table.alias("table_ref"),
-                    F.when(is_child, child.cast("int")).alias("child"))
+_FROM = rf"(?i)^(?:\(?#(\d+)\)|({X.NAME}))\s*(?:as\s+)?([`\"\[]?[\w$#@]+[`\"\]]?)?"
+
+
+def _from_items(items: Column) -> Column:
+    """Alias with the table, or with the block of the derived table, of each item of a from
+    clause. Built in steps, so that no pattern runs twice."""
+    opened = F.transform(items, lambda i: F.regexp_replace(i, r"^[\s(]+(?!#)", ""))
+    found = F.transform(opened, lambda i: F.struct(
+        F.nullif(F.regexp_extract(i, _FROM, 1), F.lit("")).cast("int").alias("child"),
+        F.nullif(X.clean_ident(F.regexp_extract(i, _FROM, 2)), F.lit("")).alias("table_ref"),
+        F.lower(_unquote(F.regexp_extract(i, _FROM, 3))).alias("word")))
+    known = F.filter(found, lambda t: t["child"].isNotNull() | (
+        t["table_ref"].isNotNull() & ~t["table_ref"].startswith("(#")))
+    return F.transform(known, lambda t: F.struct(
+        F.coalesce(F.when(~t["word"].isin("", *_NO_ALIAS), t["word"]),
+                   F.lower(X.last_part(t["table_ref"]))).alias("alias"),
+        t["table_ref"].alias("table_ref"), t["child"].alias("child")))
 
 
 _AGG = "|".join(AGGREGATES)
 _COLREF = r"[\w$#@.\[\]`\"]+"
 
 
-def _select_item(item: Column) -> Column:
-    """expr (column reference or star, lower case), out (output name) and func of a select item."""
-    named = F.regexp_extract(item, r"(?i)\s+as\s+(\S+)$", 1)
-    bare = F.when(named == "", F.regexp_extract(item, r"^(?:\S+|.*\))\s+([\w$#@`\"\[\]]+)$", 1)).otherwise("")
-    alias = F.coalesce(F.nullif(named, F.lit("")), F.nullif(bare, F.lit("")))
-    expr = F.when(named != "", F.regexp_replace(item, r"(?i)\s+as\s+\S+$", "")).when(
-        bare != "", F.regexp_replace(item, r"\s+\S+$", "")).otherwise(item)
-    func = F.lower(F.regexp_extract(expr, rf"(?i)^({_AGG})\s*\(", 1))
-    inner = F.regexp_extract(expr, r"(?i)^\w+\s*\(\s*(?:distinct\s+)?([^()]*?)\s*\)$", 1)
-    ref = F.lower(_unquote(F.trim(F.when(inner != "", inner).otherwise(expr))))
-    is_ref = ref.rlike(r"^(?:[a-z_#@$\u0080-￿][\w$#@]*\.)*[a-z_#@$\u0080-￿][\w$#@]*$")
-    is_star = ref.rlike(r"^(?:[\w$#@.]+\.)?\*$") & (inner == "")
-    return F.struct(
-        F.when(is_ref | is_star, ref).alias("expr"),
-        F.lower(_unquote(F.coalesce(alias, F.when(is_ref, X.last_part(ref))))).alias("out"),
-        F.when(is_ref, F.nullif(func, F.lit(""))).alias("func"),
-        F.coalesce(alias.isNotNull(), F.lit(False)).alias("aliased"))
+_IS_REF = r"^(?:[a-z_#@$\u0080-\uffff][\w$#@]*\.)*[a-z_#@$\u0080-\uffff][\w$#@]*$"
+
+
+def _select_items(items: Column) -> Column:
+    """expr (column reference or star, lower case), out (output name), func and aliased of each
+    select item. Built in steps, so that no pattern runs twice."""
+    named = F.transform(items, lambda i: F.struct(
+        i.alias("item"), F.regexp_extract(i, r"(?i)\s+as\s+(\S+)$", 1).alias("named")))
+    bare = F.transform(named, lambda f: f.withField("bare", F.when(
+        f["named"] == "", F.regexp_extract(f["item"], r"^(?:\S+|.*\))\s+([\w$#@`\"\[\]]+)$", 1)).otherwise("")))
+    split = F.transform(bare, lambda f: F.struct(
+        F.coalesce(F.nullif(f["named"], F.lit("")), F.nullif(f["bare"], F.lit(""))).alias("alias"),
+        F.when(f["named"] != "", F.regexp_replace(f["item"], r"(?i)\s+as\s+\S+$", ""))
+        .when(f["bare"] != "", F.regexp_replace(f["item"], r"\s+\S+$", "")).otherwise(f["item"]).alias("expr")))
+    called = F.transform(split, lambda f: F.when(F.contains(f["expr"], F.lit("(")), F.struct(
+        f["alias"].alias("alias"), f["expr"].alias("expr"),
+        F.lower(F.regexp_extract(f["expr"], rf"(?i)^({_AGG})\s*\(", 1)).alias("func"),
+        F.regexp_extract(f["expr"], r"(?i)^\w+\s*\(\s*(?:distinct\s+)?([^()]*?)\s*\)$", 1).alias("inner")))
+        .otherwise(F.struct(f["alias"].alias("alias"), f["expr"].alias("expr"),
+                            F.lit("").alias("func"), F.lit("").alias("inner"))))
+    refs = F.transform(called, lambda f: F.struct(
+        F.lower(_unquote(f["alias"])).alias("alias"), f["func"].alias("func"), (f["inner"] == "").alias("plain"),
+        F.lower(_unquote(F.trim(F.when(f["inner"] != "", f["inner"]).otherwise(f["expr"])))).alias("ref")))
+    judged = F.transform(refs, lambda f: F.struct(
+        f["alias"].alias("alias"), f["func"].alias("func"), f["ref"].alias("ref"),
+        f["ref"].rlike(_IS_REF).alias("is_ref"),
+        (f["plain"] & f["ref"].rlike(r"^(?:[\w$#@.]+\.)?\*$")).alias("is_star")))
+    return F.transform(judged, lambda f: F.struct(
+        F.when(f["is_ref"] | f["is_star"], f["ref"]).alias("expr"),
+        F.coalesce(f["alias"], F.when(f["is_ref"], X.last_part(f["ref"]))).alias("out"),
+        F.when(f["is_ref"], F.nullif(f["func"], F.lit(""))).alias("func"),
+        f["alias"].isNotNull().alias("aliased")))
+
+
+def _atoms(cond: Column) -> Column:
+    """Comparison atoms of a condition text, split and judged in steps."""
+    pieces = F.transform(F.split(cond, r"(?i)\s+(?:and|or)\s+"), lambda a: _bare_atom(a))
+    plain = F.transform(F.filter(pieces, lambda a: a != ""), lambda a: F.struct(
+        a.alias("atom"), F.lower(F.regexp_replace(F.when(a.contains('"'), F.regexp_replace(
+            a, r"\"([^\"]*)\"\.|\.\"([^\"]*)\"", "$1.$2")).otherwise(a), r"::\s*\w+", "")).alias("plain")))
+    parts = r"^(.*?)\s*(<=|>=|<>|!=|==|=|<|>)\s*(.*)$"
+    sides = F.transform(plain, lambda a: F.struct(
+        a["atom"].alias("atom"), a["plain"].alias("plain"),
+        F.regexp_extract(a["plain"], parts, 1).alias("l"), F.regexp_extract(a["plain"], parts, 2).alias("op"),
+        F.regexp_extract(a["plain"], parts, 3).alias("r")))
+    names = F.create_map(*[F.lit(v) for kv in OP_NAMES.items() for v in kv])
+    known = F.transform(sides, lambda a: a.withField(
+        "op_name", F.when((a["l"] != "") & (a["r"] != ""), names[a["op"]]))
+        .withField("l_literal", a["l"].rlike(_LITERAL)).withField("r_literal", a["r"].rlike(_LITERAL)))
+    return F.transform(known, _judge)
 
 
 def _bare_atom(a: Column) -> Column:
     """An atom without the parentheses left over from splitting at AND and OR."""
-    a = F.trim(F.regexp_replace(a, r"^[\s(]+(?!#)", ""))
-    return F.when(F.contains(a, F.lit("(")), a).otherwise(F.regexp_replace(a, r"[\s)]+$", ""))
-
-
-def _atom(atom: Column) -> Column:
-    plain = F.regexp_replace(atom, r"\"([^\"]*)\"\.|\.\"([^\"]*)\"", "$1.$2")
-    plain = F.regexp_replace(plain, r"::\s*\w+", "")
-    parts = r"^(.*?)\s*(<=|>=|<>|!=|==|=|<|>)\s*(.*)$"
-    return F.struct(atom.alias("atom"), F.lower(plain).alias("plain"),
-                    F.lower(F.regexp_extract(plain, parts, 1)).alias("l"),
-                    F.regexp_extract(plain, parts, 2).alias("op"),
-                    F.lower(F.regexp_extract(plain, parts, 3)).alias("r"))
+    opened = F.trim(F.regexp_replace(a, r"^[\s(]+(?!#)", ""))
+    return F.when(~a.rlike("[()]"), F.trim(a)).when(F.contains(opened, F.lit("(")), opened).otherwise(
+        F.regexp_replace(opened, r"[\s)]+$", ""))
 
 
 _VALUE = r"^[-+]?\$?\s*[0-9]+(?:\.[0-9]*)?(?:e[-+]?[0-9]+)?$|^(?:default|true|false|null)$"
@@ -226,19 +253,16 @@ def _side(c: Column) -> Column:
 
 
 def _judge(a: Column) -> Column:
-    """Operator name; whether the atom can be a join condition; whether it selects by a literal."""
+    """Whether the atom can be a join condition, and whether it selects by a literal."""
     words = a["plain"].rlike(r"\b(?:select|from|join|where)\s")
     marks = a["plain"].rlike(r"[,()+?@:'\"]")
     spaces = (F.regexp_count(a["l"], F.lit(" ")) > 1) | (F.regexp_count(a["r"], F.lit(" ")) > 1)
-    op = F.create_map(*[F.lit(v) for kv in OP_NAMES.items() for v in kv])[a["op"]]
-    both = (a["l"] != "") & (a["r"] != "")
-    join = op.isNotNull() & both & ~words & ~marks & ~spaces & ~a["l"].rlike(_VALUE) & ~a["r"].rlike(_VALUE)
-    lit_l, lit_r = a["l"].rlike(_LITERAL), a["r"].rlike(_LITERAL)
-    return F.struct(a["atom"].alias("atom"), a["op"].alias("op"), op.alias("op_name"),
-                    _side(a["l"]).alias("l"), _side(a["r"]).alias("r"),
-                    F.coalesce(join, F.lit(False)).alias("is_join"),
-                    (op.isNotNull() & both & (lit_l | lit_r)).alias("is_selection"),
-                    lit_l.alias("l_literal"), lit_r.alias("r_literal"))
+    kept = a["op_name"].isNotNull()
+    join = kept & ~marks & ~words & ~spaces & ~a["l"].rlike(_VALUE) & ~a["r"].rlike(_VALUE)
+    return F.struct(a["atom"].alias("atom"), a["op"].alias("op"), a["op_name"].alias("op_name"),
+                    _side(a["l"]).alias("l"), _side(a["r"]).alias("r"), join.alias("is_join"),
+                    (kept & (a["l_literal"] | a["r_literal"])).alias("is_selection"),
+                    a["l_literal"].alias("l_literal"), a["r_literal"].alias("r_literal"))
 
 
 def scope_tables(parts: DataFrame) -> DataFrame:
