@@ -54,10 +54,14 @@ def write_training(labels: DataFrame, clusters: DataFrame, path: str, seed: str
 
 def write_catalog(tables: dict, path: str, buckets: int = 64, mode: str = "append") -> None:
     """Write each fact table below path, partitioned by a hash bucket of the repository; further
-    batches append, so reading the folder merges them."""
+    batches append, so reading the folder merges them.
+
+    The rebalance hint gathers a bucket's rows into few files and splits a bucket that one large
+    repository fills.
+    """
     for name, df in tables.items():
-        (df.withColumn("bucket", F.pmod(F.xxhash64("repo_url"), F.lit(buckets)).cast("int"))
-         .write.mode(mode).partitionBy("bucket").parquet(f"{path}/{name}"))
+        rows = df.withColumn("bucket", F.pmod(F.xxhash64("repo_url"), F.lit(buckets)).cast("int"))
+        rows.hint("rebalance", F.col("bucket")).write.mode(mode).partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def read_catalog(spark: SparkSession, path: str, name: str) -> DataFrame:

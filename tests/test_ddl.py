@@ -73,12 +73,12 @@ CASES = {
          "sc": ("ID integer,s integer!", ["PrimaryKey ID", "UniqueKey ID,s"])},
         ["trig SCHED,JOB -> JOB_DETAILS SCHED,JOB"]),
     "unique_lists": ("""
-      CREATE TABLE taxon ( id INT(10) UNSIGNED NOT NULL auto_increment, l INT(10), r TINYINT UNSIGNED,
+      CREATE TABLE kinds_of ( id INT(10) UNSIGNED NOT NULL auto_increment, l INT(10), r TINYINT UNSIGNED,
         PRIMARY KEY (id), UNIQUE (l), UNIQUE(r) ) TYPE=INNODB;
-      CREATE TABLE AA ( pk varchar(3) NOT NULL DEFAULT '', k int(11) DEFAULT NULL, v varchar(52) DEFAULT NULL,
+      CREATE TABLE K2 ( pk varchar(3) NOT NULL DEFAULT '', k int(11) DEFAULT NULL, v varchar(52) DEFAULT NULL,
         PRIMARY KEY (pk), UNIQUE KEY v_key (v), UNIQUE KEY `index` (`pk`,`v`), KEY k_key (k) );""",
-        {"taxon": ("id int!,l int,r tinyint", ["PrimaryKey id", "UniqueKey l", "UniqueKey r"]),
-         "AA": ("pk varchar!,k int,v varchar",
+        {"kinds_of": ("id int!,l int,r tinyint", ["PrimaryKey id", "UniqueKey l", "UniqueKey r"]),
+         "K2": ("pk varchar!,k int,v varchar",
                 ["PrimaryKey pk", "UniqueKey v", "UniqueKey pk,v", "CandidateKey k"])}, []),
     "comments_in_other_scripts": ("""
       CREATE TABLE `bind` ( `c_id` varchar(35) NOT NULL DEFAULT '', `c_user` varchar(35) DEFAULT NULL COMMENT '用户id（shop中的c_uid）',
@@ -128,13 +128,13 @@ CASES = {
         {"web": ("lat varchar!,lon varchar!,id int!",
                  ["PrimaryKey id", "UniqueKey lat,lon", "UniqueIndex lon,lat", "UniqueKey id,lat"])}, []),
     "create_index": ("""
-      CREATE TABLE acl ( id INT UNSIGNED IDENTITY NOT NULL, kind NVARCHAR(200) NOT NULL, PRIMARY KEY (id));
-      CREATE UNIQUE INDEX UNIQ_69 ON acl (kind) WHERE kind IS NOT NULL;
-      CREATE TABLE "APP"."IDXS" ( "INDEX_NAME" VARCHAR(128), "TBL" BIGINT );
-      CREATE UNIQUE INDEX "APP"."UNIQ" ON "APP"."IDXS" ("INDEX_NAME", "TBL");
-      CREATE INDEX lone ON idxs USING btree (TBL DESC NULLS LAST);""",
-        {"acl": ("id int!,kind nvarchar!", ["PrimaryKey id", "UniqueIndex kind"]),
-         "APP.IDXS": ("INDEX_NAME varchar,TBL bigint", ["UniqueIndex INDEX_NAME,TBL", "Index TBL"])}, []),
+      CREATE TABLE grants ( id INT UNSIGNED IDENTITY NOT NULL, kind NVARCHAR(200) NOT NULL, PRIMARY KEY (id));
+      CREATE UNIQUE INDEX KIND_ONCE ON grants (kind) WHERE kind IS NOT NULL;
+      CREATE TABLE "CORE"."PARTS" ( "PART_NAME" VARCHAR(128), "TBL" BIGINT );
+      CREATE UNIQUE INDEX "CORE"."UNIQ" ON "CORE"."PARTS" ("PART_NAME", "TBL");
+      CREATE INDEX lone ON parts USING btree (TBL DESC NULLS LAST);""",
+        {"grants": ("id int!,kind nvarchar!", ["PrimaryKey id", "UniqueIndex kind"]),
+         "CORE.PARTS": ("PART_NAME varchar,TBL bigint", ["UniqueIndex PART_NAME,TBL", "Index TBL"])}, []),
     "column_references": ("""
       CREATE TABLE p (id int PRIMARY KEY, k int);
       CREATE TABLE c (a int NOT NULL REFERENCES p(id), b int REFERENCES p, d int FOREIGN KEY REFERENCES p(k) ON DELETE CASCADE, x geo REFERENCES p(id));""",

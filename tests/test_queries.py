@@ -7,41 +7,41 @@ from scriptlode.operators import analytics as A, query_facts as QF, scopes as Q,
 
 from .conftest import facts_of, listed, make_scripts
 
-DDL = """create table actor (Last_Name varchar(9), id int);
-create table shop_item (productID int, attributeID int, shopLocation text, quantity int);
-create table product (id int, name text); create table attribute (id int, sizeValue int);
-create table mrs (mrid int, revisionid text); create table files (extension text);
-create table _auto (CodF int, Targa text, Cilindrata int, Potenza int); create table owners (CodF int, Nome text);
-create table wifi (row_id int, mall_id int, shop_id int, bssid int);
-create table win (mall_id int, shop_id int, bssid int, n int);
+DDL = """create table staff (Family varchar(9), id int);
+create table stock_row (goodsNo int, traitNo int, storePlace text, quantity int);
+create table goods (id int, name text); create table trait (id int, widthCm int);
+create table runs (runno int, revno text); create table files (suffix text);
+create table _car (TaxNo int, Plate text, Engine int, Power int); create table owners (TaxNo int, Label text);
+create table radio (rowno int, hall int, desk int, chan int);
+create table win (hall int, desk int, chan int, n int);
 create table a1 (k int, v int); create table b1 (k int, w int); create table c1 (k int, v int);
 """
 
 # name: (query, joins, {kind: facts}, failures)
 CASES = {
-    "having": ("SELECT last_name, COUNT(last_name) from actor GROUP BY last_name HAVING COUNT(last_name) > 1", [],
-               {"projection": "actor.Last_Name", "aggregate": "count actor.Last_Name", "groupby": "actor.Last_Name"}, []),
-    "inner_and_left": ("""SELECT Product.name, Attribute.sizeValue FROM Shop_Item INNER JOIN Product ON Shop_Item.productID = Product.id
-        LEFT JOIN Attribute ON Shop_Item.attributeID = Attribute.id WHERE Shop_Item.shopLocation = 'Games, Shop (x)' AND Shop_Item.quantity = 0""",
-        ["product inner shop_item: id Eq productID", "attribute inner shop_item: id Eq attributeID"],
-        {"projection": "attribute.sizeValue product.name", "selection": "shop_item.quantity shop_item.shopLocation"}, []),
-    "natural": ("select mrid from mrs natural join files where (extension = '.c' or extension = '.h') and revisionid = '1.1'", [],
-                {"projection": "mrs.mrid", "selection": "files.extension mrs.revisionid"}, []),
-    "comma_join": ("SELECT p.Nome, a.Targa FROM _Auto a, Owners p WHERE a.CodF=p.CodF AND (Cilindrata = 2000 OR Potenza > 120)",
-                   ["_auto inner owners: CodF Eq CodF"],
-                   {"projection": "_auto.Targa owners.Nome", "selection": "_auto.Cilindrata _auto.Potenza"}, []),
-    "aggregates": ("select mall_id,max(bssid) as m,MIN( shop_id ),count(1) as c, sum(distinct n) from win where shop_id=1 group by mall_id,bssid,shop_id;", [],
-                   {"projection": "win.bssid win.mall_id win.n win.shop_id", "aggregate": "max win.bssid|min win.shop_id|sum win.n",
-                    "selection": "win.shop_id", "groupby": "win.bssid win.mall_id win.shop_id"}, []),
-    "stars": ("select * from a1, b1, missing_t where v = 100 and w = 1 or mall_id = 3 group by k", [],
+    "having": ("SELECT family, COUNT(family) from staff GROUP BY family HAVING COUNT(family) > 1", [],
+               {"projection": "staff.Family", "aggregate": "count staff.Family", "groupby": "staff.Family"}, []),
+    "inner_and_left": ("""SELECT Goods.name, Trait.widthCm FROM Stock_Row INNER JOIN Goods ON Stock_Row.goodsNo = Goods.id
+        LEFT JOIN Trait ON Stock_Row.traitNo = Trait.id WHERE Stock_Row.storePlace = 'North, Hall (x)' AND Stock_Row.quantity = 0""",
+        ["goods inner stock_row: id Eq goodsNo", "stock_row inner trait: traitNo Eq id"],
+        {"projection": "trait.widthCm goods.name", "selection": "stock_row.quantity stock_row.storePlace"}, []),
+    "natural": ("select runno from runs natural join files where (suffix = '.c' or suffix = '.h') and revno = '1.1'", [],
+                {"projection": "runs.runno", "selection": "files.suffix runs.revno"}, []),
+    "comma_join": ("SELECT p.Label, a.Plate FROM _Car a, Owners p WHERE a.TaxNo=p.TaxNo AND (Engine = 2000 OR Power > 120)",
+                   ["_car inner owners: TaxNo Eq TaxNo"],
+                   {"projection": "_car.Plate owners.Label", "selection": "_car.Engine _car.Power"}, []),
+    "aggregates": ("select hall,max(chan) as m,MIN( desk ),count(1) as c, sum(distinct n) from win where desk=1 group by hall,chan,desk;", [],
+                   {"projection": "win.chan win.hall win.n win.desk", "aggregate": "max win.chan|min win.desk|sum win.n",
+                    "selection": "win.desk", "groupby": "win.chan win.hall win.desk"}, []),
+    "stars": ("select * from a1, b1, missing_t where v = 100 and w = 1 or hall = 3 group by k", [],
               {"projection": "a1.k a1.v b1.k b1.w", "selection": "a1.v b1.w", "groupby": "a1.k b1.k"}, []),
-    "two_levels": ("""select c.row_id,c.pred_shop,sum(c.n) as n from
-        (select a.row_id,a.shop_id,b.pred_shop,b.n from (select row_id,mall_id,shop_id,bssid from wifi) as a
-         inner join (select mall_id,shop_id as pred_shop,bssid,n from win) as b
-         on a.mall_id = b.mall_id and a.bssid = b.bssid) as c group by c.row_id,c.pred_shop""",
-        ["wifi inner win: bssid Eq bssid; mall_id Eq mall_id"],
-        {"projection": "wifi.bssid wifi.mall_id wifi.row_id wifi.shop_id win.bssid win.mall_id win.n win.shop_id",
-         "aggregate": "sum win.n", "groupby": "wifi.row_id win.shop_id"}, []),
+    "two_levels": ("""select c.rowno,c.near_desk,sum(c.n) as n from
+        (select a.rowno,a.desk,b.near_desk,b.n from (select rowno,hall,desk,chan from radio) as a
+         inner join (select hall,desk as near_desk,chan,n from win) as b
+         on a.hall = b.hall and a.chan = b.chan) as c group by c.rowno,c.near_desk""",
+        ["radio inner win: chan Eq chan; hall Eq hall"],
+        {"projection": "radio.chan radio.hall radio.rowno radio.desk win.chan win.hall win.n win.desk",
+         "aggregate": "sum win.n", "groupby": "radio.rowno win.desk"}, []),
     "correlated": ("select x.v from a1 x where exists (select 1 from b1 where b1.k >= x.k and x.nope = b1.w)",
                    ["a1 inner b1: k LtEq k"], {"projection": "a1.v"}, ["left column nope"]),
     "inner_alias_wins": ("select x.v from a1 x where x.k in (select x.k from c1 x join b1 y on x.k < y.k)",
@@ -53,7 +53,7 @@ CASES = {
     "dropped_atoms": ("""select 1 from a1 x, b1 y where x.k != y.k and x.k <> y.w and x.k = 5 and x.k = y.k + 1 and x.k = :p and x.k = ?
                       and x.k = true and x.v = f(y.k) and x.v in (1, 2) and x.k = @v and x."v" = y."w" and x.k::int = y.k""",
                       ["a1 inner b1: k Eq k; v Eq w"], {"selection": "a1.k"}, []),
-    "bare_sides": ("select 1 from b1, c1 where w = v and mrid = c1.k", ["b1 inner c1: w Eq v", "c1 inner mrs: k Eq mrid"], {}, []),
+    "bare_sides": ("select 1 from b1, c1 where w = v and runno = c1.k", ["b1 inner c1: w Eq v", "c1 inner runs: k Eq runno"], {}, []),
     "bracketed_join": ("select [x].[v] from ([a1] as x left outer join `b1` as y on ((x.k = y.k))) order by 1",
                        ["a1 left b1: k Eq k"], {"projection": "a1.v"}, []),
     "right_majority": ("select 1 from a1 right join b1 on a1.k = b1.k right outer join c1 on c1.k = b1.k left join win on win.n = a1.v",

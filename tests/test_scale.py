@@ -117,3 +117,31 @@ def test_whole_texts_are_used(spark):
     text = "-- filler\n" * 30000 + "insert into t (a) values (1);\n" * 2000 + "create table last_one (z int);"
     stmts = S.statements(make_scripts(spark, {"f": text}))
     assert stmts.count() == 2001 and stmts.filter("stmt like '%last_one%'").count() == 1
+
+
+def test_hot_name_is_split(spark, tmp_path):
+    """One column of one table gets nearly all mentions; its partition is split in the lookup."""
+    c = C.build_catalog(S.statements(make_scripts(spark, {"f": "create table hot (id int, k int); create table cold (x int)"})))
+    rows = (spark.range(60000).select(
+        F.concat(F.col("id").cast("string"), F.lit("#q0#r")).alias("stmt_id"), F.lit("https://example.org/u1/r1").alias("repo_url"),
+        F.concat(F.md5(F.col("id").cast("string")), F.md5(F.lit("x") )).alias("file_id"), F.lit(0).alias("lo"), F.lit(0).alias("seq"),
+        F.lit("projection").alias("kind"), F.lit("").alias("side"), F.lit("").alias("func"), F.md5((F.col("id") * 7).cast("string")).alias("atom"),
+        F.lit("named").alias("mode"), F.lit(0).cast("bigint").alias("c_pos"),
+        F.when(F.col("id") % 50 == 0, F.concat(F.lit("t"), F.col("id").cast("string"))).otherwise("hot").alias("table_ref"), F.lit("id").alias("lcol")))
+    rows.repartition(12).write.parquet(str(tmp_path / "m"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.shuffle.partitions": "8",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "400k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = QF.resolved(spark.read.parquet(str(tmp_path / "m")), c)
+        found = df.collect()
+        assert "isSkewJoin=true" in df._jdf.queryExecution().executedPlan().toString() or "skew=true" in plan(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(found) == 60000
+    assert sum(r["col_name"] == "id" for r in found) == 60000 - 1200
