@@ -49,7 +49,7 @@ def mentions(parts: DataFrame) -> DataFrame:
             "condition", i, F.when(a["is_join"], a["l"]), "l", a["op_name"], a["atom"])),
         F.transform("atoms", lambda a, i: _mention(
             "condition", i, F.when(a["is_join"], a["r"]), "r", a["op_name"], a["atom"]))]
-    refs = F.filter(F.concat(*arrays), lambda m: m["ref"].rlike(rf"^(?:{_PART}\.)*(?:{_PART}|\*)$"))
+    refs = F.filter(F.concat(*arrays), lambda m: m["ref"].rlike(rf"^(?:{_PART}\.)*+(?:{_PART}|\*)$"))
     named = F.transform(refs, lambda m: m.withField(
         "prefix", F.nullif(F.regexp_extract(m["ref"], r"^(.*)\.[^.]+$", 1), F.lit("")))
         .withField("lcol", X.last_part(m["ref"])))

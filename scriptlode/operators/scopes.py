@@ -184,7 +184,7 @@ _AGG = "|".join(AGGREGATES)
 _COLREF = r"[\w$#@.\[\]`\"]+"
 
 
-_IS_REF = r"^(?:[a-z_#@$\u0080-\uffff][\w$#@]*\.)*[a-z_#@$\u0080-\uffff][\w$#@]*$"
+_IS_REF = r"^(?:[a-z_#@$\u0080-\uffff][\w$#@]*\.)*+[a-z_#@$\u0080-\uffff][\w$#@]*$"
 
 
 def _select_items(items: Column) -> Column:

@@ -106,7 +106,7 @@ def query_statements(scripts: DataFrame, join_only: bool = False) -> DataFrame:
             keep = keep & joins & piece.rlike("[=<>]")
         return keep
 
-    pieces = F.split(F.regexp_replace("text", r"\r?\n(?:[ \t\r]*\n)+", ";"), ";")
+    pieces = F.split(F.regexp_replace("text", r"\r?\n(?:[ \t\r]*+\n)++", ";"), ";")
     numbered = F.transform(pieces, lambda s, i: F.struct(i.alias("stmt_seq"), s.alias("raw")))
     cleaned = F.transform(F.filter(numbered, lambda p: wanted(p["raw"])), lambda p: F.struct(
         p["stmt_seq"].alias("stmt_seq"), X.normalize_text(p["raw"]).alias("stmt")))
@@ -116,7 +116,7 @@ def query_statements(scripts: DataFrame, join_only: bool = False) -> DataFrame:
 
 def join_like(scripts: DataFrame) -> DataFrame:
     """Blocks between blank lines, flagged when they look like a join query."""
-    blocks = F.split("text", r"\r?\n(?:[ \t\r]*\n)+")
+    blocks = F.split("text", r"\r?\n(?:[ \t\r]*+\n)++")
     rows = (scripts.select("repo_url", "file_id", F.posexplode(blocks).alias("block_seq", "block"))
             .withColumn("block", F.lower("block")).filter(F.trim(F.regexp_replace("block", r"\s", " ")) != ""))
     low = F.col("block")

@@ -119,6 +119,23 @@ def test_whole_texts_are_used(spark):
     assert stmts.count() == 2001 and stmts.filter("stmt like '%last_one%'").count() == 1
 
 
+def test_odd_texts_do_not_break_the_patterns(spark):
+    """Very long runs of one kind must not exhaust the stack of an executor thread."""
+    texts = ["create table a (x int);" + "\n \t" * 100000 + "\nselect x from a", "/*" + "*" * 200000 + "*/ select x from a",
+             "select x from a where x in (" + "1, " * 15000 + "2)", "select x from a where " + "(" * 20000 + "x = 1" + ")" * 20000,
+             "select " + "a." * 20000 + "x from a", "insert into a (x) values " + "(1), " * 9000, "'" * 40001 + " select x from a",
+             "create table b (x int default '" + "(" * 30000 + "', y int)", "create table c (" + "[" * 20000 + ", z int)",
+             "select x from a join " + "b join " * 6000 + "c", "alter table a add " + "," * 40000 + " add q int"]
+    scripts = make_scripts(spark, {str(i): t for i, t in enumerate(texts)})
+    stmts, parts = S.statements(scripts), Q.scope_parts(Q.scopes(S.query_statements(scripts)))
+    assert {r["file_id"] for r in parts.select("file_id").collect()} >= {"0", "1", "2", "3", "4", "6", "9"}
+    assert [r["col_name"] for r in D.alter_columns(D.alter_facts(stmts)).collect()] == ["q"]
+    names = {r["table_name"]: [x["col_name"] for x in r["cols"]] for r in D.create_facts(stmts).collect()}
+    assert names["a"] == ["x"] and names["b"] == ["x", "y"] and "z" in names["c"]
+    assert QF.mentions(parts).filter("lcol = 'x'").count() > 5
+    assert S.join_like(scripts).count() > len(texts)
+
+
 def test_hot_name_is_split(spark, tmp_path):
     """One column of one table gets nearly all mentions; its partition is split in the lookup."""
     c = C.build_catalog(S.statements(make_scripts(spark, {"f": "create table hot (id int, k int); create table cold (x int)"})))
