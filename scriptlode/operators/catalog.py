@@ -108,7 +108,9 @@ def resolve_column(refs: DataFrame, tables: DataFrame, columns: DataFrame,
     found = (named.join(resolve_table(named, tables, prefixes), ["table_ref", "repo_url"], "left")
              .join(columns.select("repo_url", "table_name", "lcol", "col_name"),
                    ["lcol", "table_name", "repo_url"], "left"))
-    owners = first_owner(columns.join(any_table, ["lcol", "repo_url"], "left_semi"))
+    # The owner is picked before the join: rows of a name that very many tables share are cut
+    # before they are shuffled.
+    owners = first_owner(columns)
     return found.select("repo_url", "table_ref", "lcol", "table_name", "col_name").unionByName(
         any_table.join(owners, ["lcol", "repo_url"], "left")
         .select("repo_url", "table_ref", "lcol", "table_name", "col_name"))
