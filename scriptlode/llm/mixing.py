@@ -104,9 +104,9 @@ p AS (SELECT *, most * share > rest * w AS open FROM o),
 f AS (SELECT arg_max(rest, share) AS rest, max(share) AS share FROM p WHERE open),
 t AS (SELECT p.source, p.source_size::BIGINT AS source_size,
              CASE WHEN open THEN w * f.rest::DOUBLE / f.share::DOUBLE ELSE most::DOUBLE END AS target FROM p LEFT JOIN f ON TRUE),
-b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS full FROM t),
-x AS (SELECT d.*, b.source_size, b.target, b.full, floor(b.target)::BIGINT - b.full * b.source_size AS rest,
+b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
+x AS (SELECT d.*, b.source_size, b.target, b.epochs, floor(b.target)::BIGINT - b.epochs * b.source_size AS rest,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k1, k2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, (full * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM x
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM x
 """

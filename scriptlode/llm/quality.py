@@ -1,7 +1,7 @@
 """Quality classifier from weak labels (operator 8).
 
-Six heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the
-counts of their vote patterns (at most 3^6 rows, counted over all documents) estimates each labeller's
+Seven heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the
+counts of their vote patterns (at most 3^7 rows, counted over all documents) estimates each labeller's
 accuracy and the share of bad documents; the posterior of a pattern is the label of its documents. A
 logistic scorer on hashed features (4-grams of character classes, bins of word and line repetition) is
 trained on the posteriors of a bounded sample and scores every document.
@@ -9,6 +9,8 @@ trained on the posteriors of a bounded sample and scores every document.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,7 +22,7 @@ HASHED = 1024  # hashed 4-gram features
 BINS = 16      # bins of each repetition feature
 KEEP = 0.5
 
-_LABELLERS = 6
+_LABELLERS = 7
 # Character classes of a byte: 0 letters and bytes of multi-byte characters, then one class each.
 _CLASS = np.zeros(256, np.uint8)
 for _n, _chars in enumerate(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\f\v", "\n", ".,;:", "!?", "|", "#", "$",
@@ -41,10 +43,10 @@ def _read(texts: pa.Array):
     edges = np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
     kind = _CLASS[data]
-    words = np.zeros(len(raw)); distinct = np.zeros(len(raw)); lines = np.zeros(len(raw)); unique = np.zeros(len(raw))  # noqa: E702
+    words, distinct, echo, lines, unique = np.zeros((5, len(raw)))
     for i, t in enumerate(strings):
         w = (t or "").split()
-        words[i], distinct[i] = len(w), len(set(w))
+        words[i], distinct[i], echo[i] = len(w), len(set(w)), sum(map(eq, w, w[1:]))
         ls = [x for x in (t or "").split("\n") if x]
         lines[i], unique[i] = len(ls), len(set(ls))
     size = np.maximum(np.diff(edges), 1)
@@ -57,6 +59,7 @@ def _read(texts: pa.Array):
     pair[1:] = (data[1:] == data[:-1]) & _SYMBOLS[kind[1:]]
     runs = _sums(pair, edges) / some
     fresh = distinct / np.maximum(np.minimum(words, 400), 1)
+    echo = echo / some
     same = 1 - unique / np.maximum(lines, 1)
 
     def vote(bad, good, known=True):
@@ -65,7 +68,7 @@ def _read(texts: pa.Array):
 
     votes = [vote(upper > 0.4, upper < 0.25), vote(symbols > 0.04, symbols < 0.01),
              vote(pipes > 0.03, pipes < 0.005), vote(runs > 0.1, runs < 0.02),
-             vote(fresh < 0.35, fresh > 0.45, words >= 20), vote(same > 0.5, same < 0.35, lines >= 3)]
+             vote(fresh < 0.35, fresh > 0.45, words >= 20), vote(same > 0.5, same < 0.35, lines >= 3), vote(echo > 0.15, echo < 0.05)]
     pattern = sum(v * 3 ** k for k, v in enumerate(votes))
     code = kind.astype(np.int64)
     gram = code.copy()
@@ -77,7 +80,7 @@ def _read(texts: pa.Array):
     for j in range(1, 4):
         at = edges[1:] - j
         ends[at[(at >= edges[:-1])]] = True
-    bins = np.stack([np.minimum(fresh * BINS, BINS - 1), np.minimum(same * BINS, BINS - 1)]).astype(np.int64)
+    bins = np.stack([np.minimum(v * BINS, BINS - 1) for v in (fresh, same, echo)]).astype(np.int64)
     return gram, ends, edges, bins, pattern, words
 
 
@@ -92,11 +95,11 @@ def _feature_rows(batches):
     """Bounded sample only: the whole feature vector of each document."""
     for piece in pieces(batches, "text", 500_000):
         gram, ends, edges, bins, pattern, words = _read(piece.column("text"))
-        x = np.zeros((piece.num_rows, HASHED + 2 * BINS), np.float32)
+        x = np.zeros((piece.num_rows, HASHED + 3 * BINS), np.float32)
         for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
             inner = gram[lo:hi][~ends[lo:hi]]
             x[i, :HASHED] = np.bincount(inner, minlength=HASHED) / max(len(inner), 1)
-        for k in range(2):
+        for k in range(3):
             x[np.arange(len(x)), HASHED + k * BINS + bins[k]] = 1
         yield pa.RecordBatch.from_arrays([pa.array(pattern.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())],
                                          names=["pattern", "x"])
@@ -108,7 +111,7 @@ def _scores(weights: np.ndarray, bias: float, posterior: np.ndarray):
             gram, ends, edges, bins, pattern, words = _read(piece.column("text"))
             inner = ~ends
             z = _sums(weights[gram] * inner, edges) / np.maximum(_sums(inner, edges), 1) + bias
-            for k in range(2):
+            for k in range(3):
                 z += weights[HASHED + k * BINS + bins[k]]
             good = np.where(words > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
             label = np.where(words > 0, posterior[pattern], 0.0)
@@ -159,7 +162,7 @@ def scored(docs: DataFrame, carry, sample: int = SAMPLE) -> DataFrame:
     text = docs.select("text")
     counts = np.zeros(3 ** _LABELLERS)
     for pattern, n in text.mapInArrow(_votes, "pattern int").filter("pattern >= 0").groupBy("pattern").count().collect():
-        counts[pattern] = n  # at most 3^6 rows
+        counts[pattern] = n  # at most 3^7 rows
     posterior, _ = estimate(counts)
     chosen = docs.select("text", spread(F.col("doc_id"), F.col("text")).alias("h")).filter("text IS NOT NULL")
     chosen = staged(chosen.orderBy("h").limit(sample).select("text"))
@@ -168,7 +171,7 @@ def scored(docs: DataFrame, carry, sample: int = SAMPLE) -> DataFrame:
         x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64)
         weights, bias = train(x, posterior[[r.pattern for r in rows]])
     else:
-        weights, bias = np.zeros(HASHED + 2 * BINS), 0.0
+        weights, bias = np.zeros(HASHED + 3 * BINS), 0.0
     return docs.select(carry.alias("carry"), "text").mapInArrow(
         _scores(weights, bias, posterior), docs.select(carry.alias("carry")).schema.add("score", "double").add("label", "double"))
 
