@@ -8,10 +8,12 @@ keeps the earliest arrival, so two signatures agree in a slot with probability e
 Jaccard similarity of the multisets. All arrivals later than the latest slot are skipped, which makes
 the signature cheap for long documents.
 
-Bands of slots give candidate buckets. Equal multisets are one class from the start. In every bucket
-the members are compared with the least one, not with each other; then the pairs of a bucket that are
-still in different components are compared, all of them, so that no link between different texts is
-lost. Every link is verified by the exact weighted Jaccard similarity.
+Bands of slots give candidate buckets. Equal multisets are one class from the start. Members of a bucket
+are compared with one head, not with each other, in a few rounds with other heads for what is not yet
+in one component. What is still apart then is joined exactly: each multiset's rarest shingles, as many as
+the prefix filter for the similarity asks for, are the join keys, so texts that only share a frequent
+passage never meet, and no link between different texts of a bucket is lost. Every link is verified by
+the exact weighted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import SIMILAR, components, hashed, mix, multiset, pieces, shingles, staged, table, text_key, word_lists
 
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 36, 8  # a pair at similarity 0.8 shares a bucket with probability 0.9987
+ROUNDS = 3
 
-_BAGS = "doc_id long, key string, bag binary, n_units long, bands array<long>"
+_BAGS = "doc_id long, key string, bag long, n_units long, bands array<long>"
 _UNIT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,19 +73,18 @@ def _sign(bands: int, rows: int):
             h, o, w = multiset(h, o)
             n = piece.num_rows
             best = signatures(h, o, w, n, bands * rows).view(np.uint64).reshape(n, bands, rows)
-            band = np.zeros((n, bands), np.uint64)
+            band = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
             for j in range(rows):
                 band = mix(band * _UNIT + best[:, :, j] + np.uint64(j))
             units, owner = _units(h, o, w)
             size = np.bincount(owner, minlength=n)
-            digest = np.zeros((n, 2), np.uint64)
-            np.add.at(digest[:, 0], owner, units)
-            np.add.at(digest[:, 1], owner, mix(units + _UNIT))
+            digest = np.zeros(n, np.uint64)
+            np.add.at(digest, owner, mix(units + _UNIT))
             some = size > 0
             offsets = np.r_[0, np.cumsum(np.where(some, bands, 0))].astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 piece.column("doc_id"), piece.column("key"),
-                pa.array([d.tobytes() for d in digest], pa.binary()), pa.array(size.astype(np.int64)),
+                pa.array(mix(digest).view(np.int64)), pa.array(size.astype(np.int64)),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(band[some].ravel().view(np.int64)))],
                 names=["doc_id", "key", "bag", "n_units", "bands"])
     return run
@@ -108,6 +110,40 @@ def _verified(pairs: DataFrame, units: DataFrame, similar: float) -> DataFrame:
             .filter(common >= F.lit(similar) * (F.size("ua") + F.size("ub") - common)).select("a", "b"))
 
 
+def _apart(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(bucket, bag, label) of the buckets that hold several components; a bag without links is its own."""
+    if label is None:
+        return shared.withColumn("label", F.col("bag"))
+    at = shared.join(label, shared["bag"] == label["node"], "left").select("bucket", "bag", F.coalesce("label", "bag").alias("label"))
+    several = (at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+               .filter("lo <> hi").select("bucket"))
+    return staged(at.join(several, "bucket", "left_semi"))
+
+
+def _prefix_pairs(at: DataFrame, units: DataFrame, similar: float) -> DataFrame:
+    """Pairs of different components among the bags of `at` that can reach `similar`, by prefix, length and
+    positional filters. With t the similarity, units of a bag ordered from the rarest, and na <= nb:
+    J(a, b) >= t needs an overlap of t / (1 + t) * (na + nb), so a and b share one of the first
+    na - 2t / (1 + t) na + 1 units of a and the first nb - t nb + 1 units of b, and behind their first
+    common units at places i and j there must be enough left."""
+    member = at.select("bag", "label").distinct()
+    listed = units.join(member, "bag").select("bag", "label", F.size("units").alias("n"), F.explode("units").alias("unit"))
+    often = listed.groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
+    ranked = (listed.join(often, "unit").groupBy("bag", "label", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("df", "unit"))).alias("us")))  # one document's units
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    post = staged(ranked.select("bag", "label", "n", F.posexplode("us").alias("at", "u"))
+                  .filter((F.col("u.df") > 1) & (F.col("at") < first(similar))).select("bag", "label", "n", "at", "u.unit"))
+    half = similar / (1 + similar)
+    one = post.filter(F.col("at") < first(2 * half)).select("unit", *[F.col(c).alias(c[0] + "a") for c in ("bag", "label", "n", "at")])
+    two = post.select("unit", *[F.col(c).alias(c[0] + "b") for c in ("bag", "label", "n", "at")])
+    left = 1 + F.least(F.col("na") - F.col("aa") - 1, F.col("nb") - F.col("ab") - 1)
+    return (one.join(two, "unit").filter(
+        (F.struct("na", "ba") < F.struct("nb", "bb")) & (F.col("la") != F.col("lb"))
+        & (F.col("na") >= F.lit(similar) * F.col("nb") - 1e-9) & (left >= F.lit(half) * (F.col("na") + F.col("nb")) - 1e-9))
+        .select(F.col("ba").alias("a"), F.col("bb").alias("b")).distinct())
+
+
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
     """Near-duplicate class of every row of `docs` (doc_id, text; other columns are ignored).
 
@@ -120,32 +156,27 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: floa
     bags = staged(docs.select(F.col("doc_id").cast("long"), "text", text_key(F.col("text")).alias("key"))
                   .mapInArrow(_sign(bands, rows), _BAGS))
     known = bags.filter("key IS NOT NULL AND n_units > 0")
-    # One row per bucket and different multiset; copies have collapsed here, before the shuffle.
-    posts = known.select("bag", "n_units", F.posexplode("bands")).distinct()
-    heads = posts.groupBy("pos", "col").agg(F.min("bag").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = staged(posts.join(heads, ["pos", "col"]).select("pos", "col", "bag", "n_units", "head"))
-    stars = shared.filter("bag <> head").select(F.col("bag").alias("a"), F.col("head").alias("b")).distinct()
+    # Copies collapse before the buckets are made; a bucket of one multiset is no candidate.
+    posts = known.select("bag", "bands").dropDuplicates(["bag"]).select("bag", F.explode("bands").alias("bucket"))
+    full = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    shared = staged(posts.join(full, "bucket"))
 
     holders = known.join(shared.select("bag").distinct(), "bag", "left_semi").groupBy("bag").agg(F.min("key").alias("key"))
-    units = (docs.select("text", text_key(F.col("text")).alias("key"))
-             .join(holders.hint("shuffle_hash"), "key").dropDuplicates(["key"]).select("bag", "text")
-             .mapInArrow(_unit_lists, "bag binary, units array<long>"))
-    units = staged(units)
-    links = staged(_verified(stars, units, similar))
-
-    # What one head did not bring together: all pairs of a bucket between different components.
-    label = components(links)
-    at = shared.join(label, shared["bag"] == label["node"], "left").select(
-        "pos", "col", "bag", "n_units", F.coalesce("label", "bag").alias("label"))
-    split = (at.groupBy("pos", "col").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .filter("lo <> hi").select("pos", "col"))
-    at = staged(at.join(split, ["pos", "col"], "left_semi"))
-    one = at.select("pos", "col", F.col("bag").alias("a"), F.col("n_units").alias("na"), F.col("label").alias("la"))
-    two = at.select("pos", "col", F.col("bag").alias("b"), F.col("n_units").alias("nb"), F.col("label").alias("lb"))
-    rest = (one.join(two, ["pos", "col"])
-            .filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-                    & (F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb"))).select("a", "b").distinct())
-    label = components(links.unionByName(_verified(rest, units, similar)))
+    units = staged(docs.select("text", text_key(F.col("text")).alias("key"))
+                   .join(holders.hint("shuffle_hash"), "key").dropDuplicates(["key"]).select("bag", "text")
+                   .mapInArrow(_unit_lists, "bag long, units array<long>"))
+
+    links = label = None
+    for turn in range(ROUNDS):
+        at = _apart(shared, label)
+        head = at.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bag", F.lit(turn)).alias("h"), "bag", "label")).alias("head"))
+        stars = (at.join(head, "bucket").filter(F.col("label") != F.col("head.label"))
+                 .select(F.col("bag").alias("a"), F.col("head.bag").alias("b")).distinct())
+        found = staged(_verified(stars, units, similar))
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+    rest = _verified(_prefix_pairs(_apart(shared, label), units, similar), units, similar)
+    label = components(links.unionByName(rest))
 
     rows_ = bags.join(label, bags["bag"] == label["node"], "left").select(
         "doc_id", "key",
