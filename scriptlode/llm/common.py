@@ -41,6 +41,37 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def number_list(values, kind: str = "bigint") -> Column:
+    """A constant array column; one literal in the plan, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+class Bloom:
+    """Bloom filter of fixed size over a column of 64-bit hashes; may say yes wrongly, never no wrongly.
+
+    At most `bits` / 64 rows reach the driver, whatever the size of the table: a filter for too many hashes
+    fills up and lets everything pass, which costs time and changes no result.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str, bits: int = 1 << 20, probes: int = 3):
+        self.bits, self.probes = bits, probes
+        at = F.explode(F.array(*[self._bit(F.col(column), k) for k in range(probes)]))
+        cells = (hashes.select(at.alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("mask")))
+        filled = [0] * (bits // 64)
+        for cell, mask in cells.collect():
+            filled[cell] = mask
+        self._cells = number_list(filled)
+
+    def _bit(self, h: Column, k: int) -> Column:
+        return F.shiftrightunsigned(h, k * 21).bitwiseAND(self.bits - 1).cast("int")
+
+    def maybe(self, h: Column) -> Column:
+        one = F.lit(1).cast("long")
+        return all_of([F.get(self._cells, F.shiftright(self._bit(h, k), 6)).bitwiseAND(
+            F.call_function("shiftleft", one, self._bit(h, k).bitwiseAND(63))) != 0 for k in range(self.probes)])
+
+
 # -- distributed prefix sums -------------------------------------------------------------------
 
 def prefix_sums(df: DataFrame, narrow: DataFrame, group: str, key: str, value: str, tie: str) -> DataFrame:

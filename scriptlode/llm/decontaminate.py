@@ -14,11 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SHINGLE, SIMILAR, all_of, bind, staged, table, text_key
+from .common import SHINGLE, SIMILAR, Bloom, bind, staged, table, text_key
 
 BITS, BLOCKS, RADIUS = 64, 8, 15
-_BLOOM_BITS = 1 << 20  # 128 KB in each task, however large the benchmark
-_PROBES = 3
 
 
 def _word_hashes(text: Column) -> Column:
@@ -45,11 +43,6 @@ def _by_width(widths: list[int], value) -> Column:
     return F.coalesce(*[F.when(F.col("width") == w, value(w)) for w in widths])
 
 
-def _probe(h: Column, k: int) -> Column:
-    """Bit number of the k-th probe: another part of the hash each time."""
-    return F.shiftrightunsigned(h, k * 21).bitwiseAND(_BLOOM_BITS - 1).cast("int")
-
-
 def _items(benchmark: DataFrame) -> DataFrame:
     """Items with words: item_id, hs (word hashes), m, width."""
     hs = benchmark.select("item_id", _word_hashes(F.col("text")).alias("hs"))
@@ -107,21 +100,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radiu
     widths = [r[0] for r in items.select("width").distinct().orderBy("width").collect()] or [SHINGLE]  # at most five
     item_shingles = staged(_exploded(items, ["item_id", "m", "width"], widths))
 
-    # The filter's words: at most _BLOOM_BITS / 64 rows reach the driver, whatever the benchmark's size.
-    probes = F.explode(F.array(*[_probe(F.col("h"), k) for k in range(_PROBES)]))
-    cells = item_shingles.select(probes.alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("mask"))
-    filled = [0] * (_BLOOM_BITS // 64)
-    for cell, mask in cells.collect():
-        filled[cell] = mask
-    bloom = F.split(F.lit(",".join(map(str, filled))), ",").cast("array<bigint>")
-    bit_set = lambda h, k: F.shiftrightunsigned(F.get(bloom, F.shiftright(_probe(h, k), 6)), 0).bitwiseAND(
-        F.call_function("shiftleft", F.lit(1).cast("long"), _probe(h, k).bitwiseAND(63))) != 0
+    bloom = Bloom(item_shingles, "h")
 
     def places_of(hs, width):
         """Places whose shingle may be the benchmark's, as (pos, width, h)."""
         maybe = F.filter(_places(hs, width), lambda i: bind(
-            _shingle(hs, i, width), lambda h: all_of([bit_set(h, k) for k in range(_PROBES)])))
+            _shingle(hs, i, width), bloom.maybe))
         return F.transform(maybe, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), _shingle(hs, i, width).alias("h")))
 
     def hits(hs):

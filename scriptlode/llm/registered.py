@@ -2,14 +2,17 @@
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, near_dup, quality, sharding
+from . import decontaminate, fingerprint, line_dedup, mixing, near_dup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_mixing": mixing.op6_mixing,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality": quality.op8_quality,
     "op9_near_duplicates": near_dup.op9_near_duplicates,
+    "op10_toxicity": toxicity.op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 
