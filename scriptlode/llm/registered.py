@@ -2,11 +2,13 @@
 
 import corpus_pipeline
 
-from . import decontaminate, fingerprint, line_dedup, mixing, near_dup, quality, sharding, toxicity
+from . import decontaminate, fingerprint, licenses, line_dedup, lm_scoring, mixing, near_dup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_mixing": mixing.op6_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
@@ -16,4 +18,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op6_mixing": mixing.OP6_SQL}
+SQL = {"op3_license_scan": licenses.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
