@@ -104,9 +104,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radiu
 
     def places_of(hs, width):
         """Places whose shingle may be the benchmark's, as (pos, width, h)."""
-        maybe = F.filter(_places(hs, width), lambda i: bind(
-            _shingle(hs, i, width), bloom.maybe))
-        return F.transform(maybe, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), _shingle(hs, i, width).alias("h")))
+        all_ = F.transform(_places(hs, width), lambda i: _shingle(hs, i, width))
+        return F.array_compact(F.transform(all_, lambda h, i: F.when(
+            bloom.maybe(h), F.struct(i.alias("pos"), F.lit(width).alias("width"), h.alias("h")))))
 
     def hits(hs):
         return F.struct(hs.alias("hs"), F.concat(*[places_of(hs, w) for w in widths]).alias("hits"))
