@@ -184,8 +184,8 @@ def log_coverage(lines: DataFrame) -> DataFrame:
     """Success share of each progress line that reports successes and exceptions."""
     pattern = r"query_succ:\s(\d+),\squery_except:\s(\d+)"
     rows = lines.filter(F.col("value").rlike(pattern)).select(
-        "value", F.regexp_extract("value", pattern, 1).cast("bigint").alias("succ"),
-        F.regexp_extract("value", pattern, 2).cast("bigint").alias("failed"))
+        "value", F.regexp_extract("value", pattern, 1).try_cast("bigint").alias("succ"),
+        F.regexp_extract("value", pattern, 2).try_cast("bigint").alias("failed"))
     return (rows.filter(F.col("succ") + F.col("failed") > 0)
             .withColumn("coverage", F.col("succ") / (F.col("succ") + F.col("failed"))))
 
@@ -194,7 +194,7 @@ def log_totals(lines: DataFrame) -> DataFrame:
     """Totals of create-table lines with three numbers, and finished repositories."""
     numbers = F.regexp_extract_all("value", F.lit(r"(\d+)"), F.lit(1))
     counted = F.col("value").contains("create table succ") & (F.size(numbers) == 3)
-    pick = lambda i: F.sum(F.when(counted, F.get(numbers, F.lit(i)).cast("bigint")))
+    pick = lambda i: F.sum(F.when(counted, F.get(numbers, F.lit(i)).try_cast("bigint")))
     done = F.col("value").contains("repo parse done") & ~F.col("value").contains("create table succ")
     return lines.agg(
         F.coalesce(pick(0), F.lit(0)).alias("total"), F.coalesce(pick(1), F.lit(0)).alias("succ"),

@@ -169,7 +169,7 @@ def _from_items(items: Column) -> Column:
     clause. Built in steps, so that no pattern runs twice."""
     opened = F.transform(items, lambda i: F.regexp_replace(i, r"^[\s(]+(?!#)", ""))
     found = F.transform(opened, lambda i: F.struct(
-        F.nullif(F.regexp_extract(i, _FROM, 1), F.lit("")).cast("int").alias("child"),
+        F.nullif(F.regexp_extract(i, _FROM, 1), F.lit("")).try_cast("int").alias("child"),
         F.nullif(X.clean_ident(F.regexp_extract(i, _FROM, 2)), F.lit("")).alias("table_ref"),
         F.lower(_unquote(F.regexp_extract(i, _FROM, 3))).alias("word")))
     known = F.filter(found, lambda t: t["child"].isNotNull() | (

@@ -36,10 +36,11 @@ def stage_filter(stmts: DataFrame) -> DataFrame:
     return stmts.withColumn("stage", stage_of(F.col("stmt"))).filter(F.col("stage").isNotNull())
 
 
-def size_guard(stmts: DataFrame, query: bool = False) -> DataFrame:
-    """Leave out over-long statements; a query may be exactly as long as the limit."""
+def size_guard(stmts: DataFrame, query: bool = False, limit: int = STATEMENT_LIMIT) -> DataFrame:
+    """Leave out over-long statements; a query may be exactly as long as the limit. Extraction uses it only on
+    request: statements of any length are read otherwise."""
     n = F.length("stmt")
-    return stmts.filter(n <= STATEMENT_LIMIT if query else n < STATEMENT_LIMIT)
+    return stmts.filter(n <= limit if query else n < limit)
 
 
 def clean_statements(stmts: DataFrame) -> DataFrame:
@@ -66,17 +67,18 @@ def classify_stmt(stmts: DataFrame) -> DataFrame:
     return stmts.withColumn("kind", kind_of(F.col("stmt")))
 
 
-def statements(scripts: DataFrame) -> DataFrame:
+def statements(scripts: DataFrame, limit: int | None = None) -> DataFrame:
     """Clean, classified DDL statements: repo_url, file_id, stmt_seq, stmt, stmt_id, stage, kind.
 
     The same steps as the operators above, but done on the pieces before they become rows: a
-    filter on a cleaned text would otherwise be pushed down and clean the text again.
+    filter on a cleaned text would otherwise be pushed down and clean the text again. `limit`, if given,
+    leaves out pieces of that many characters or more.
     """
     pieces = F.split(F.regexp_replace("text", _DDL_HEADS, ";\n$1"), ";")
     staged = F.filter(
         F.transform(pieces, lambda s, i: F.struct(
             i.alias("stmt_seq"), s.alias("raw"), stage_of(s).alias("stage"))),
-        lambda p: p["stage"].isNotNull() & (F.length(p["raw"]) < STATEMENT_LIMIT))
+        lambda p: p["stage"].isNotNull() if limit is None else p["stage"].isNotNull() & (F.length(p["raw"]) < limit))
     cleaned = F.transform(staged, lambda p: F.struct(
         p["stmt_seq"].alias("stmt_seq"), p["stage"].alias("stage"),
         X.clean_stmt(X.normalize_text(p["raw"])).alias("stmt")))
@@ -93,10 +95,11 @@ def has_from_comma(low: Column) -> Column:
     return F.substring_index(F.get(F.split(low, "from"), F.lit(1)), "where", 1).contains(",")
 
 
-def query_statements(scripts: DataFrame, join_only: bool = False) -> DataFrame:
+def query_statements(scripts: DataFrame, join_only: bool = False, limit: int | None = None) -> DataFrame:
     """Query statements: blocks end at blank lines and semicolons and hold 'select ' and 'from '.
 
-    join_only also asks for a join, or a where with a comma in the from clause, and a comparison.
+    join_only also asks for a join, or a where with a comma in the from clause, and a comparison. `limit`,
+    if given, leaves out longer statements.
     """
     def wanted(piece):
         low = F.lower(piece)
@@ -111,7 +114,8 @@ def query_statements(scripts: DataFrame, join_only: bool = False) -> DataFrame:
     cleaned = F.transform(F.filter(numbered, lambda p: wanted(p["raw"])), lambda p: F.struct(
         p["stmt_seq"].alias("stmt_seq"), X.normalize_text(p["raw"]).alias("stmt")))
     rows = scripts.select("repo_url", "file_id", F.inline(F.filter(cleaned, lambda p: p["stmt"] != "")))
-    return size_guard(rows, query=True).withColumn("stmt_id", _stmt_id("q"))
+    rows = rows if limit is None else size_guard(rows, query=True, limit=limit)
+    return rows.withColumn("stmt_id", _stmt_id("q"))
 
 
 def join_like(scripts: DataFrame) -> DataFrame:

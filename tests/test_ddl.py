@@ -8,133 +8,71 @@ from .conftest import catalog_of, listed, make_scripts
 
 # name: (script, {table: (columns, keys)}, foreign keys)
 CASES = {
-    "alter_keys": ("""
-      CREATE TABLE `bill` ( `id` int(11) NOT NULL, `shop` varchar(40) COLLATE utf8_bin NOT NULL,
-        `buyerID` int(11) NOT NULL, `day` date NOT NULL ) ENGINE=InnoDB DEFAULT CHARSET=utf8;
-      ALTER TABLE `bill`
-        ADD PRIMARY KEY (`id`),
-        ADD KEY `buyerID` (`buyerID`),
-        ADD KEY `shop` (`shop`);""",
-        {"bill": ("id int!,shop varchar!,buyerID int!,day date!",
-                  ["PrimaryKey id", "CandidateKey buyerID", "CandidateKey shop"])}, []),
-    "pk_and_unique_index": ("""-- case 0
-      CREATE TABLE `rating`  ( `id` int(11) NOT NULL AUTO_INCREMENT, `who` double NOT NULL, `film` double NOT NULL,
-        PRIMARY KEY (`id`, `who`) USING BTREE,
-        UNIQUE INDEX `rating_who_film_1a2b_uniq`(`who`, `film`) USING BTREE
-      ) ENGINE = InnoDB ROW_FORMAT = Compact;""",
-        {"rating": ("id int!,who double!,film double!", ["PrimaryKey id,who", "UniqueIndex who,film"])}, []),
-    "trailing_comma": ("CREATE TABLE release (\n a integer NOT NULL,\n b integer NOT NULL,\n PRIMARY KEY (a,b),\n);",
-                       {"release": ("a integer!,b integer!", ["PrimaryKey a,b"])}, []),
-    "inline_pk": ('CREATE TABLE "Tries" ("addr" VARCHAR(100)  PRIMARY KEY NOT NULL, "tryCount" INT NOT NULL);',
-                  {"Tries": ("addr varchar!,tryCount int!", ["PrimaryKey addr"])}, []),
-    "inline_pk_reference_to_single_pk": ("""
-      CREATE TABLE "user" ("id" SERIAL PRIMARY KEY, "login" TEXT NOT NULL UNIQUE);
-      CREATE TABLE "contact" (
-        "id"   INTEGER PRIMARY KEY REFERENCES "user" ON UPDATE RESTRICT ON DELETE CASCADE, /* один */
-#       "id"   INTEGER PRIMARY KEY REFERENCES "user" ("id"),
-        "name" TEXT NOT NULL);""",
-        {"user": ("id serial,login text!", ["PrimaryKey id", "UniqueColumn login"]),
-         "contact": ("id integer,name text!", ["PrimaryKey id"])}, ["contact id -> user id"]),
-    "reference_with_wrong_width": ("""
-      CREATE TABLE IF NOT EXISTS users(UserID SERIAL PRIMARY KEY, UserName varchar(255) UNIQUE, Email varchar(255));
-      CREATE TABLE IF NOT EXISTS creds(Salt integer,
-        UserName varchar(255) PRIMARY KEY REFERENCES users(UserName, Email) ON DELETE CASCADE);""",
-        {"users": ("UserID serial,UserName varchar,Email varchar", ["PrimaryKey UserID", "UniqueColumn UserName"]),
-         "creds": ("Salt integer,UserName varchar", ["PrimaryKey UserName"])}, []),
-    "index_and_key": ("""
-      CREATE TABLE `req` ( `id` INT( 10 ) UNSIGNED NOT NULL AUTO_INCREMENT , `srs` INT( 10 ) UNSIGNED NOT NULL ,
-        `doc` varchar(16) default NULL , `status` char(1) default 'v' NOT NULL,
-        `made` date NOT NULL default '0000-00-00', `foreign_key` int(10),
-        PRIMARY KEY ( `id` ) , INDEX ( `srs` , `status` ), KEY `doc` (`doc`), INDEX row_id (foreign_key) ) TYPE=MyISAM;""",
-        {"req": ("id int!,srs int!,doc varchar,status char!,made date!,foreign_key int",
-                 ["PrimaryKey id", "Index srs,status", "CandidateKey doc", "Index foreign_key"])}, []),
-    "fk_clauses": ("""
-      CREATE TABLE author( author_id INT, author_name VARCHAR(20), PRIMARY KEY(author_id) );
-      CREATE TABLE book( book_id INT, author_id INT, year INT, PRIMARY KEY(book_id),
-        FOREIGN KEY(author_id) REFERENCES author(author_id), );
-      create table detail( id int primary key, x bigint, foreign key(`x`) references author(`author_id`) on delete cascade );""",
-        {"author": ("author_id int,author_name varchar", ["PrimaryKey author_id"]),
-         "book": ("book_id int,author_id int,year int", ["PrimaryKey book_id"]),
-         "detail": ("id int,x bigint", ["PrimaryKey id"])},
-        ["book author_id -> author author_id", "detail x -> author author_id"]),
-    "constraints": ("""
-      CREATE TABLE JOB_DETAILS ( SCHED VARCHAR2(120) NOT NULL, JOB VARCHAR2(200) NOT NULL, DATA BLOB NULL,
-        CONSTRAINT JOB_PK PRIMARY KEY (SCHED,JOB) );
-      CREATE TABLE trig ( SCHED VARCHAR2(120) NOT NULL, JOB VARCHAR2(200) NOT NULL, PRIO NUMBER(13) NULL,
-        CONSTRAINT T_PK PRIMARY KEY (SCHED), CONSTRAINT T_FK FOREIGN KEY (SCHED,JOB)
-        REFERENCES job_details(SCHED,JOB) );
-      CREATE TABLE IF NOT EXISTS "ev" ( "a" VARCHAR NOT NULL, "b" character varying(255) NOT NULL DEFAULT '',
-        "c" timestamp without time zone DEFAULT '1970-01-01 00:00:00' NOT NULL,
-        CONSTRAINT "u1" UNIQUE("a", "b") );
-      create table sc ( ID integer primary key auto_increment, s integer not null, CONSTRAINT cs unique (ID, s) );""",
-        {"JOB_DETAILS": ("SCHED varchar2!,JOB varchar2!,DATA blob", ["PrimaryKey SCHED,JOB"]),
-         "trig": ("SCHED varchar2!,JOB varchar2!,PRIO number", ["PrimaryKey SCHED"]),
-         "ev": ("a varchar!,b character!,c timestamp!", ["UniqueKey a,b"]),
-         "sc": ("ID integer,s integer!", ["PrimaryKey ID", "UniqueKey ID,s"])},
-        ["trig SCHED,JOB -> JOB_DETAILS SCHED,JOB"]),
-    "unique_lists": ("""
-      CREATE TABLE kinds_of ( id INT(10) UNSIGNED NOT NULL auto_increment, l INT(10), r TINYINT UNSIGNED,
-        PRIMARY KEY (id), UNIQUE (l), UNIQUE(r) ) TYPE=INNODB;
-      CREATE TABLE K2 ( pk varchar(3) NOT NULL DEFAULT '', k int(11) DEFAULT NULL, v varchar(52) DEFAULT NULL,
-        PRIMARY KEY (pk), UNIQUE KEY v_key (v), UNIQUE KEY `index` (`pk`,`v`), KEY k_key (k) );""",
-        {"kinds_of": ("id int!,l int,r tinyint", ["PrimaryKey id", "UniqueKey l", "UniqueKey r"]),
-         "K2": ("pk varchar!,k int,v varchar",
-                ["PrimaryKey pk", "UniqueKey v", "UniqueKey pk,v", "CandidateKey k"])}, []),
-    "comments_in_other_scripts": ("""
-      CREATE TABLE `bind` ( `c_id` varchar(35) NOT NULL DEFAULT '', `c_user` varchar(35) DEFAULT NULL COMMENT '用户id（shop中的c_uid）',
-        `c_tax` varchar(30) DEFAULT NULL COMMENT '税号, (x)', `at` timestamp NULL DEFAULT CURRENT_TIMESTAMP ON UPDATE CURRENT_TIMESTAMP COMMENT '添加时间',
-        PRIMARY KEY (`c_id`), KEY `c_tax` (`c_tax`) USING BTREE ) ENGINE=InnoDB COMMENT='用户';""",
-        {"bind": ("c_id varchar!,c_user varchar,c_tax varchar,at timestamp",
-                  ["PrimaryKey c_id", "CandidateKey c_tax"])}, []),
-    "leading_commas_and_brackets": ("""
-      CREATE TABLE #result
-        ( ID           INT IDENTITY(1,1)  NOT NULL
-        , [index_cols] NVARCHAR(4000)     NULL
-        , index_id     INT                NULL
-        , index_type   SYSNAME            NULL
-        , size_MB      DECIMAL(10,2)      NULL
-        )""",
-        {"#result": ("ID int!,index_cols nvarchar,index_id int,index_type sysname,size_MB decimal", [])}, []),
-    "alter_only_and_checks": ("""
-      CREATE TABLE gt.freq ( feed integer NOT NULL, trip text NOT NULL, stop text NOT NULL,
-        CONSTRAINT freq_check CHECK (((stop)::interval = (stop)::interval)) );
-      ALTER TABLE ONLY gt.freq
-        ADD CONSTRAINT freq_pkey PRIMARY KEY (feed, trip);""",
-        {"gt.freq": ("feed integer!,trip text!,stop text!", ["PrimaryKey feed,trip"])}, []),
-    "names_with_blanks": ("""
-      CREATE TABLE `serv` ( `id serv` varchar(255) NOT NULL, `nom` varchar(45) DEFAULT NULL );
-      ALTER TABLE `serv` ADD PRIMARY KEY (`id serv`,`nom`) NOT DEFERRABLE INITIALLY IMMEDIATE;""",
-        {"serv": ("id serv varchar!,nom varchar", ["PrimaryKey id serv,nom"])}, []),
-    "alter_fks": ("""
-      CREATE TABLE cli( id INT(11) NOT NULL UNIQUE, id_con INT(11), PRIMARY KEY (id) );
-      CREATE TABLE con( id INT(11) NOT NULL, nom VARCHAR(255), est VARCHAR(255), PRIMARY KEY (id) );
-      ALTER TABLE cli ADD FOREIGN KEY ("id_con") REFERENCES con ("id");
-      ALTER TABLE cli ADD FOREIGN KEY con_idxfk (`id_con`, `id`) REFERENCES con ("id", "est");
-      ALTER TABLE `cli`
-        ADD CONSTRAINT `f1` FOREIGN KEY (`id`) REFERENCES `con` (`id`) ON DELETE NO ACTION ON UPDATE NO ACTION,
-        ADD CONSTRAINT `f2` FOREIGN KEY (`id_con`) REFERENCES `con` (`nom`) ON DELETE NO ACTION;""",
-        {"cli": ("id int!,id_con int", ["PrimaryKey id", "UniqueColumn id"]),
-         "con": ("id int!,nom varchar,est varchar", ["PrimaryKey id"])},
-        ["cli id -> con id", "cli id_con -> con id", "cli id_con -> con nom", "cli id_con,id -> con id,est"]),
-    "alter_uniques": ("""
-      CREATE TABLE `web` ( `lat` varchar(100) NOT NULL, `lon` varchar(100) NOT NULL, `id` int(10) NOT NULL ) ENGINE=InnoDB;
-      ALTER TABLE `web` ADD PRIMARY KEY (`id`), ADD UNIQUE KEY `lat` (`lat`,`lon`);
-      ALTER TABLE web ADD UNIQUE INDEX idx1 (lon, lat);
-
-      go
-
-      ALTER TABLE web
-        ADD CONSTRAINT uq UNIQUE (id, lat);""",
-        {"web": ("lat varchar!,lon varchar!,id int!",
-                 ["PrimaryKey id", "UniqueKey lat,lon", "UniqueIndex lon,lat", "UniqueKey id,lat"])}, []),
+    "keys_added_later": ("""
+      CREATE TABLE ferry_run (berth smallint NOT NULL, vessel char(8), sails_on datetime NOT NULL);
+      ALTER TABLE ferry_run ADD KEY by_vessel (vessel), ADD PRIMARY KEY (berth);""",
+        {"ferry_run": ("berth smallint!,vessel char,sails_on datetime!", ["PrimaryKey berth", "CandidateKey vessel"])}, []),
+    "two_column_key_and_unique_index": ("""
+      create table harvest (plot bigint not null, season bigint not null, tons float,
+        unique index h_once (season, tons), primary key (plot, season));""",
+        {"harvest": ("plot bigint!,season bigint!,tons float", ["PrimaryKey plot,season", "UniqueIndex season,tons"])}, []),
+    "comma_before_the_bracket": ("create table moon (orbit int, primary key (orbit),);", {"moon": ("orbit int", ["PrimaryKey orbit"])}, []),
+    "key_inside_a_column": ("create table lens (serial_no varchar(12) not null primary key, focal numeric(6,2));",
+                            {"lens": ("serial_no varchar!,focal numeric", ["PrimaryKey serial_no"])}, []),
+    "reference_without_columns": ("""
+      create table observatory (site int primary key, altitude int);
+      create table dome (site int primary key references observatory, turns boolean not null);""",
+        {"observatory": ("site int,altitude int", ["PrimaryKey site"]), "dome": ("site int,turns boolean!", ["PrimaryKey site"])},
+        ["dome site -> observatory site"]),
+    "reference_with_too_many_columns": ("""
+      create table colour (hue int primary key, tone int);
+      create table paint (hue int primary key references colour (hue, tone));""",
+        {"colour": ("hue int,tone int", ["PrimaryKey hue"]), "paint": ("hue int", ["PrimaryKey hue"])}, []),
+    "indexes_and_plain_keys": ("""
+      create table choir (voice int not null, singer int, hall varchar(5), key in_hall (hall), index (voice, singer));""",
+        {"choir": ("voice int!,singer int,hall varchar", ["CandidateKey hall", "Index voice,singer"])}, []),
+    "foreign_key_clauses": ("""
+      create table river (river_no int, mouth text, primary key (river_no));
+      create table lock_gate (gate int, river_no int, foreign key (river_no) references river (river_no) on update cascade);""",
+        {"river": ("river_no int,mouth text", ["PrimaryKey river_no"]), "lock_gate": ("gate int,river_no int", [])},
+        ["lock_gate river_no -> river river_no"]),
+    "named_constraints": ("""
+      create table shelf (aisle int, level int, label text, constraint shelf_key primary key (aisle, level), constraint one_label unique (label));
+      create table box (aisle int, level int, constraint on_shelf foreign key (aisle, level) references SHELF (aisle, level));""",
+        {"shelf": ("aisle int,level int,label text", ["PrimaryKey aisle,level", "UniqueKey label"]), "box": ("aisle int,level int", [])},
+        ["box aisle,level -> shelf aisle,level"]),
+    "unique_in_all_spellings": ("""
+      create table badge (a int, b int, c int, d int unique, unique (a), unique key two (b, c), key plain (c));""",
+        {"badge": ("a int,b int,c int,d int", ["UniqueColumn d", "UniqueKey a", "UniqueKey b,c", "CandidateKey c"])}, []),
+    "comment_attributes": ("""
+      create table tide (at_hour int comment 'Stunde, (0-23)', height decimal(4,1) comment '高さ', key (at_hour)); -- done""",
+        {"tide": ("at_hour int,height decimal", ["CandidateKey at_hour"])}, []),
+    "brackets_and_commas_first": ("""
+      create table [wind]
+        ( [knots] int not null
+        , [from_dir] nvarchar(3)
+        )""", {"wind": ("knots int!,from_dir nvarchar", [])}, []),
+    "constraint_primary_key_by_alter": ("""
+      create table sky.cloud (kind text not null, base int, constraint low check ((base) < (9000)));
+      alter table only sky.cloud add constraint cloud_key primary key (kind, base);""",
+        {"sky.cloud": ("kind text!,base int", ["PrimaryKey kind,base"])}, []),
+    "blank_in_a_name": ("create table `oven` (`max heat` int, `brand` text); alter table `oven` add primary key (`max heat`);",
+                        {"oven": ("max heat int,brand text", ["PrimaryKey max heat"])}, []),
+    "foreign_keys_by_alter": ("""
+      create table bee (hive int, queen int); create table hive_box (hive int primary key, wood text);
+      alter table bee add foreign key (hive) references hive_box (hive);
+      alter table bee add constraint by_wood foreign key (queen) references hive_box (wood) on delete set null;""",
+        {"bee": ("hive int,queen int", []), "hive_box": ("hive int,wood text", ["PrimaryKey hive"])},
+        ["bee hive -> hive_box hive", "bee queen -> hive_box wood"]),
+    "unique_by_alter": ("""
+      create table knot (rope int, turns int, tag int);
+      alter table knot add unique key r (rope, turns); alter table knot add unique index t (tag);
+      alter table knot add constraint both_ways unique (turns, tag);""",
+        {"knot": ("rope int,turns int,tag int", ["UniqueKey rope,turns", "UniqueIndex tag", "UniqueKey turns,tag"])}, []),
     "create_index": ("""
-      CREATE TABLE grants ( id INT UNSIGNED IDENTITY NOT NULL, kind NVARCHAR(200) NOT NULL, PRIMARY KEY (id));
-      CREATE UNIQUE INDEX KIND_ONCE ON grants (kind) WHERE kind IS NOT NULL;
-      CREATE TABLE "CORE"."PARTS" ( "PART_NAME" VARCHAR(128), "TBL" BIGINT );
-      CREATE UNIQUE INDEX "CORE"."UNIQ" ON "CORE"."PARTS" ("PART_NAME", "TBL");
-      CREATE INDEX lone ON parts USING btree (TBL DESC NULLS LAST);""",
-        {"grants": ("id int!,kind nvarchar!", ["PrimaryKey id", "UniqueIndex kind"]),
-         "CORE.PARTS": ("PART_NAME varchar,TBL bigint", ["UniqueIndex PART_NAME,TBL", "Index TBL"])}, []),
+      create table mill (wheel int, stone int);
+      create unique index one_wheel on mill (wheel); create index stones on mill using btree (stone desc);""",
+        {"mill": ("wheel int,stone int", ["UniqueIndex wheel", "Index stone"])}, []),
     "column_references": ("""
       CREATE TABLE p (id int PRIMARY KEY, k int);
       CREATE TABLE c (a int NOT NULL REFERENCES p(id), b int REFERENCES p, d int FOREIGN KEY REFERENCES p(k) ON DELETE CASCADE, x geo REFERENCES p(id));""",
@@ -188,6 +126,15 @@ def test_size_guard_bounds(spark):
     assert S.size_guard(rows, query=True).count() == 2
 
 
+def test_long_statements_are_read(spark):
+    wide = "create table wide (" + ", ".join(f"column_number_{i} varchar(30) not null" for i in range(2000)) + ")"
+    rows = "insert into fresh (one, two) values " + ", ".join(f"({i}, 'value {i}')" for i in range(12000))
+    assert len(wide) > 50000 and len(rows) > 200000
+    columns = catalog_of(spark, {"a.sql": wide + ";\n" + rows}).columns.groupBy("table_name").count().collect()
+    assert {r[0]: r[1] for r in columns} == {"wide": 2000, "fresh": 2}
+    assert S.statements(make_scripts(spark, {"a.sql": wide}), limit=50000).count() == 0
+
+
 def test_clause_kinds(spark):
     text = """create table t (a int, comment on x, constraint q check (a > 1), index_no int, unique_flag int,
               key_part int, unique index u (a), check (a > 0))"""

@@ -7,41 +7,40 @@ from scriptlode.operators import analytics as A, query_facts as QF, scopes as Q,
 
 from .conftest import facts_of, listed, make_scripts
 
-DDL = """create table staff (Family varchar(9), id int);
-create table stock_row (goodsNo int, traitNo int, storePlace text, quantity int);
-create table goods (id int, name text); create table trait (id int, widthCm int);
-create table runs (runno int, revno text); create table files (suffix text);
-create table _car (TaxNo int, Plate text, Engine int, Power int); create table owners (TaxNo int, Label text);
-create table radio (rowno int, hall int, desk int, chan int);
-create table win (hall int, desk int, chan int, n int);
+DDL = """create table crew (Rank_Name varchar(9), pay int);
+create table cargo (portNo int, shipNo int, hold text, crates int);
+create table port (id int, town text); create table ship (id int, draftCm int);
+create table reels (reel int, take text); create table labels (ink text);
+create table kiln (batchNo int, glaze text, heat int, hours int); create table potters (batchNo int, mark text);
+create table tank (fish int, row_no int, depth int, salt int);
+create table feed (row_no int, depth int, salt int, grams int);
 create table a1 (k int, v int); create table b1 (k int, w int); create table c1 (k int, v int);
 """
 
 # name: (query, joins, {kind: facts}, failures)
 CASES = {
-    "having": ("SELECT family, COUNT(family) from staff GROUP BY family HAVING COUNT(family) > 1", [],
-               {"projection": "staff.Family", "aggregate": "count staff.Family", "groupby": "staff.Family"}, []),
-    "inner_and_left": ("""SELECT Goods.name, Trait.widthCm FROM Stock_Row INNER JOIN Goods ON Stock_Row.goodsNo = Goods.id
-        LEFT JOIN Trait ON Stock_Row.traitNo = Trait.id WHERE Stock_Row.storePlace = 'North, Hall (x)' AND Stock_Row.quantity = 0""",
-        ["goods inner stock_row: id Eq goodsNo", "stock_row inner trait: traitNo Eq id"],
-        {"projection": "trait.widthCm goods.name", "selection": "stock_row.quantity stock_row.storePlace"}, []),
-    "natural": ("select runno from runs natural join files where (suffix = '.c' or suffix = '.h') and revno = '1.1'", [],
-                {"projection": "runs.runno", "selection": "files.suffix runs.revno"}, []),
-    "comma_join": ("SELECT p.Label, a.Plate FROM _Car a, Owners p WHERE a.TaxNo=p.TaxNo AND (Engine = 2000 OR Power > 120)",
-                   ["_car inner owners: TaxNo Eq TaxNo"],
-                   {"projection": "_car.Plate owners.Label", "selection": "_car.Engine _car.Power"}, []),
-    "aggregates": ("select hall,max(chan) as m,MIN( desk ),count(1) as c, sum(distinct n) from win where desk=1 group by hall,chan,desk;", [],
-                   {"projection": "win.chan win.hall win.n win.desk", "aggregate": "max win.chan|min win.desk|sum win.n",
-                    "selection": "win.desk", "groupby": "win.chan win.hall win.desk"}, []),
-    "stars": ("select * from a1, b1, missing_t where v = 100 and w = 1 or hall = 3 group by k", [],
-              {"projection": "a1.k a1.v b1.k b1.w", "selection": "a1.v b1.w", "groupby": "a1.k b1.k"}, []),
-    "two_levels": ("""select c.rowno,c.near_desk,sum(c.n) as n from
-        (select a.rowno,a.desk,b.near_desk,b.n from (select rowno,hall,desk,chan from radio) as a
-         inner join (select hall,desk as near_desk,chan,n from win) as b
-         on a.hall = b.hall and a.chan = b.chan) as c group by c.rowno,c.near_desk""",
-        ["radio inner win: chan Eq chan; hall Eq hall"],
-        {"projection": "radio.chan radio.hall radio.rowno radio.desk win.chan win.hall win.n win.desk",
-         "aggregate": "sum win.n", "groupby": "radio.rowno win.desk"}, []),
+    "having": ("select rank_name, count(pay) from crew group by rank_name having count(pay) > 3", [],
+               {"projection": "crew.Rank_Name crew.pay", "aggregate": "count crew.pay", "groupby": "crew.Rank_Name"}, []),
+    "inner_and_left": ("""select port.town, ship.draftCm from cargo join port on cargo.portNo = port.id
+        left outer join ship on ship.id = cargo.shipNo where cargo.hold = 'aft, (dry)' and cargo.crates >= 7""",
+        ["cargo left port: portNo Eq id", "cargo left ship: shipNo Eq id"],
+        {"projection": "port.town ship.draftCm", "selection": "cargo.hold cargo.crates"}, []),
+    "natural": ("select reel from reels natural join labels where ink = 'red' and take = 'b'", [],
+                {"projection": "reels.reel", "selection": "labels.ink reels.take"}, []),
+    "comma_join": ("select q.mark from kiln as o, potters as q where q.batchNo = o.batchNo and (heat > 900 or hours = 4)",
+                   ["kiln inner potters: batchNo Eq batchNo"],
+                   {"projection": "potters.mark", "selection": "kiln.heat kiln.hours"}, []),
+    "aggregates": ("select depth, min(grams) as low, avg(salt) from feed where row_no = 2 group by depth", [],
+                   {"projection": "feed.depth feed.grams feed.salt", "aggregate": "min feed.grams|avg feed.salt",
+                    "selection": "feed.row_no", "groupby": "feed.depth"}, []),
+    "stars": ("select * from c1, b1, unknown_t where v = 8 and w = 9 group by w", [],
+              {"projection": "c1.k c1.v b1.k b1.w", "selection": "c1.v b1.w", "groupby": "b1.w"}, []),
+    "two_levels": ("""select z.fish, max(z.grams) as most from
+        (select t.fish, f.grams from (select fish, row_no, depth from tank) as t
+         join (select row_no, depth, grams from feed) as f on t.depth = f.depth and t.row_no < f.row_no) as z group by z.fish""",
+        ["feed inner tank: depth Eq depth; row_no Gt row_no"],
+        {"projection": "tank.fish tank.row_no tank.depth feed.row_no feed.depth feed.grams",
+         "aggregate": "max feed.grams", "groupby": "tank.fish"}, []),
     "correlated": ("select x.v from a1 x where exists (select 1 from b1 where b1.k >= x.k and x.nope = b1.w)",
                    ["a1 inner b1: k LtEq k"], {"projection": "a1.v"}, ["left column nope"]),
     "inner_alias_wins": ("select x.v from a1 x where x.k in (select x.k from c1 x join b1 y on x.k < y.k)",
@@ -53,11 +52,11 @@ CASES = {
     "dropped_atoms": ("""select 1 from a1 x, b1 y where x.k != y.k and x.k <> y.w and x.k = 5 and x.k = y.k + 1 and x.k = :p and x.k = ?
                       and x.k = true and x.v = f(y.k) and x.v in (1, 2) and x.k = @v and x."v" = y."w" and x.k::int = y.k""",
                       ["a1 inner b1: k Eq k; v Eq w"], {"selection": "a1.k"}, []),
-    "bare_sides": ("select 1 from b1, c1 where w = v and runno = c1.k", ["b1 inner c1: w Eq v", "c1 inner runs: k Eq runno"], {}, []),
+    "bare_sides": ("select 1 from b1, c1 where w = v and reel = c1.k", ["b1 inner c1: w Eq v", "c1 inner reels: k Eq reel"], {}, []),
     "bracketed_join": ("select [x].[v] from ([a1] as x left outer join `b1` as y on ((x.k = y.k))) order by 1",
                        ["a1 left b1: k Eq k"], {"projection": "a1.v"}, []),
-    "right_majority": ("select 1 from a1 right join b1 on a1.k = b1.k right outer join c1 on c1.k = b1.k left join win on win.n = a1.v",
-                       ["a1 right b1: k Eq k", "a1 right win: v Eq n", "b1 right c1: k Eq k"], {}, []),
+    "right_majority": ("select 1 from a1 right join b1 on a1.k = b1.k right outer join c1 on c1.k = b1.k left join feed on feed.grams = a1.v",
+                       ["a1 right b1: k Eq k", "a1 right feed: v Eq grams", "b1 right c1: k Eq k"], {}, []),
     "derived_alias": ("select d.total, d.k from (select k, sum(v) as total from a1 group by k) d join b1 on d.total > b1.w",
                       ["a1 inner b1: v Gt w"],
                       {"projection": "a1.k a1.v", "aggregate": "sum a1.v", "groupby": "a1.k"}, []),
