@@ -2,7 +2,7 @@
 
 Words are lower-cased runs without white space, punctuation or symbols. A benchmark item of m words is
 compared with windows of m words of every document. A window that holds none of the benchmark's
-shingles has similarity 0, so only windows that a shared shingle aligns with an item are built; a Bloom
+shingles has similarity 0, so only windows that a shared shingle aligns with an item are built (cut at the ends of the text); a Bloom
 filter of fixed size finds those places while the text is scanned. Window and item get a 64-bit SimHash
 of their shingles, weighted by multiplicity. The fingerprint is cut into blocks; two fingerprints within
 `radius` agree in at least one block up to radius // blocks bits, so an equality join on the blocks and

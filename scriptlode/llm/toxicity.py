@@ -1,6 +1,6 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks (operator 10).
 
-A unit is a word, or a run of single characters read as one word. The kernel of two units is the gap-weighted
+A unit is a word, also without its punctuation, or a run of single characters read as one word. The kernel of two units is the gap-weighted
 subsequence kernel: every common subsequence of three characters counts, weighted by LAMBDA to the power
 of the lengths it spans, and normalised. Inserted characters and gaps only lower it. Landmarks are strings
 that tell toxic from clean training documents (chosen by greedy cover) and frequent clean words. In the
@@ -116,8 +116,15 @@ def _landmark_table(landmarks: list[str]) -> np.ndarray:
     return table_
 
 
+def _plain(word: str) -> str:
+    return "".join(filter(str.isalnum, word))
+
+
 def _units(text: str) -> list[str]:
-    return [p for w in dict.fromkeys(_joined((text or "").lower()).split()) for p in _parts(w)]
+    """Words of a text, also without what is no letter or digit."""
+    found = dict.fromkeys(_joined((text or "").lower()).split())
+    found.update(dict.fromkeys(p for p in map(_plain, found) if p))
+    return [p for w in found for p in _parts(w)]
 
 
 def _cover(toxic: list[set], clean_words: set) -> list[str]:
@@ -226,11 +233,9 @@ def _scores(model: Model):
             if len(words):
                 coded = words.dictionary_encode()
                 distinct = coded.dictionary.to_pylist()
-                values = np.empty(len(distinct))
-                short = [i for i, w in enumerate(distinct) if len(w) <= LONGEST]
-                values[short] = kernel_sums([distinct[i] for i in short], model.weights)[:, 0]
-                for i in set(range(len(distinct))) - set(short):
-                    values[i] = kernel_sums(_parts(distinct[i]), model.weights)[:, 0].max()
+                forms = [(i, p) for i, w in enumerate(distinct) for f in ((w,) if w.isalnum() else (w, _plain(w))) for p in _parts(f)]
+                values = np.full(len(distinct), -np.inf)
+                np.maximum.at(values, [i for i, _ in forms], kernel_sums([p for _, p in forms], model.weights)[:, 0])
                 each = values[coded.indices.to_numpy(zero_copy_only=False)] + model.bias
                 some = counts > 0
                 best[some] = np.maximum.reduceat(each, (np.cumsum(counts) - counts)[some])
