@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import pieces, spread, staged, table
+from .common import least_by_hash, pieces, spread, staged, table
 
 SAMPLE = 4096  # documents that the scorer is trained on, those with the least hash
 HASHED = 1024  # hashed 4-gram features
@@ -165,7 +165,7 @@ def scored(docs: DataFrame, carry, sample: int = SAMPLE) -> DataFrame:
         counts[pattern] = n  # at most 3^7 rows
     posterior, _ = estimate(counts)
     chosen = docs.select("text", spread(F.col("doc_id"), F.col("text")).alias("h")).filter("text IS NOT NULL")
-    chosen = staged(chosen.orderBy("h").limit(sample).select("text"))
+    chosen = staged(least_by_hash(chosen, "h", sample).select("text"))
     rows = chosen.mapInArrow(_feature_rows, "pattern int, x binary").collect()  # at most `sample` rows
     if rows:
         x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import pieces, spread, staged, table, word_lists
+from .common import least_by_hash, pieces, spread, staged, table, word_lists
 
 LAMBDA = 0.7
 LONGEST = 24     # longer words are read in pieces that overlap by half
@@ -251,8 +251,8 @@ def trained(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int =
     """Model fitted on at most `toxic` + `clean` labelled documents that are not held out. Null labels are unlabelled."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter(
         "y IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).withColumn("h", spread(F.col("doc_id")))
-    chosen = usable.filter("y = 1").orderBy("h", "doc_id").limit(toxic).unionByName(
-        usable.filter("y = 0").orderBy("h", "doc_id").limit(clean))
+    chosen = least_by_hash(usable.filter("y = 1"), "h", toxic, "doc_id").unionByName(
+        least_by_hash(usable.filter("y = 0"), "h", clean, "doc_id"))
     rows = docs.select("doc_id", "text").join(F.broadcast(staged(chosen)), "doc_id").orderBy("h", "doc_id", "text").limit(
         2 * (toxic + clean)).select("text", "y").collect()
     return fit([r.text for r in rows], [r.y for r in rows])
