@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import staged, table, text_key
+from .common import bind, staged, table, text_key
 
 LIMIT = 0.8
 
@@ -71,21 +71,35 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, limit: float
     spark = docs.sparkSession
     named = spark.createDataFrame(sorted((templates if templates is not None else TEMPLATES).items()), "license string, body string")
     named = staged(named.select("license", _bigrams(_words(F.col("body"))).alias("tb")).filter(F.size("tb") > 0))
-    known = sorted({g for r in named.collect() for g in r.tb})  # of the given templates
-    vocabulary = F.split(F.lit("\n".join(known)), "\n")
-    lines = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    held = staged(lines.withColumn("words", _words("body")).filter(F.arrays_overlap(_bigrams(F.col("words")), vocabulary))
-                  .select("doc_id", "key", "line", "words"))
-    # Runs of neighbouring lines; the window's group is one text. Rows with the same id and text are one.
-    held = held.distinct()
+    sets = [r.tb for r in named.collect()]  # the given templates
+    vocabulary = F.split(F.lit("\n".join(sorted({g for tb in sets for g in tb}))), "\n")
+    least, most = (f(map(len, sets), default=0) for f in (min, max))
+
+    def of(line, i):
+        # A line above the size bound fits no template, and no run with it does; it is listed without its words.
+        return bind(_words(line), lambda w: bind(_bigrams(w), lambda g: F.struct(
+            i.alias("line"), F.when(F.size(g) * limit <= most * (2 - limit) + 1e-9, w).alias("words"),
+            F.arrays_overlap(g, vocabulary).alias("held"))))
+
+    lines = F.explode(F.filter(F.transform(F.split("text", "\n"), of), lambda x: x["held"]))
+    # Rows with the same id and text are one.
+    held = staged(docs.select("doc_id", text_key(F.col("text")).alias("key"), lines.alias("x"))
+                  .select("doc_id", "key", "x.line", "x.words").distinct())
+    # Runs of neighbouring lines; the window's group is one text.
     order = Window.partitionBy("doc_id", "key").orderBy("line")
     runs = (held.withColumn("run", F.col("line") - F.row_number().over(order)).groupBy("doc_id", "key", "run")
             .agg(F.sort_array(F.collect_list(F.struct("line", "words"))).alias("ls"))
+            .filter((F.size("ls") > 1) & ~F.exists("ls", lambda x: x["words"].isNull()))
             .select("doc_id", "key", F.col("ls")[0]["line"].alias("first_line"), F.element_at("ls", -1)["line"].alias("last_line"),
                     F.flatten(F.transform("ls", lambda x: x["words"])).alias("words")))
-    single = held.select("doc_id", "key", F.col("line").alias("first_line"), F.col("line").alias("last_line"), "words")
-    blocks = single.unionByName(runs.filter("first_line < last_line")).select(
-        "doc_id", "key", "first_line", "last_line", _bigrams(F.col("words")).alias("bg"))
+    single = held.filter("words IS NOT NULL").select(
+        "doc_id", "key", F.col("line").alias("first_line"), F.col("line").alias("last_line"), "words")
+
+    def near(g):
+        """The bigrams, if so many are known that some template may reach the limit."""
+        return F.when(2 * F.size(F.array_intersect(g, vocabulary)) >= (F.size(g) + least) * limit - 1e-9, g)
+
+    blocks = single.unionByName(runs).select("doc_id", "key", "first_line", "last_line", bind(_bigrams(F.col("words")), near).alias("bg"))
     a, b = F.size("bg"), F.size("tb")
     fits = (a * (2 - limit) >= b * limit - 1e-9) & (b * (2 - limit) >= a * limit - 1e-9)
     # Templates that share a bigram, within the size bounds.
