@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from scriptlode.llm import (decontaminate, fingerprint, licenses, line_dedup, lm_scoring, mixing, near_dup, quality, registered,
+from scriptlode.llm import (common, decontaminate, fingerprint, licenses, line_dedup, lm_scoring, mixing, near_dup, quality, registered,
                             sharding, toxicity)
 
 from ..conftest import spark  # noqa: F401
@@ -205,6 +205,27 @@ def test_licences(spark):  # noqa: F811
     assert {(r.doc_id, r.first_line, r.last_line, r.license) for r in licenses.scan(d).collect()} == {(1, 1, 2, "MIT"), (2, 0, 0, "MIT notice")}
 
 
+def test_licences_beside_long_lines(spark):  # noqa: F811
+    """A line above the size bound is no match, spoils the run it stands in and nothing else."""
+    notice = licenses.TEMPLATES["MIT notice"]
+    long_ = "under the " + " ".join(f"x{k}" for k in range(5000))
+    body = licenses.TEMPLATES["ISC"]
+    half = body.rfind(" ", 0, len(body) // 2)
+    parts = body[:half] + "\n" + body[half:]
+    d = make_docs(spark, [(1, long_ + "\n" + notice, "s"), (2, long_, "s"), (3, parts + "\n" + long_, "s"), (4, parts + "\n\n" + long_, "s")])
+    assert {(r.doc_id, r.first_line, r.last_line, r.license) for r in licenses.scan(d).collect()} == {
+        (1, 1, 1, "MIT notice"), (4, 0, 1, "ISC")}
+    assert licenses.scan(d, {}).count() == 0
+
+
+def test_least_by_hash(spark):  # noqa: F811
+    """The bound before the sort changes nothing, also if the keys are not even."""
+    for keys in ([k * 2654435761 % 2 ** 32 for k in range(3000)], [2 ** 32 - 1 - k for k in range(3000)], [5] * 3000, [], [9]):
+        df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "h long, i int")
+        got = [r.h for r in common.least_by_hash(df, "h", 20, "i").collect()]
+        assert sorted(got) == sorted(keys)[:20]
+
+
 def test_fingerprints(docs, rows, nothing):
     order = sorted((r for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want = []
