@@ -106,9 +106,9 @@ def _let(value: Column, use) -> Column:
 
 
 # A parenthesis group of at most three levels; deeper or unbalanced ones take the exact fold.
-_GROUP = r"\([^()]*+\)"
+GROUP = r"\([^()]*+\)"
 for _ in range(2):
-    _GROUP = rf"\((?:[^()]++|{_GROUP})*+\)"
+    GROUP = rf"\((?:[^()]++|{GROUP})*+\)"
 
 
 def split_top(c: Column) -> Column:
@@ -133,7 +133,7 @@ def split_top(c: Column) -> Column:
         return F.when(whole, items).otherwise(
             F.aggregate(tokens, zero, step, lambda a: F.array_append(a["out"], a["cur"])))
 
-    shallow = F.regexp_extract_all(c, F.lit(rf"(?:[^,()]++|{_GROUP})++"), F.lit(0))
+    shallow = F.regexp_extract_all(c, F.lit(rf"(?:[^,()]++|{GROUP})++"), F.lit(0))
     items = F.when(F.contains(c, F.lit("(")), _let(shallow, shallow_or_fold)).otherwise(F.split(c, ","))
     return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
@@ -160,7 +160,7 @@ def first_group(c: Column) -> Column:
         return F.when(group != "", F.substring(group, F.lit(2), F.length(group) - 2)).otherwise(
             F.aggregate(tokens, zero, step, lambda a: a["cur"]))
 
-    shallow = F.regexp_extract(c, rf"^[^(]*+({_GROUP})", 1)
+    shallow = F.regexp_extract(c, rf"^[^(]*+({GROUP})", 1)
     return F.when(at > 0, _let(shallow, shallow_or_fold))
 
 

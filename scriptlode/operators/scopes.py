@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.fixed import AGGREGATES, OP_NAMES
 
 _SETOP = "\u0001"
+_USER = "\u0002"  # stands between ( and # where a script itself writes (#1), the form of a placeholder
 _END = 2147483647
 _NESTED = r"(?i)\(\s*select\b|\b(?:union|intersect|except|minus)\b"
 _SELECT = r"(?i)\bselect\b"
@@ -18,9 +19,10 @@ _KEYS = ["stmt_id", "repo_url", "file_id"]
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
-    """Add q: the statement without hints and with empty literals."""
-    plain = X.mask_literals(X.strip_hints(F.col("stmt")))
-    return queries.withColumn("q", F.regexp_replace(plain, r"\s+", " "))
+    """Add q: the statement without hints and with empty literals. The two characters that mark
+    pieces below are removed from the script first."""
+    plain = F.regexp_replace(X.mask_literals(X.strip_hints(F.col("stmt"))), rf"[\s{_SETOP}{_USER}]+", " ")
+    return queries.withColumn("q", F.regexp_replace(plain, r"\((?=#\d+\))", f"({_USER}"))
 
 
 def is_union(queries: DataFrame) -> DataFrame:
@@ -100,10 +102,15 @@ def scopes(queries: DataFrame) -> DataFrame:
 
 # --- parts of one scope, all inside the row ------------------------------------------------------
 
-_STOP = r"(?:\s+where\s|\s+group\s+by\s|\s+order\s+by\s|\s+having\s|\s+limit\s|;|$)"
-_AFTER_WHERE = r"(?:\s+group\s+by\s|\s+order\s+by\s|\s+having\s|\s+limit\s|;|$)"
+# What ends a scope; words that are also usual names count only with what must follow them.
+_TAIL = (r"\s+order\s+by\s|\s+having\s|\s+limit\s|\s+offset\s+[\d:?$@]|\s+fetch\s+(?:first|next)\s"
+         r"|\s+for\s+(?:update|share)\b|\s+qualify\s|\s+window\s+\w+\s+as\s|\s+connect\s+by\s|;|$")
+_AFTER_WHERE = rf"(?:\s+group\s+by\s|{_TAIL})"
+_STOP = rf"(?:\s+where\s|\s+group\s+by\s|{_TAIL})"
+# A select list up to its FROM; one inside a parenthesis group, as in extract(year from x), does not end it.
+_LIST = rf"(?:[^()\s]++|{X.GROUP}|\s++(?!from\s)|[()])*+"
 _NO_ALIAS = ("on using where natural left right inner full cross outer join and or set as group order "
-             "having limit union").split()
+             "having limit union offset fetch for qualify window connect").split()
 _JOIN = r"(?i)\s+(?:(?:natural|inner|left|right|full|cross|outer)\s+)*join\s+"
 
 
@@ -136,11 +143,11 @@ def scope_parts(scope_rows: DataFrame) -> DataFrame:
     own = F.col("own_text")
     rows = (scope_rows
             .withColumn("select_text", F.regexp_extract(
-                own, r"(?i)\bselect\s+(?:distinct\s+|all\s+|top\s+\d+\s+)?(.*?)(?:\s+from\s|$)", 1))
-            .withColumn("from_text", F.regexp_extract(own, r"(?i)\bselect\s.*?\sfrom\s+(.*?)" + _STOP, 1))
+                own, rf"(?i)\bselect\s+(?:distinct\s+|all\s+|top\s+\d+\s+)?({_LIST})", 1))
+            .withColumn("from_text", F.regexp_extract(own, rf"(?i)\bselect\s{_LIST}\s+from\s+(.*?)" + _STOP, 1))
             .withColumn("where_text", F.regexp_extract(own, r"(?i)\swhere\s+(.*?)" + _AFTER_WHERE, 1))
             .withColumn("group_text", F.regexp_extract(
-                own, r"(?i)\sgroup\s+by\s+(.*?)(?:\s+order\s+by\s|\s+having\s|\s+limit\s|;|$)", 1)))
+                own, rf"(?i)\sgroup\s+by\s+(.*?)(?:{_TAIL})", 1)))
     commas = X.split_top(F.col("from_text"))
     from_items = F.flatten(F.transform(commas, lambda c: F.split(c, _JOIN)))
     rows = (rows.withColumn("from_items", from_items)
@@ -161,7 +168,7 @@ def _unquote(c: Column) -> Column:
     return F.regexp_replace(c, r"""[`"\[\]]""", "")
 
 
-_FROM = rf"(?i)^(?:\(?#(\d+)\)|({X.NAME}))\s*(?:as\s+)?([`\"\[]?[\w$#@]+[`\"\]]?)?"
+_FROM = rf"(?i)^(?:\(?#(\d+)\)|{_USER}?({X.NAME})\s*\)?)\s*(?:as\s+)?([`\"\[]?[\w$#@]+[`\"\]]?)?"
 
 
 def _from_items(items: Column) -> Column:

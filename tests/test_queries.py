@@ -52,6 +52,12 @@ CASES = {
     "dropped_atoms": ("""select 1 from a1 x, b1 y where x.k != y.k and x.k <> y.w and x.k = 5 and x.k = y.k + 1 and x.k = :p and x.k = ?
                       and x.k = true and x.v = f(y.k) and x.v in (1, 2) and x.k = @v and x."v" = y."w" and x.k::int = y.k""",
                       ["a1 inner b1: k Eq k; v Eq w"], {"selection": "a1.k"}, []),
+    "from_in_functions": ("""select distinct extract(year from x.v), trim(both 'a' from x.k), x.k, y.w from a1 x
+                          join b1 y on x.k = y.k""", ["a1 inner b1: k Eq k"], {"projection": "a1.k b1.w"}, []),
+    "row_locks": ("select x.v from a1 x join b1 y on x.k = y.k where y.w = 3 for update",
+                  ["a1 inner b1: k Eq k"], {"projection": "a1.v", "selection": "b1.w"}, []),
+    "pages_of_rows": ("select x.v from a1 x join b1 y on x.k = y.k and x.v = y.w offset 5 rows fetch next 9 rows only",
+                      ["a1 inner b1: k Eq k; v Eq w"], {"projection": "a1.v"}, []),
     "bare_sides": ("select 1 from b1, c1 where w = v and reel = c1.k", ["b1 inner c1: w Eq v", "c1 inner reels: k Eq reel"], {}, []),
     "bracketed_join": ("select [x].[v] from ([a1] as x left outer join `b1` as y on ((x.k = y.k))) order by 1",
                        ["a1 left b1: k Eq k"], {"projection": "a1.v"}, []),
@@ -190,3 +196,10 @@ def test_query_view_and_kinds(built):
     kinds = [QF.projections(q.refs), QF.selections(q.refs), QF.aggregates(q.refs), QF.groupbys(q.refs)]
     assert sum(k.count() for k in kinds) == q.refs.count()
     assert q.refs.filter(F.col("col_name").isNull()).count() == 0
+
+
+def test_script_text_in_the_form_of_a_placeholder(spark):
+    q = facts_of(spark, {"ddl.sql": DDL, "q.sql": """select x.v from a1 x join (#1) y on x.k = y.k
+        where x.v = (select max(w) from b1 where b1.w = 4)""", "r.sql": "select x.v from (a1) x, (b1) as y where x.k = y.k\u0001"})
+    assert listed(q.failures, "reason", "name") == [("table", "#1")]
+    assert listed(q.binary_joins, "l_table", "r_table") == [("a1", "b1")]
