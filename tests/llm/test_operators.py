@@ -262,6 +262,29 @@ def test_line_dedup(docs, rows, nothing):
     assert cleaned.columns == docs.columns and cleaned.count() == len(rows)
 
 
+def test_line_dedup_at_the_threshold(spark):  # noqa: F811
+    """Random lines with edits around the similarity of 0.8, of 1 to 200 words, with copies, against brute force."""
+    rng = np.random.default_rng(5)
+    lines = []
+    for k in range(60):
+        n = int(rng.choice([1, 2, 4, 9, 10, 18, 45, 200]))
+        base = [f"w{int(x)}" for x in rng.zipf(1.3, n) % 5000]
+        for _ in range(int(rng.integers(1, 5))):
+            edits = int(rng.integers(0, n // 4 + 2))
+            line = base[edits // 2:] + [f"e{k}x{int(x)}" for x in rng.integers(0, 9, edits - edits // 2)]
+            lines += [" ".join(map(str, rng.permutation(line)))] * int(rng.integers(1, 4))
+    order = rng.permutation(len(lines))
+    texts = ["\n".join(lines[j] for j in order[i::40]) for i in range(40)]
+    at = [((i, k), frozenset(line.split())) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n")) if line.split()]
+    want = {}
+    for p, a in at:
+        first = min((q for q, b in at if q < p and len(a & b) >= 0.8 * len(a | b) - 1e-9), default=None)
+        if first:
+            want[p] = first
+    got = line_dedup.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"]) for r in got} == want and len(got) == len(want) > 100
+
+
 def test_lm_scores(docs, rows, nothing):
     count, total = Counter(), 0
     fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
