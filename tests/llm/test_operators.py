@@ -310,6 +310,18 @@ def test_lm_learns_context(spark):  # noqa: F811
     assert held and all(r.score > r.base_score + 0.3 * r.n_tokens for r in held)
 
 
+def test_lm_learns_from_the_third_previous_token(spark):  # noqa: F811
+    """Three woven cycles of 30 tokens: only the third previous token tells the next one."""
+    rng = random.Random(8)
+
+    def text():
+        starts = [rng.randrange(30) for _ in range(3)]
+        return " ".join(f"t{(starts[k % 3] + k // 3) % 30}" for k in range(60))
+    d = make_docs(spark, [(i, text(), "s") for i in range(300)])
+    held = [r for r in lm_scoring.scores(d).collect() if r.held_out]
+    assert held and all(r.score > r.base_score + 0.3 * r.n_tokens for r in held)
+
+
 def test_quality(spark, nothing):  # noqa: F811
     rng = random.Random(4)
     good = lambda: ". ".join(words(rng, 9, 3000).capitalize() for _ in range(8)) + "."
