@@ -118,10 +118,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radiu
     offsets = (items.select("m", "width", F.explode(_by_width(widths, lambda w: _listed(F.col("hs"), w))).alias("p")).select("m", F.col("width").alias("iw"), "p.h", "p.off").distinct())
     windows = (texts.select("key", F.size("hs").alias("n"), F.explode("hits").alias("x")).select("key", "n", "x.pos", "x.width", "x.h")
                .join(offsets, "h").filter("width = iw")
-               .select("key", "m", "width", F.greatest(F.lit(0), F.col("pos") - F.col("off")).alias("start"),
-                       F.least(F.col("n"), F.col("pos") - F.col("off") + F.col("m")).alias("stop")).distinct())
+               .select("key", "m", "width", "n", (F.col("pos") - F.col("off")).alias("start")).distinct())
+    # `start` is below 0 if the window is cut at the beginning of the text, so that it tells such windows apart.
+    first = F.greatest(F.lit(0), F.col("start"))
     cut = staged(windows.join(texts.select("key", "hs"), "key").select(
-        "key", "start", "m", "width", F.slice("hs", F.col("start") + 1, F.col("stop") - F.col("start")).alias("hs")))
+        "key", "start", "m", "width", F.slice("hs", first + 1, F.least(F.col("n"), F.col("start") + F.col("m")) - first).alias("hs")))
     in_windows = staged(_exploded(cut, ["key", "start", "m"], widths))
     window_prints = _fingerprints(in_windows, ["key", "start", "m"])
     item_prints = _fingerprints(item_shingles, ["item_id", "m"])
@@ -137,7 +138,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radiu
               .filter(F.col("similarity") >= similar))
     best = scored.groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
     return holders.select("doc_id", "key").join(
-        best.select("key", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("start")), "key").select(
+        best.select("key", "item_id", F.col("b.similarity").alias("similarity"), F.greatest(F.lit(0), -F.col("b.s")).alias("start")), "key").select(
         "doc_id", "key", "item_id", "similarity", "start")
 
 

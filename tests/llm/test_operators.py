@@ -121,6 +121,24 @@ def test_decontamination(spark, docs, rows, nothing):  # noqa: F811
     assert decontaminate.leaks(docs, benchmark.filter("false")).count() == 0
 
 
+def test_decontamination_at_the_beginning(spark):  # noqa: F811
+    """Windows cut at the beginning of a text stay apart: an item with a repeated phrase, and items that share one."""
+    rng = random.Random(6)
+    phrase = [f"p{k}" for k in range(5)]
+
+    def item(places):
+        w = [f"q{rng.randrange(10 ** 6)}" for _ in range(60)]
+        for at in places:
+            w[at:at + 5] = phrase
+        return " ".join(w)
+    items = [(0, item((5, 40))), (1, item((30,))), (2, item((50,)))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    tail = " " + words(rng, 40)
+    texts = [(k, t, "s") for k, t in items] + [(10 + k, t + tail, "s") for k, t in items] + [(20 + k, " ".join(t.split()[4:]) + tail, "s") for k, t in items]
+    got = {(r.doc_id, r.item_id, round(r.similarity, 6), r.start) for r in decontaminate.leaks(make_docs(spark, texts), benchmark).collect()}
+    assert got == {(d + k, k, s, 0) for k in range(3) for d, s in ((0, 1.0), (10, 1.0), (20, round(52 / 56, 6)))}
+
+
 def test_hamming_blocks_find_all_within_radius(spark):  # noqa: F811
     rng = random.Random(5)
     items = [(k, 9, rng.getrandbits(64) - 2 ** 63) for k in range(10)]
