@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import SIMILAR, components, hashed, mix, multiset, pieces, shingles, staged, table, text_key, word_lists
 
-BANDS, ROWS = 36, 8  # a pair at similarity 0.8 shares a bucket with probability 0.9987
+BANDS, ROWS = 64, 8  # a pair at similarity 0.8 shares no bucket with probability 0.000008
 ROUNDS = 3
 
 _BAGS = "doc_id long, key string, bag long, n_units long, bands array<long>"

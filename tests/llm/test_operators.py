@@ -97,6 +97,17 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
+def test_pairs_at_the_threshold_share_a_bucket():
+    """4,000 pairs of 90 shingles with 80 in common, which is a similarity of 0.8."""
+    n = 4000
+    h = np.random.default_rng(3).integers(1, 2 ** 63, (n, 100)).astype(np.uint64)
+    hashes = np.concatenate([h[:, :90], h[:, 10:]]).ravel()
+    s = near_dup.signatures(hashes, np.repeat(np.arange(2 * n), 90), np.ones(len(hashes), np.int64), 2 * n, near_dup.BANDS * near_dup.ROWS)
+    s = s.reshape(2, n, near_dup.BANDS, near_dup.ROWS)
+    assert (s[0] == s[1]).all(axis=2).any(axis=1).all()
+    assert (1 - 0.8 ** near_dup.ROWS) ** near_dup.BANDS < 0.0001
+
+
 def test_decontamination(spark, docs, rows, nothing):  # noqa: F811
     rng = random.Random(3)
     items = [(k, words(rng, rng.randint(12, 40), 5000).replace("w", "q")) for k in range(12)] + [(12, None), (13, "..."), (14, "zz yy")]
