@@ -5,16 +5,21 @@ tightest remaining capacity that still holds them; a balanced tree over the rema
 that bin in logarithmic time. Packing is sequential by nature, so it runs over a bounded number of units:
 a group larger than 1/UNITS of all bytes is a unit of its own (there are fewer than UNITS of them), and
 all smaller groups are gathered by hash into UNITS bundles. Sizes, group sums, assignment and slots are
-Spark jobs over all rows; only the sizes of the units, at most 2 * UNITS numbers, reach the driver.
+Spark jobs over all rows; only the sizes of the units, about 2 * UNITS numbers, reach the driver.
+
+With a given capacity a bundle is at most about 1/FINE of a shard. If that needs more than UNITS bundles, the groups are dealt
+by hash into parts of about UNITS / FINE shards, and each part is packed by one task; no sizes reach the driver then.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import prefix_sums, spread, staged, table
 
 UNITS = 1 << 13
+FINE = 16
 
 
 class CapacityTree:
@@ -112,6 +117,23 @@ def pack(sizes: list[int], shards: int) -> list[int]:
     return best_fit_decreasing(sizes, high, shards) or []
 
 
+def _packed(capacity: int):
+    def run(part):
+        found = sorted(part.select(["part", "grp", "bundle", "size"]).to_pylist(), key=lambda u: (-u["size"], u["grp"] is None, u["grp"] or 0, u["bundle"] or 0))
+        bins = best_fit_decreasing([u["size"] for u in found], capacity)
+        return pa.table({"part": pa.array([u["part"] for u in found], pa.int64()), "grp": pa.array([u["grp"] for u in found], pa.int64()),
+                         "bundle": pa.array([u["bundle"] for u in found], pa.int64()), "bin": pa.array(bins, pa.int32())})
+    return run
+
+
+def _in_parts(units: DataFrame, capacity: int) -> DataFrame:
+    """(part, grp, bundle, bin) of all units, each part packed by itself; the bins of a part follow those of the parts before."""
+    packed = staged(units.groupBy("part").applyInArrow(_packed(capacity), "part long, grp long, bundle long, bin int"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    first = packed.groupBy("part").agg((F.max("bin") + 1).alias("bins")).select("part", F.coalesce(F.sum("bins").over(before), F.lit(0)).alias("first"))
+    return staged(packed.join(F.broadcast(first), "part").select("part", "grp", "bundle", (F.col("bin") + F.col("first")).cast("int").alias("bin")))
+
+
 def sharded(docs: DataFrame, shards: int | None = None, capacity: int | None = None, units: int = UNITS,
             carry: Column | None = None) -> DataFrame:
     """Shard and slot of every row of `docs` (doc_id, text; other columns only through `carry`).
@@ -132,20 +154,34 @@ def sharded(docs: DataFrame, shards: int | None = None, capacity: int | None = N
     narrow = staged(docs.select(group.alias("grp"), size.alias("size"), key.alias("key")))
     groups = staged(narrow.groupBy("grp").agg(F.sum("size").alias("size")))
     total = groups.agg(F.sum("size")).first()[0] or 0
-    own = groups.filter(F.col("size") * F.lit(units) > total)  # fewer than `units` rows
-    bundle = F.pmod("grp", F.lit(units))
-    rest = groups.join(F.broadcast(own.select("grp")), "grp", "left_anti").groupBy(bundle.alias("bundle")).agg(F.sum("size").alias("size"))
-    found = [(g, None, s) for g, s in own.select("grp", "size").collect()] + [(None, b, s) for b, s in rest.collect()]
-    found.sort(key=lambda u: (-u[2], u[0] is None, u[0] or 0, u[1] or 0))
-    sizes = [u[2] for u in found]
-    bins = pack(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
-    spark = docs.sparkSession
-    large = spark.createDataFrame([(u[0], b) for u, b in zip(found, bins) if u[0] is not None], "grp long, own_shard int")
-    small = spark.createDataFrame([(u[1], b) for u, b in zip(found, bins) if u[0] is None], "bundle long, bundle_shard int")
+    parts = max(1, -(-total * FINE // (capacity * units))) if capacity else 1
+    part, bundle = F.pmod(F.xxhash64("grp"), F.lit(parts)), F.pmod("grp", F.lit(units))
+    groups = groups.withColumn("part", part).withColumn("bundle", bundle)
+    own = groups.filter(F.col("size") * F.lit(units * parts) > total)  # fewer than `units` rows for each part, but for chance
+    small = groups.filter(F.col("size") * F.lit(units * parts) <= total)
+    rest = small.groupBy("part", "bundle").agg(F.sum("size").alias("size"))
+    if capacity:  # a bundle that chance made large is packed by its groups
+        heavy = F.col("size") * 4 > capacity
+        own = own.unionByName(small.join(rest.filter(heavy).select("part", "bundle"), ["part", "bundle"], "left_semi").select(own.columns))
+        rest = rest.filter(~heavy)
+    listed = own.select("part", "grp", F.lit(None).cast("long").alias("bundle"), "size").unionByName(
+        rest.select("part", F.lit(None).cast("long").alias("grp"), F.col("bundle").cast("long").alias("bundle"), "size"))
+    if parts > 1:
+        at = _in_parts(listed, capacity)
+        hint = lambda df: df
+    else:
+        found = [(r.grp, r.bundle, r.size) for r in listed.collect()]
+        found.sort(key=lambda u: (-u[2], u[0] is None, u[0] or 0, u[1] or 0))
+        sizes = [u[2] for u in found]
+        bins = pack(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
+        at = docs.sparkSession.createDataFrame([(0, u[0], u[1], b) for u, b in zip(found, bins)], "part long, grp long, bundle long, bin int")
+        hint = F.broadcast
+    large = at.filter("grp IS NOT NULL").select("grp", F.col("bin").alias("own_shard"))
+    bundled = at.filter("grp IS NULL").select("part", "bundle", F.col("bin").alias("bundle_shard"))
 
     def placed(df):
-        return (df.withColumn("bundle", bundle).join(F.broadcast(large), "grp", "left").join(F.broadcast(small), "bundle", "left")
-                .withColumn("shard", F.coalesce("own_shard", "bundle_shard")).drop("grp", "bundle", "own_shard", "bundle_shard"))
+        return (df.withColumn("part", part).withColumn("bundle", bundle).join(hint(large), "grp", "left").join(hint(bundled), ["part", "bundle"], "left")
+                .withColumn("shard", F.coalesce("own_shard", "bundle_shard")).drop("grp", "part", "bundle", "own_shard", "bundle_shard"))
 
     wide = placed(docs.select("doc_id", group.alias("grp"), size.alias("size"), key.alias("key"),
                               F.crc32(text).alias("text_crc32"), (carry if carry is not None else F.lit(None)).alias("carry")))

@@ -209,6 +209,22 @@ def test_bundled_units_stay_balanced(docs):
     assert len(loads) == 2
 
 
+def test_more_shards_than_bundles(spark):  # noqa: F811
+    """With a given capacity no shard of several groups is overfull, however many capacities of data there are."""
+    rng = random.Random(12)
+    d = make_docs(spark, [(i, f"{i} " + "x" * rng.randint(20, 180) * (30 if i % 500 == 7 else 1), "s") for i in range(3000)])
+    got = sharding.sharded(d, capacity=2000, units=64).collect()
+    loads, groups = Counter(), {}
+    for r in got:
+        loads[r.shard] += r.size
+        groups.setdefault(r.shard, set()).add((r.text_crc32, r.size))
+    assert len(got) == 3000 and set(loads) == set(range(len(loads)))
+    assert all(n <= 2000 or len(groups[s]) == 1 for s, n in loads.items())
+    assert len(loads) <= 1.4 * sum(loads.values()) / 2000
+    for s in loads:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_sql_counterparts(spark, docs, nothing):  # noqa: F811
     for name, op in (("op6_mixing", lambda d: mixing.mixed(d).select("doc_id", "size", "source_size", "target", "taken")), ("op3_license_scan", licenses.scan)):
         for d in (docs, nothing):
