@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 
-from . import decontaminate, fingerprint, licenses, line_dedup, lm_scoring, mixing, near_dup, quality, sharding, toxicity
+from . import (decontaminate, divergence, exact_dedup, fingerprint, licenses, line_dedup, lm_scoring, merkle, mixing, near_dup,
+               quality, sharding, toxicity)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,7 +16,16 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_near_duplicates": near_dup.op9_near_duplicates,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op3_license_scan": licenses.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
+SQL = {
+    "op3_license_scan": licenses.OP3_SQL,
+    "op6_mixing": mixing.OP6_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op12_divergence": divergence.OP12_SQL,
+    "op13_exact_dedup": exact_dedup.OP13_SQL,
+}
