@@ -105,36 +105,57 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
-# A parenthesis group of at most three levels; deeper or unbalanced ones take the exact fold.
-GROUP = r"\([^()]*+\)"
-for _ in range(2):
-    GROUP = rf"\((?:[^()]++|{GROUP})*+\)"
+# --- brackets ------------------------------------------------------------------------------------
+#
+# Depth is a running sum over the pieces of a text; places where it is zero are cuts, and an item is one slice
+# between two cuts. No text is built up piece by piece, so the cost hardly depends on length or depth.
 
+HELD = "\u0003"  # encloses the number of a parenthesis group that is kept apart
+_TOKENS = r"[()]|[^()]+"
 
-def split_top(c: Column) -> Column:
-    """Items of a comma list; commas inside parentheses do not split, at any depth.
 
-    Runs inside the row (no shuffle). Texts without parentheses take the plain split, shallow
-    ones a pattern, all others a fold over the tokens.
+def running(values: Column, join=lambda a, b: a + b) -> Column:
+    """Sum (or another associative `join`) of an array up to each place, inside the row.
+
+    Each pass joins what lies twice as far back: as many passes as the length has binary digits.
     """
-    tokens = F.regexp_extract_all(c, F.lit(r"[(),]|[^(),]+"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("d"), F.lit("").alias("cur"),
-                    F.array().cast("array<string>").alias("out"))
-
-    def step(a, t):
-        cut = (t == ",") & (a["d"] <= 0)
-        return F.struct(
-            (a["d"] + _delta(t)).alias("d"),
-            F.when(cut, F.lit("")).otherwise(F.concat(a["cur"], t)).alias("cur"),
-            F.when(cut, F.array_append(a["out"], a["cur"])).otherwise(a["out"]).alias("out"))
-
-    def shallow_or_fold(items):
-        whole = F.array_join(items, ",") == c
-        return F.when(whole, items).otherwise(
-            F.aggregate(tokens, zero, step, lambda a: F.array_append(a["out"], a["cur"])))
-
-    shallow = F.regexp_extract_all(c, F.lit(rf"(?:[^,()]++|{GROUP})++"), F.lit(0))
-    items = F.when(F.contains(c, F.lit("(")), _let(shallow, shallow_or_fold)).otherwise(F.split(c, ","))
+    def passes(v):
+        reach = F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int") - 1)
+
+        def step(acc, k):
+            back = F.call_function("shiftleft", F.lit(1), k)
+            return F.transform(acc, lambda x, i: F.when(i >= back, join(x, F.get(acc, i - back))).otherwise(x))
+
+        return F.when(F.size(v) > 1, F.aggregate(reach, v, step)).otherwise(v)
+
+    return _let(values, passes)
+
+
+def _places(values: Column, test) -> Column:
+    """Numbers of the places of an array that pass a test."""
+    return F.filter(F.transform(values, lambda v, i: F.when(test(v, i), i)), lambda i: i.isNotNull())
+
+
+def _cut(parts: Column, ends: Column, sep: str) -> Column:
+    """Join the parts up to each end, from behind the one before."""
+    return F.transform(ends, lambda e, j: _let(
+        F.coalesce(F.get(ends, j - 1), F.lit(-1)), lambda b: F.array_join(F.slice(parts, b + 2, e - b), sep)))
+
+
+def split_top(c: Column) -> Column:
+    """Items of a comma list; commas inside parentheses do not split, at any depth. Runs inside the row (no shuffle)."""
+    def opened(part):
+        return F.length(F.translate(part, ")", "")) - F.length(F.translate(part, "(", ""))
+
+    def by_depth(parts):
+        def cut(steps):
+            ends = _let(running(steps), lambda depth: _places(depth, lambda d, i: (d <= 0) | (i == F.size(depth) - 1)))
+            return F.when(F.exists(steps, lambda s: s != 0), _let(ends, lambda e: _cut(parts, e, ","))).otherwise(parts)
+
+        return _let(F.transform(parts, opened), cut)
+
+    parts = F.split(c, ",")
+    items = F.when(F.contains(c, F.lit("(")), _let(parts, by_depth)).otherwise(parts)
     return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -144,38 +165,74 @@ def first_group(c: Column) -> Column:
     An unclosed group runs to the end of the text.
     """
     at = F.instr(c, "(")
-    tokens = F.regexp_extract_all(F.substring(c, at, F.length(c)), F.lit(r"[()]|[^()]+"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("d"), F.lit("").alias("cur"), F.lit(False).alias("done"))
+    parts = F.split(F.substring(c, at + 1, F.length(c)), "\\)")
+    zero = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
 
-    def step(a, t):
-        d = a["d"] + _delta(t)
-        closes = (d == 0) & (t == ")")
-        opens = (a["d"] == 0) & (t == "(")
-        return F.when(a["done"], a).otherwise(F.struct(
-            d.alias("d"),
-            F.when(closes | opens, a["cur"]).otherwise(F.concat(a["cur"], t)).alias("cur"),
-            closes.alias("done")))
+    def step(a, part):
+        depth = a["depth"] + F.length(part) - F.length(F.translate(part, "(", "")) - 1
+        return F.when(a["depth"] == 0, a).otherwise(F.struct(depth.alias("depth"), (a["taken"] + 1).alias("taken")))
 
-    def shallow_or_fold(group):
-        return F.when(group != "", F.substring(group, F.lit(2), F.length(group) - 2)).otherwise(
-            F.aggregate(tokens, zero, step, lambda a: a["cur"]))
+    def content(parts):
+        return F.when(~F.contains(F.get(parts, F.lit(0)), F.lit("(")), F.get(parts, F.lit(0))).otherwise(
+            F.array_join(F.slice(parts, F.lit(1), F.aggregate(parts, zero, step, lambda a: a["taken"])), ")"))
 
-    shallow = F.regexp_extract(c, rf"^[^(]*+({GROUP})", 1)
-    return F.when(at > 0, _let(shallow, shallow_or_fold))
+    return F.when(at > 0, _let(parts, content))
 
 
 def outer_text(c: Column) -> Column:
     """Text with every parenthesis group taken out, at any depth."""
-    tokens = F.regexp_extract_all(c, F.lit(r"[()]|[^()]+"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("d"), F.lit("").alias("cur"))
+    def outer(tokens):
+        depth = running(F.transform(tokens, _delta))
+        return _let(depth, lambda d: F.array_join(F.filter(
+            tokens, lambda t, i: (F.get(d, i) <= 0) & ~t.isin("(", ")")), ""))
+
+    return F.when(c.rlike("[()]"), _let(F.regexp_extract_all(c, F.lit(_TOKENS), F.lit(0)), outer)).otherwise(c)
 
-    def step(a, t):
-        keep = (a["d"] <= 0) & ~t.isin("(", ")")
-        return F.struct((a["d"] + _delta(t)).alias("d"),
-                        F.when(keep, F.concat(a["cur"], t)).otherwise(a["cur"]).alias("cur"))
 
-    folded = F.aggregate(tokens, zero, step, lambda a: a["cur"])
-    return F.when(c.rlike("[()]"), folded).otherwise(c)
+def hold_groups(c: Column) -> Column:
+    """Struct of `text`, in which a number stands for the content of each outermost parenthesis group, and `groups`, the contents.
+
+    A pattern over `text` sees only what is outside parentheses; `with_groups` puts the contents back. A parenthesis
+    without a counterpart is a character like any other.
+    """
+    def matched(tokens, depth):
+        """Steps of depth without the parentheses that have no counterpart."""
+        low = running(F.transform(depth, lambda d: F.least(d, F.lit(0))), F.least)
+        later = F.reverse(running(F.reverse(depth), F.least))
+        return F.transform(tokens, lambda t, i: F.when((t == "(") & (F.get(later, i + 1) < F.get(depth, i)), 1)
+                           .when((t == ")") & (F.get(depth, i) >= F.coalesce(F.get(low, i - 1), F.lit(0))), -1).otherwise(0))
+
+    def held(tokens):
+        plain = running(F.transform(tokens, _delta))
+
+        def by(depth):
+            before = lambda i: F.coalesce(F.get(depth, i - 1), F.lit(0))
+            starts = _places(depth, lambda d, i: (d == 1) & (before(i) == 0))
+            ends = _places(depth, lambda d, i: (d == 0) & (before(i) == 1))
+            return _let(starts, lambda s: _let(ends, lambda e: apart(s, e)))
+
+        def apart(starts, ends):
+            groups = F.transform(starts, lambda s, g: F.array_join(F.slice(tokens, s + 2, F.get(ends, g) - s - 1), ""))
+            outside = F.transform(starts, lambda s, g: _let(F.coalesce(F.get(ends, g - 1), F.lit(-1)), lambda b: F.concat(
+                F.array_join(F.slice(tokens, b + 2, s - b - 1), ""), F.lit(f"({HELD}"), g.cast("string"), F.lit(f"{HELD})"))))
+            rest = _let(F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(-1)), lambda b: F.array_join(
+                F.slice(tokens, b + 2, F.size(tokens)), ""))
+            return F.struct(F.concat(F.array_join(outside, ""), rest).alias("text"), groups.alias("groups"))
+
+        def judge(depth):
+            even = (F.array_min(depth) >= 0) & (F.element_at(depth, -1) == 0)
+            return _let(F.when(even, depth).otherwise(running(matched(tokens, depth))), by)
+
+        return _let(plain, judge)
+
+    none = F.struct(c.alias("text"), F.array().cast("array<string>").alias("groups"))
+    return F.when(F.contains(c, F.lit("(")), _let(F.regexp_extract_all(c, F.lit(_TOKENS), F.lit(0)), held)).otherwise(none)
+
+
+def with_groups(c: Column, groups: Column) -> Column:
+    """Text with its parenthesis groups again in place of their numbers."""
+    parts = F.transform(F.split(c, HELD), lambda p, i: F.when(i % 2 == 1, F.get(groups, p.cast("int"))).otherwise(p))
+    return F.when(F.contains(c, F.lit(HELD)), F.array_join(parts, "")).otherwise(c)
 
 
 def ident_list(c: Column) -> Column:

@@ -19,9 +19,9 @@ _KEYS = ["stmt_id", "repo_url", "file_id"]
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
-    """Add q: the statement without hints and with empty literals. The two characters that mark
-    pieces below are removed from the script first."""
-    plain = F.regexp_replace(X.mask_literals(X.strip_hints(F.col("stmt"))), rf"[\s{_SETOP}{_USER}]+", " ")
+    """Add q: the statement without hints and with empty literals. The characters that mark
+    pieces below and groups are removed from the script first."""
+    plain = F.regexp_replace(X.mask_literals(X.strip_hints(F.col("stmt"))), rf"[\s{_SETOP}{_USER}{X.HELD}]+", " ")
     return queries.withColumn("q", F.regexp_replace(plain, r"\((?=#\d+\))", f"({_USER}"))
 
 
@@ -107,8 +107,6 @@ _TAIL = (r"\s+order\s+by\s|\s+having\s|\s+limit\s|\s+offset\s+[\d:?$@]|\s+fetch\
          r"|\s+for\s+(?:update|share)\b|\s+qualify\s|\s+window\s+\w+\s+as\s|\s+connect\s+by\s|;|$")
 _AFTER_WHERE = rf"(?:\s+group\s+by\s|{_TAIL})"
 _STOP = rf"(?:\s+where\s|\s+group\s+by\s|{_TAIL})"
-# A select list up to its FROM; one inside a parenthesis group, as in extract(year from x), does not end it.
-_LIST = rf"(?:[^()\s]++|{X.GROUP}|\s++(?!from\s)|[()])*+"
 _NO_ALIAS = ("on using where natural left right inner full cross outer join and or set as group order "
              "having limit union offset fetch for qualify window connect").split()
 _JOIN = r"(?i)\s+(?:(?:natural|inner|left|right|full|cross|outer)\s+)*join\s+"
@@ -140,14 +138,18 @@ def scope_parts(scope_rows: DataFrame) -> DataFrame:
 
     from_tables (alias, table_ref, child, on_text), select_items, group_items and atoms.
     """
-    own = F.col("own_text")
-    rows = (scope_rows
-            .withColumn("select_text", F.regexp_extract(
-                own, rf"(?i)\bselect\s+(?:distinct\s+|all\s+|top\s+\d+\s+)?({_LIST})", 1))
-            .withColumn("from_text", F.regexp_extract(own, rf"(?i)\bselect\s{_LIST}\s+from\s+(.*?)" + _STOP, 1))
-            .withColumn("where_text", F.regexp_extract(own, r"(?i)\swhere\s+(.*?)" + _AFTER_WHERE, 1))
-            .withColumn("group_text", F.regexp_extract(
-                own, rf"(?i)\sgroup\s+by\s+(.*?)(?:{_TAIL})", 1)))
+    # Keywords inside parentheses, as in extract(year from x), bound no clause.
+    rows = scope_rows.withColumn("held", X.hold_groups(F.col("own_text")))
+    outside = F.col("held.text")
+
+    def clause(name, pattern):
+        return X.with_groups(F.regexp_extract(outside, pattern, 1), F.col("held.groups")).alias(name)
+
+    rows = rows.select(
+        "*", clause("select_text", r"(?i)\bselect\s+(?:distinct\s+|all\s+|top\s+\d+\s+)?(.*?)(?:\s+from\s|$)"),
+        clause("from_text", r"(?i)\bselect\s.*?\s+from\s+(.*?)" + _STOP),
+        clause("where_text", r"(?i)\swhere\s+(.*?)" + _AFTER_WHERE),
+        clause("group_text", rf"(?i)\sgroup\s+by\s+(.*?)(?:{_TAIL})")).drop("held")
     commas = X.split_top(F.col("from_text"))
     from_items = F.flatten(F.transform(commas, lambda c: F.split(c, _JOIN)))
     rows = (rows.withColumn("from_items", from_items)
