@@ -51,6 +51,14 @@ AGGREGATES = ("count", "sum", "max", "min", "avg")
 OP_NAMES = {"<=": "LtEq", ">=": "GtEq", "<": "Lt", ">": "Gt", "=": "Eq", "==": "Eq"}
 MIRRORED = {"LtEq": "GtEq", "GtEq": "LtEq", "Lt": "Gt", "Gt": "Lt", "Eq": "Eq"}
 
+# Words of a condition that name no column.
+CONDITION_WORDS = (
+    "all", "and", "any", "between", "case", "collate", "current_catalog", "current_date", "current_role",
+    "current_schema", "current_time", "current_timestamp", "current_user", "default", "distinct", "else", "end",
+    "escape", "exists", "false", "from", "glob", "ilike", "in", "interval", "is", "isnull", "like", "localtime",
+    "localtimestamp", "not", "notnull", "null", "on", "or", "regexp", "rlike", "rownum", "select", "session_user",
+    "similar", "some", "sysdate", "systimestamp", "system_user", "then", "to", "true", "unknown", "using", "when")
+
 # Statements of this many characters or more are left out of DDL extraction;
 # queries are left out above it.
 STATEMENT_LIMIT = 50000

@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import text as X
+from ..session import cut
 from .catalog import Catalog
 from .query_facts import QueryFacts
 
@@ -14,35 +15,34 @@ def _count_if(cond) -> Column:
     return F.count_if(cond).cast("bigint")
 
 
-def _metrics(df: DataFrame, **aggregates: Column) -> DataFrame:
-    """One aggregate pass over a table, turned into (metric, value) rows."""
-    row = df.agg(*[F.coalesce(a.cast("bigint"), F.lit(0)).alias(n) for n, a in aggregates.items()])
-    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in aggregates])
-    return row.select(F.inline(pairs))
+def _counters(*parts: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """Sums over several tables as (metric, value) rows, in one aggregate: the rows of all tables meet with a value for
+    each of their own metrics, and are summed before the shuffle."""
+    names = [n for _, metrics in parts for n in metrics]
+    rows = reduce(DataFrame.unionByName, [
+        df.select(*[(metrics[n].cast("bigint") if n in metrics else F.lit(0).cast("bigint")).alias(n) for n in names])
+        for df, metrics in parts])
+    total = rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    return total.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
 
 
 def corpus_stats(catalog: Catalog, facts: QueryFacts) -> DataFrame:
     """Corpus counters, one row per metric; each fact table is scanned once."""
     repos = catalog.tables.select("repo_url").union(facts.queries.select("repo_url")).distinct()
     kt = F.col("key_type")
-    parts = [
-        _metrics(repos, nonempty_repos=F.count("*")),
-        _metrics(catalog.all_tables, tables=F.count("*")),
-        _metrics(catalog.tables, nonempty_tables=F.count("*")),
-        _metrics(catalog.columns, columns=F.count("*"), typed_columns=F.count("col_type")),
-        _metrics(catalog.keys, primary_keys=_count_if(kt == "PrimaryKey"),
-                 candidate_keys=_count_if(kt == "CandidateKey"),
-                 unique_constraints=_count_if(kt.contains("Unique")),
-                 indexes=_count_if(kt.isin("Index", "UniqueIndex"))),
-        _metrics(catalog.fks.filter("resolved").select(
-            "repo_url", "table_name", "cols", "ref_name", "ref_cols").distinct(), foreign_keys=F.count("*")),
-        _metrics(facts.queries, queries=F.count("*"), binary_joins=F.sum("n_joins"),
-                 conditions=F.sum("n_conditions"),
-                 queries_with_projection=_count_if(F.col("has_projection")),
-                 queries_with_aggregate=_count_if(F.col("has_aggregate")),
-                 queries_with_selection=_count_if(F.col("has_selection")),
-                 queries_with_groupby=_count_if(F.col("has_groupby")))]
-    return reduce(DataFrame.unionByName, parts)
+    each = F.lit(1)
+    links = catalog.fks.filter("resolved").groupBy(
+        F.md5(F.to_json(F.struct("repo_url", "table_name", "cols", "ref_name", "ref_cols")))).agg(F.lit(1).alias("one"))
+    return _counters(
+        (repos, {"nonempty_repos": each}),
+        (catalog.all_tables, {"tables": each}),
+        (catalog.tables, {"nonempty_tables": each}),
+        (catalog.columns, {"columns": each, "typed_columns": F.col("col_type").isNotNull()}),
+        (catalog.keys, {"primary_keys": kt == "PrimaryKey", "candidate_keys": kt == "CandidateKey",
+                        "unique_constraints": kt.contains("Unique"), "indexes": kt.isin("Index", "UniqueIndex")}),
+        (links, {"foreign_keys": each}),
+        (facts.queries, {"queries": each, "binary_joins": F.col("n_joins"), "conditions": F.col("n_conditions"),
+                         **{f"queries_with_{k}": F.col(f"has_{k}") for k in ("projection", "aggregate", "selection", "groupby")}}))
 
 
 def type_frequency(columns: DataFrame) -> DataFrame:
@@ -163,21 +163,23 @@ def training_stats(all_tables: DataFrame, constraints: DataFrame, signatures: Da
                    skip_no_constraint: bool = True, max_notnull_share: float = 1.0,
                    dedup: bool = True) -> DataFrame:
     """Counters of the training export: tables in, skipped, duplicate, out, and labels out."""
+    constraints = cut(constraints)
     bare = F.col("n_none") == F.col("n_cols")
     high = F.col("notnull_share") > max_notnull_share
     no_constraint = bare if skip_no_constraint else F.lit(False)
     kept = filter_tables(constraints, skip_no_constraint, max_notnull_share)
     kept_keys = signatures.join(kept, ["table_name", "repo_url"])
-    out = keep_first(kept_keys) if dedup else kept_keys
-    parts = [
-        _metrics(all_tables, input_tables=F.count("*")),
-        _metrics(constraints, skipped_no_constraint=_count_if(no_constraint),
-                 skipped_high_notnull=_count_if(high & ~no_constraint)),
-        _metrics(kept_keys.groupBy("cluster_key").agg(F.count("*").alias("n")),
-                 duplicate_tables=F.sum(F.col("n") - 1) if dedup else F.lit(0)),
-        _metrics(out, output_tables=F.count("*"), unique_columns=F.sum("n_unique"),
-                 notnull_columns=F.sum("n_notnull"), none_columns=F.sum("n_none"))]
-    return reduce(DataFrame.unionByName, parts)
+    turn = F.row_number().over(W.partitionBy("cluster_key").orderBy("repo_url", "file_id", "table_name")) if dedup else F.lit(1)
+    first = F.col("turn") == 1
+    of_first = lambda n: F.when(first, F.col(n)).otherwise(0)
+    # Of a large cluster each table but one only counts as a duplicate: those rows are narrow.
+    ranked = kept_keys.select(F.md5("cluster_key").alias("cluster_key"), "repo_url", "file_id", "table_name",
+                              "n_unique", "n_notnull", "n_none").withColumn("turn", turn)
+    return _counters(
+        (all_tables, {"input_tables": F.lit(1)}),
+        (constraints, {"skipped_no_constraint": no_constraint, "skipped_high_notnull": high & ~no_constraint}),
+        (ranked, {"duplicate_tables": ~first, "output_tables": first, "unique_columns": of_first("n_unique"),
+                  "notnull_columns": of_first("n_notnull"), "none_columns": of_first("n_none")}))
 
 
 def log_coverage(lines: DataFrame) -> DataFrame:

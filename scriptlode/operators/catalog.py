@@ -398,37 +398,51 @@ def build_catalog(stmts: DataFrame) -> Catalog:
                               F.col("table_name").alias("table_ref"), F.inline("fks"))
                .withColumn("clause_seq", F.col("seq")).select(*_FK))
     fk_refs = own_fks.unionByName(ddl.alter_fk(altered).select(*_FK))
-    fks = cut(resolve_fks(fk_refs, all_tables, columns, keys))
-    return Catalog(versions, picked, names, all_tables, finalize_catalog(all_tables, columns), columns,
-                   later_keys, keys, fks)
+    fks, tables = cut_all([resolve_fks(fk_refs, all_tables, columns, keys), finalize_catalog(all_tables, columns)])
+    return Catalog(versions, picked, names, all_tables, tables, columns, later_keys, keys, fks)
 
 
 # --- nearest names -----------------------------------------------------------------------------
 
-def _deletions(name: Column) -> Column:
-    """The name and every text made by deleting one of its characters."""
-    drop = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(
-        F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
-    return F.when(F.length(name) > 0, F.array_append(drop, name)).otherwise(F.array(name))
+NEAR = 2  # differences of length that are looked at first
+BLOCK = 256  # names of one length that are compared in one step
 
 
 def nearest_names(missing: DataFrame, tables: DataFrame, k: int = 3) -> DataFrame:
-    """For each missing (repo_url, table_ref), the k nearest table names of the repository by edit
-    distance, among those at distance 2 or less.
+    """For each missing (repo_url, table_ref), the k nearest table names of the repository by edit distance, equal
+    distances by name; fewer only if the repository has fewer tables.
 
-    Names at that distance share a text obtained by at most two deletions on each side, so
-    candidates come from an equi-join on that text and not from all pairs of a repository.
+    Names lie in blocks of one length and about BLOCK names, so that the names of a large repository are compared by many
+    tasks; a block gives its k nearest. The difference of two lengths is a lower bound of the distance:
+    names of similar length come first, and then only lengths that the k-th of them does not rule out.
     """
-    def forms(df, col):
-        name = F.lower(col)
-        twice = F.array_distinct(F.flatten(F.transform(_deletions(name), lambda d: _deletions(d))))
-        return df.withColumn("form", F.explode(twice))
-
-    asked = forms(missing.select("repo_url", "table_ref").distinct(), "table_ref")
-    known = forms(tables.select("repo_url", "table_name").distinct(), "table_name")
-    pairs = (asked.join(known, ["repo_url", "form"])
-             .select("repo_url", "table_ref", "table_name").distinct()
-             .withColumn("distance", F.levenshtein(F.lower("table_ref"), F.lower("table_name")))
-             .filter("distance <= 2"))
-    rank = F.row_number().over(W.partitionBy("repo_url", "table_ref").orderBy("distance", "table_name"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    asked = missing.select("repo_url", "table_ref").distinct().withColumn("n", F.length(F.lower("table_ref")))
+    names = tables.select("repo_url", "table_name").distinct().withColumn("len", F.length(F.lower("table_name")))
+    sizes = names.groupBy("len", "repo_url").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = names.join(sizes, ["len", "repo_url"]).withColumn("block", F.pmod(F.xxhash64("table_name"), "blocks").cast("int"))
+    blocks = cut(dealt.groupBy("block", "len", "repo_url").agg(F.collect_list("table_name").alias("names")))
+    asked, sizes = cut_all([asked, sizes])
+
+    def best(pairs):
+        """The k nearest of the blocks that each name (repo_url, table_ref) is held against: (len, blocks) of its repository."""
+        each = pairs.select("repo_url", "table_ref", "len", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        near = F.transform("names", lambda t: F.struct(F.levenshtein(F.lower("table_ref"), F.lower(t)).alias("distance"), t.alias("table_name")))
+        return each.join(blocks, ["block", "len", "repo_url"]).select(
+            "repo_url", "table_ref", F.inline(F.slice(F.array_sort(near), 1, k)))
+
+    def merged(rows):
+        place = W.partitionBy("table_ref", "repo_url").orderBy("distance", "table_name")
+        return rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+
+    def lengths(rows, reach):
+        return rows.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - reach), F.col("n") + reach)))
+
+    close = cut(merged(best(lengths(asked, F.lit(NEAR)).join(sizes, ["len", "repo_url"]))))
+    kth = close.filter(F.col("rank") == k).select("repo_url", "table_ref", F.col("distance").alias("kth"))
+    rest = asked.join(kth, ["table_ref", "repo_url"], "left")
+    bounded = lengths(rest.filter(F.col("kth") > NEAR), F.col("kth")).join(sizes, ["len", "repo_url"])
+    unbounded = rest.filter("kth is null").join(sizes, "repo_url")
+    far = F.abs(F.col("len") - F.col("n")) > NEAR
+    cols = ["repo_url", "table_ref", "len", "blocks"]
+    more = best(bounded.filter(far).select(*cols).unionByName(unbounded.filter(far).select(*cols)))
+    return merged(close.drop("rank").unionByName(more))

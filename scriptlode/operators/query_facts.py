@@ -2,8 +2,10 @@
 against the catalog of their repository.
 
 Every mention of a column becomes one row; aliases of the same scope are bound inside the row, and
-only mentions of derived tables or of enclosing scopes join on stmt_id, for nested statements. All
-kinds are resolved by one lookup of the distinct (repository, table, column) mentions.
+only mentions of derived tables, of common table expressions or of enclosing scopes are joined, by the
+intervals of their statement. All kinds are resolved by one lookup of the distinct (repository, table, column)
+mentions. Candidates are ordered by `c_pos`, a list of numbers: (0, place) for a table of the own scope, (1 or 2, scope,
+place) for one inside a derived table (2: before the select that renames the column), (9) for any table.
 """
 
 from dataclasses import dataclass
@@ -15,11 +17,15 @@ from ..functions.fixed import MIRRORED
 from ..session import cut, cut_all
 from . import scopes as Q
 from .catalog import Catalog, resolve_column, resolve_table
+from .intervals import within
 
 _KEYS = ["stmt_id", "repo_url", "file_id"]
 _REF = ["stmt_id", "lo", "seq", "kind", "side", "func", "atom", "repo_url", "file_id"]
 _PART = r"[a-z_#@$\u0080-￿][\w$#@]*"
-_ANY_TABLE_POS = 1 << 40
+
+
+def _order(*numbers) -> Column:
+    return F.array(*[n.cast("int") if isinstance(n, Column) else F.lit(n) for n in numbers])
 
 
 def _mention(kind, seq, ref, side="", func=None, atom=None) -> Column:
@@ -46,9 +52,9 @@ def mentions(parts: DataFrame) -> DataFrame:
         F.transform("atoms", lambda a, i: _mention(
             "selection", i, F.when(a["is_selection"] & ~a["r_literal"], a["r"]))),
         F.transform("atoms", lambda a, i: _mention(
-            "condition", i, F.when(a["is_join"], a["l"]), "l", a["op_name"], a["atom"])),
+            "condition", i, F.when(a["is_limited"], a["l"]), "l", a["op_name"], a["atom"])),
         F.transform("atoms", lambda a, i: _mention(
-            "condition", i, F.when(a["is_join"], a["r"]), "r", a["op_name"], a["atom"]))]
+            "condition", i, F.when(a["is_limited"], a["r"]), "r", a["op_name"], a["atom"]))]
     refs = F.filter(F.concat(*arrays), lambda m: m["ref"].rlike(rf"^(?:{_PART}\.)*+(?:{_PART}|\*)$"))
     named = F.transform(refs, lambda m: m.withField(
         "prefix", F.nullif(F.regexp_extract(m["ref"], r"^(.*)\.[^.]+$", 1), F.lit("")))
@@ -78,56 +84,90 @@ def _named_and_bare(rows: DataFrame) -> DataFrame:
     return (rows.filter(F.col("mode").isin("named", "bare"))
             .select(*_REF, "mode", "lcol", F.posexplode(listed).alias("pos", "t"))
             .select(*_REF, "mode", "lcol",
-                    F.when(F.col("t.table_ref") == "*", F.lit(_ANY_TABLE_POS)).otherwise(
-                        F.col("pos").cast("bigint")).alias("c_pos"),
+                    F.when(F.col("t.table_ref") == "*", _order(9)).otherwise(_order(0, F.col("pos"))).alias("c_pos"),
                     "t.table_ref", "t.child"))
 
 
 def _outer(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Bind aliases of enclosing scopes: the nearest enclosing scope that has the alias."""
-    asked = rows.filter(F.col("mode") == "outer").select(*_REF, "mode", "lcol", "prefix")
+    cols = [*_REF, "mode", "lcol", "prefix"]
+    asked = rows.filter(F.col("mode") == "outer").select(*cols)
     names = tables.select(
-        "stmt_id", F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"), "table_ref", "child",
+        "stmt_id", F.col("lo").alias("t_lo"), (F.col("lo") + 1).alias("t_from"), F.col("hi").alias("t_hi"), "table_ref", "child",
         F.explode(F.array_distinct(F.array_compact(F.array("alias", F.lower("table_ref"))))).alias("prefix"))
-    encloses = (F.col("t_lo") < F.col("lo")) & (F.col("t_hi") >= F.col("lo"))
-    best = asked.join(names, ["stmt_id", "prefix"], "left").groupBy(*_REF, "mode", "lcol", "prefix").agg(
-        F.max(F.when(encloses, F.struct("t_lo", "table_ref", "child"))).alias("t"))
+    found = within(asked, names, ["stmt_id", "prefix"], "lo", "t_from", "t_hi").select(
+        *cols, F.struct("t_lo", "table_ref", "child").alias("t"))
+    none = asked.select(*cols, F.lit(None).cast(found.schema["t"].dataType).alias("t"))
+    best = found.unionByName(none).groupBy(*cols).agg(F.max("t").alias("t"))
     # An alias that no enclosing scope binds names a table.
     return best.select(
-        *_REF, "mode", "lcol", F.lit(0).cast("bigint").alias("c_pos"),
+        *_REF, "mode", "lcol", _order(0, 0).alias("c_pos"),
         F.when(F.col("t").isNull(), F.col("prefix")).otherwise(F.col("t.table_ref")).alias("table_ref"),
         F.col("t.child").alias("child"))
 
 
+def _renames(inside: DataFrame) -> DataFrame:
+    """Select items that give a column another name: s_lo, lcol (the new name), src, and the block they take it from if that is
+    a derived table."""
+    items = F.transform("select_items", lambda s: s.withField(
+        "prefix", F.nullif(F.regexp_extract(s["expr"], r"^(.*)\.[^.]+$", 1), F.lit(""))))
+    rows = (inside.select("stmt_id", F.col("lo").alias("s_lo"), "from_tables", F.inline(items))
+            .filter(F.col("aliased") & F.col("expr").isNotNull()))
+    bound = F.filter("from_tables", lambda t: (t["alias"] == F.col("prefix")) | (F.lower(t["table_ref"]) == F.col("prefix")))
+    only = F.when(F.size("from_tables") == 1, F.col("from_tables"))
+    source = F.get(F.when(F.col("prefix").isNotNull(), bound).otherwise(only), F.lit(0))
+    return rows.select("stmt_id", "s_lo", F.col("out").alias("lcol"), X.last_part(F.col("expr")).alias("src"),
+                       source["child"].alias("src_child"))
+
+
 def _derived(cands: DataFrame, parts: DataFrame) -> DataFrame:
     """Replace a derived table by the base tables inside it, in order of appearance.
 
-    A column that a select alias inside renames is traced to its source column, and the tables of
-    the renaming select come first."""
-    asked = cands.filter(F.col("child").isNotNull() & (F.col("lcol") != "*"))
-    keys = asked.select("stmt_id", "child", "lcol").distinct()
+    A column that a select alias inside renames is traced to its source column, and the tables of the renaming
+    select come first. If that select takes the column from a derived table of its own, or a scope inside names a
+    common table expression, that one is asked in turn; how many turns it takes is the depth of the nesting.
+    """
     inside = parts.filter("nested")
     blocks = inside.select("stmt_id", F.col("block").alias("child"), "block_hi").distinct()
-    spans = keys.join(blocks, ["stmt_id", "child"])
-    renames = (inside.select("stmt_id", F.col("lo").alias("s_lo"), F.inline("select_items"))
-               .filter(F.col("aliased") & F.col("expr").isNotNull())
-               .select("stmt_id", "s_lo", F.col("out").alias("lcol"), X.last_part(F.col("expr")).alias("src")))
-    within = F.col("s_lo").isNull() | ((F.col("s_lo") >= F.col("child")) & (F.col("s_lo") <= F.col("block_hi")))
-    renamed = (spans.join(renames, ["stmt_id", "lcol"], "left")
-               .withColumn("src", F.when(within, F.col("src")))
-               .groupBy("stmt_id", "child", "lcol", "block_hi")
-               .agg(F.min(F.when(F.col("src").isNotNull(), F.struct("s_lo", "src"))).alias("r")))
-    base = (Q.scope_tables(inside).filter(F.col("table_ref").isNotNull())
-            .select("stmt_id", F.col("lo").alias("s_lo"), "t_pos", F.col("table_ref").alias("base_ref")))
-    tables = (renamed.join(base, "stmt_id")
-              .filter((F.col("s_lo") >= F.col("child")) & (F.col("s_lo") <= F.col("block_hi")))
-              .select("stmt_id", "child", "lcol", F.coalesce("r.src", "lcol").alias("src_col"),
-                      (F.when(F.col("s_lo") < F.col("r.s_lo"), F.lit(1 << 39)).otherwise(F.lit(0))
-                       + F.col("s_lo").cast("bigint") * 65536 + F.col("t_pos")).alias("in_pos"), "base_ref"))
-    return (asked.join(tables, ["stmt_id", "child", "lcol"])
-            .select(*_REF, F.when(F.col("mode") == "bare", F.lit("bare_derived")).otherwise("derived").alias("mode"),
-                    F.col("src_col").alias("lcol"), "in_pos", "c_pos", F.col("base_ref").alias("table_ref"))
-            .withColumn("c_pos", F.col("in_pos")).drop("in_pos"))
+    renames = _renames(inside)
+    held = Q.scope_tables(inside).select(
+        "stmt_id", F.col("lo").alias("s_lo"), "t_pos", F.col("table_ref").alias("base_ref"), F.col("child").alias("base_child"))
+    asked = (cands.filter(F.col("child").isNotNull() & (F.col("lcol") != "*"))
+             .withColumn("mode", F.when(F.col("mode") == "bare", "bare_derived").otherwise("derived"))
+             .select(*_REF, "mode", "lcol", _order().cast("array<int>").alias("c_pos"), "child", F.array("child").alias("trail")))
+    nested_deeper = inside.filter("depth > 1 or cte").limit(1).count() > 0
+    out = []
+    while True:
+        spans = asked.select("stmt_id", "child", "lcol").distinct().join(blocks, ["stmt_id", "child"])
+        first = (within(renames, spans, ["stmt_id", "lcol"], "s_lo", "child", "block_hi")
+                 .groupBy("stmt_id", "child", "lcol").agg(F.min(F.struct("s_lo", "src", "src_child")).alias("r")))
+        traced = spans.join(first, ["stmt_id", "child", "lcol"], "left")
+        # A source block around the select itself is the table of a recursive definition; its base tables are asked already.
+        onward = F.col("r.src_child").isNotNull() & ~((F.col("r.src_child") <= F.col("r.s_lo")) & (F.col("r.src_child") == F.col("child")))
+        stays = traced.filter(~F.coalesce(onward, F.lit(False)))
+        found = within(held, stays, ["stmt_id"], "s_lo", "child", "block_hi").select(
+            "stmt_id", "child", "lcol", F.coalesce("r.src", "lcol").alias("src_col"),
+            _order(F.when(F.col("s_lo") < F.col("r.s_lo"), 2).otherwise(1), F.col("s_lo"), F.col("t_pos")).alias("place"),
+            "base_ref", "base_child", ((F.col("base_child") >= F.col("child")) & (F.col("base_child") <= F.col("block_hi"))).alias("own"))
+        hits = asked.join(found.filter("base_ref is not null"), ["stmt_id", "child", "lcol"])
+        out.append(hits.select(*_REF, "mode", F.col("src_col").alias("lcol"), F.concat("c_pos", "place").alias("c_pos"),
+                               F.col("base_ref").alias("table_ref")))
+        if not nested_deeper:
+            break
+        further = found.filter("base_child is not null and not own").select(
+            "stmt_id", "child", "lcol", "src_col", "place", F.col("base_child").alias("next"))
+        renamed = traced.filter(onward).select(
+            "stmt_id", "child", "lcol", F.col("r.src").alias("src_col"), _order(1, F.col("r.s_lo"), 0).alias("place"), F.col("r.src_child").alias("next"))
+        asked = cut(asked.join(further.unionByName(renamed), ["stmt_id", "child", "lcol"])
+                    .filter(~F.array_contains("trail", F.col("next")))
+                    .select(*_REF, "mode", F.col("src_col").alias("lcol"), F.concat("c_pos", "place").alias("c_pos"),
+                            F.col("next").alias("child"), F.array_append("trail", F.col("next")).alias("trail")))
+        if asked.isEmpty():
+            break
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 def candidates(parts: DataFrame) -> DataFrame:
@@ -140,7 +180,7 @@ def candidates(parts: DataFrame) -> DataFrame:
     tables = Q.scope_tables(parts.filter("nested"))
     direct = _named_and_bare(nested).unionByName(_outer(nested, tables))
     named_child = nested.filter(F.col("mode") == "derived").select(
-        *_REF, "mode", "lcol", F.lit(0).cast("bigint").alias("c_pos"),
+        *_REF, "mode", "lcol", _order(0, 0).alias("c_pos"),
         F.lit(None).cast("string").alias("table_ref"), F.col("bound.child").alias("child"))
     inner = _derived(direct.filter(F.col("child").isNotNull()).unionByName(named_child), parts)
     held = _named_and_bare(flat).unionByName(direct).filter(F.col("table_ref").isNotNull()).drop("child")
@@ -195,12 +235,10 @@ def groupbys(refs: DataFrame) -> DataFrame:
 
 
 def limit_conditions(parts: DataFrame) -> DataFrame:
-    """Join candidates whose two columns occur among the scope's join and where columns, when
-    that list is not empty."""
-    rows = (parts.select(*_KEYS, "lo", "limit_cols", F.posexplode("atoms").alias("atom_seq", "a"))
-            .filter("a.is_join"))
-    listed = (F.array_contains("limit_cols", F.col("a.l")) & F.array_contains("limit_cols", F.col("a.r")))
-    return rows.filter((F.size("limit_cols") == 0) | listed).select(*_KEYS, "lo", "atom_seq", "a.*")
+    """Join candidates whose two columns occur among the columns of the scope's join and where clauses, when
+    that list is not empty. Only these are resolved."""
+    return (parts.select(*_KEYS, "lo", F.posexplode("atoms").alias("atom_seq", "a"))
+            .filter("a.is_limited").select(*_KEYS, "lo", "atom_seq", "a.*"))
 
 
 def conditions(found: DataFrame) -> DataFrame:
@@ -314,6 +352,6 @@ def build_query_facts(query_stmts: DataFrame, catalog: Catalog) -> QueryFacts:
     cands = cut(candidates(parts))
     found = cut(resolved(cands, catalog))
     conds, refs = cut_all([conditions(found), query_refs(found, star_columns(cands, catalog))])
-    joins = binary_joins(conds, parts)
+    joins = cut(binary_joins(conds, parts))
     return QueryFacts(query_stmts.drop("q"), parts, parts, cands, conds, refs, joins,
-                      resolution_failures(conds), queries(refs, joins))
+                      resolution_failures(conds), cut(queries(refs, joins)))

@@ -1,20 +1,23 @@
 """Query scopes. Every SELECT is a scope; an arm of a set operation is a scope of its own.
 
 A query without a nested select or a set operation is one scope and takes no shuffle. The others
-are cut at parentheses and set operators; running counts over the pieces of one statement (which
-the size guard bounds) give the select depth, the enclosing block and the arm of each piece.
+are cut at parentheses and set operators; running counts over the pieces of one statement give the
+select depth, the enclosing block and the arm of each piece. A mention of a common table expression in a
+from clause is bound to the block of its body, like a derived table.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import text as X
-from ..functions.fixed import AGGREGATES, OP_NAMES
+from ..functions.fixed import AGGREGATES, CONDITION_WORDS, OP_NAMES
+from ..session import cut
 
 _SETOP = "\u0001"
 _USER = "\u0002"  # stands between ( and # where a script itself writes (#1), the form of a placeholder
 _END = 2147483647
-_NESTED = r"(?i)\(\s*select\b|\b(?:union|intersect|except|minus)\b"
+_NESTED = r"(?i)\(\s*(?:select|with)\b|\b(?:union|intersect|except|minus)\b"
 _SELECT = r"(?i)\bselect\b"
+_WITH = r"(?i)\bwith\s+(?:recursive\s+)?[^\s()]+\s*(?:\([^()]*\)\s*)?as\s*(?:(?:not\s+)?materialized\s*)?\("
 _KEYS = ["stmt_id", "repo_url", "file_id"]
 
 
@@ -32,12 +35,12 @@ def is_union(queries: DataFrame) -> DataFrame:
 def _pieces(nested: DataFrame) -> DataFrame:
     marked = F.regexp_replace("q", r"(?i)\b(?:union(?:\s+all)?|intersect|except|minus)\b", _SETOP)
     toks = F.regexp_extract_all(marked, F.lit(f"[(){_SETOP}]|[^(){_SETOP}]+"), F.lit(0))
-    rows = nested.select(*_KEYS, F.posexplode(toks).alias("pos", "tok"))
+    rows = nested.select(*_KEYS, "cte", F.posexplode(toks).alias("pos", "tok"))
     stmt = W.partitionBy("stmt_id").orderBy("pos")
     step = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
     rows = (rows.withColumn("after", F.sum(step).over(stmt))
             .withColumn("opens", (F.col("tok") == "(")
-                        & F.coalesce(F.lead("tok").over(stmt), F.lit("")).rlike(r"(?i)^\s*select\b"))
+                        & F.coalesce(F.lead("tok").over(stmt), F.lit("")).rlike(r"(?i)^\s*(?:select|with)\b"))
             .withColumn("level", F.col("after") + F.when(F.col("tok") == ")", 1).otherwise(0)))
     # A closing parenthesis belongs to the last one opened at its level.
     same_level = W.partitionBy("stmt_id", "level").orderBy("pos")
@@ -53,7 +56,7 @@ def _pieces(nested: DataFrame) -> DataFrame:
     hole = F.struct((F.col("depth") - 1).alias("depth"),
                     F.concat(F.lit("(#"), F.col("pos").cast("string"), F.lit(")")).alias("tok"),
                     F.lit(False).alias("mark"), F.col("pos").alias("child"))
-    rows = rows.select(*_KEYS, "pos", "opens",
+    rows = rows.select(*_KEYS, "cte", "pos", "opens",
                        F.inline(F.when(F.col("opens"), F.array(own, hole)).otherwise(F.array(own))))
     is_open = F.col("opens") & F.col("child").isNull()
     block = F.last(F.when(is_open, F.col("pos")), ignorenulls=True).over(
@@ -66,7 +69,7 @@ def _pieces(nested: DataFrame) -> DataFrame:
 
 def _nested_scopes(nested: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.when(~F.col("mark"), F.struct("pos", "tok"))))
-    arms = _pieces(nested).groupBy("stmt_id", "block", "arm", "repo_url", "file_id").agg(
+    arms = _pieces(nested).groupBy("stmt_id", "block", "arm", "repo_url", "file_id", "cte").agg(
         F.min("pos").alias("lo"), F.max("pos").alias("top"), F.max("depth").alias("depth"),
         F.array_join(F.transform(parts, lambda p: p["tok"]), "").alias("own_text"))
     in_block = W.partitionBy("stmt_id", "block")
@@ -88,15 +91,16 @@ def _nested_scopes(nested: DataFrame) -> DataFrame:
 def scopes(queries: DataFrame) -> DataFrame:
     """One row per SELECT: its interval (lo, hi) of pieces, its parent's lo, depth and own text.
 
-    A nested select shows up in the parent's own text as (#n), where n is the child's block.
+    A nested select shows up in the parent's own text as (#n), where n is the child's block. `cte` tells that the
+    statement has common table expressions.
     """
     q = queries if "q" in queries.columns else prepare_queries(queries)
-    cols = [*_KEYS, "block", "block_hi", "lo", "hi", "parent_lo", "depth", "nested", "own_text"]
+    cols = [*_KEYS, "block", "block_hi", "lo", "hi", "parent_lo", "depth", "nested", "cte", "own_text"]
     flat = q.filter(~F.col("q").rlike(_NESTED)).select(
         *_KEYS, F.lit(-1).alias("block"), F.lit(_END).alias("block_hi"), F.lit(0).alias("lo"),
         F.lit(_END).alias("hi"), F.lit(None).cast("int").alias("parent_lo"),
-        F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("nested"), F.trim("q").alias("own_text"))
-    nested = _nested_scopes(q.filter(F.col("q").rlike(_NESTED)))
+        F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("nested"), F.lit(False).alias("cte"), F.trim("q").alias("own_text"))
+    nested = _nested_scopes(q.filter(F.col("q").rlike(_NESTED)).withColumn("cte", F.col("q").rlike(_WITH)))
     return flat.unionByName(nested.withColumn("nested", F.lit(True)).select(*cols))
 
 
@@ -136,8 +140,15 @@ def scope_join_type(scope_rows: DataFrame) -> DataFrame:
 def scope_parts(scope_rows: DataFrame) -> DataFrame:
     """Add the clause texts and arrays of a scope:
 
-    from_tables (alias, table_ref, child, on_text), select_items, group_items and atoms.
+    from_tables (alias, table_ref, child), select_items, group_items and atoms. Tables of the from clause that
+    a common table expression names are bound to its body (child).
     """
+    plain = _parts(scope_rows.filter("not cte")).drop("held")
+    held = cut(_with_definitions(_parts(scope_rows.filter("cte"))).drop("held"))
+    return plain.unionByName(_bind_definitions(held).select(plain.columns))
+
+
+def _parts(scope_rows: DataFrame) -> DataFrame:
     # Keywords inside parentheses, as in extract(year from x), bound no clause.
     rows = scope_rows.withColumn("held", X.hold_groups(F.col("own_text")))
     outside = F.col("held.text")
@@ -149,7 +160,7 @@ def scope_parts(scope_rows: DataFrame) -> DataFrame:
         "*", clause("select_text", r"(?i)\bselect\s+(?:distinct\s+|all\s+|top\s+\d+\s+)?(.*?)(?:\s+from\s|$)"),
         clause("from_text", r"(?i)\bselect\s.*?\s+from\s+(.*?)" + _STOP),
         clause("where_text", r"(?i)\swhere\s+(.*?)" + _AFTER_WHERE),
-        clause("group_text", rf"(?i)\sgroup\s+by\s+(.*?)(?:{_TAIL})")).drop("held")
+        clause("group_text", rf"(?i)\sgroup\s+by\s+(.*?)(?:{_TAIL})"))
     commas = X.split_top(F.col("from_text"))
     from_items = F.flatten(F.transform(commas, lambda c: F.split(c, _JOIN)))
     rows = (rows.withColumn("from_items", from_items)
@@ -160,10 +171,69 @@ def scope_parts(scope_rows: DataFrame) -> DataFrame:
     ons = F.filter(F.transform("from_items", lambda i: F.regexp_extract(i, r"(?i)\son\b\s*(.*)$", 1)),
                    lambda t: t != "")
     cond = F.concat_ws(" and ", ons, F.nullif(F.trim("where_text"), F.lit("")))
-    rows = rows.withColumn("cond_text", cond)
-    rows = rows.withColumn("limit_cols", F.regexp_extract_all(
-        F.lower(_unquote(F.col("cond_text"))), F.lit(r"[\w$#@.]+"), F.lit(0)))
-    return rows.withColumn("atoms", _atoms(F.col("cond_text"))).drop("from_items", "cond_text")
+    rows = rows.withColumn("cond_text", cond).withColumn("limit_cols", condition_columns(F.col("cond_text")))
+    listed = lambda c: F.array_contains("limit_cols", c)
+    limited = F.transform(_atoms(F.col("cond_text")), lambda a: a.withField(
+        "is_limited", a["is_join"] & ((F.size("limit_cols") == 0) | (listed(a["l"]) & listed(a["r"])))))
+    return rows.withColumn("atoms", limited).drop("from_items", "cond_text")
+
+
+def condition_columns(cond: Column) -> Column:
+    """Columns named in the text of join and where conditions: the words that are no function, number or keyword."""
+    words = F.regexp_extract_all(F.lower(_unquote(cond)), F.lit(r"(?<![\w$#@.:'])([a-z_#@$\u0080-\uffff][\w$#@.]*+)(?!\s*\()"), F.lit(1))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*CONDITION_WORDS)))
+
+
+# --- common table expressions --------------------------------------------------------------------
+
+_GROUP_NO = rf"{X.HELD}(\d+){X.HELD}"
+_DEFINITION = (rf"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)([^\s(),]+)\s*(?:\({_GROUP_NO}\)\s*)?"
+               rf"as\s*(?:(?:not\s+)?materialized\s*)?\({_GROUP_NO}\)")
+
+
+def _with_definitions(rows: DataFrame) -> DataFrame:
+    """Add `definitions` (name, columns, child) of the with clause of a scope, and whether it is recursive."""
+    head = F.regexp_extract("held.text", r"(?i)^(.*?)\bselect\s", 1)
+    found = F.regexp_extract_all(head, F.lit(_DEFINITION), F.lit(0))
+
+    def group(text, number):
+        no = F.nullif(F.regexp_extract(text, _DEFINITION, number), F.lit(""))
+        return F.when(no.isNotNull(), F.get("held.groups", no.cast("int")))
+
+    made = F.transform(found, lambda d: F.struct(
+        F.lower(_unquote(F.regexp_extract(d, _DEFINITION, 1))).alias("name"),
+        F.transform(F.split(F.lower(_unquote(group(d, 2))), ","), lambda c: F.trim(c)).alias("columns"),
+        F.nullif(F.regexp_extract(group(d, 3), r"^\s*#(\d+)\s*$", 1), F.lit("")).try_cast("int").alias("child")))
+    return (rows.withColumn("definitions", F.filter(made, lambda d: d["child"].isNotNull()))
+            .withColumn("recursive", head.rlike(r"(?i)\bwith\s+recursive\b")))
+
+
+def _bind_definitions(held: DataFrame) -> DataFrame:
+    """Bind mentions to the nearest definition in sight, and name the columns of bodies that have a column list.
+
+    A definition is seen from its own select and from all that follows its body inside the block that holds the with clause;
+    a recursive one from its body too. Mentions meet definitions by statement and name only.
+    """
+    ends = held.select("stmt_id", F.col("block").alias("child"), F.col("block_hi").alias("body_hi")).distinct()
+    made = (held.select("stmt_id", F.col("lo").alias("w_lo"), F.col("block_hi").alias("w_hi"), "recursive", F.inline("definitions"))
+            .join(ends, ["stmt_id", "child"]))
+    asked = (held.select("stmt_id", "lo", F.posexplode("from_tables").alias("t_pos", "t")).filter("t.child is null")
+             .select("stmt_id", "lo", "t_pos", F.lower("t.table_ref").alias("name")))
+    lo = F.col("lo")
+    seen = (lo >= F.col("w_lo")) & (lo <= F.col("w_hi")) & (
+        (lo == F.col("w_lo")) | (lo > F.col("body_hi")) | (F.col("recursive") & (lo >= F.col("child"))))
+    bound = (asked.join(made, ["stmt_id", "name"]).filter(seen).groupBy("stmt_id", "lo", "t_pos")
+             .agg(F.max(F.struct("w_lo", "child"))["child"].alias("child"))
+             .groupBy("stmt_id", "lo").agg(F.map_from_entries(F.collect_list(F.struct("t_pos", "child"))).alias("bound")))
+    named = (made.filter(F.size("columns") > 0).groupBy("stmt_id", F.col("child").alias("lo"))
+             .agg(F.first("columns").alias("given")))
+    rows = held.join(bound, ["stmt_id", "lo"], "left").join(named, ["stmt_id", "lo"], "left")
+    tables = F.transform("from_tables", lambda t, i: F.when(F.col("bound")[i].isNotNull(), F.struct(
+        t["alias"].alias("alias"), F.lit(None).cast("string").alias("table_ref"), F.col("bound")[i].alias("child"))).otherwise(t))
+    items = F.transform("select_items", lambda s, i: F.when(F.get("given", i).isNotNull() & ~F.coalesce(
+        s["expr"].endswith("*"), F.lit(False)), s.withField("out", F.get("given", i)).withField("aliased", F.lit(True))).otherwise(s))
+    return (rows.withColumn("from_tables", F.when(F.col("bound").isNull(), F.col("from_tables")).otherwise(tables))
+            .withColumn("select_items", F.when(F.col("given").isNull(), F.col("select_items")).otherwise(items)))
 
 
 def _unquote(c: Column) -> Column:

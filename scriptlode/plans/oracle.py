@@ -49,6 +49,8 @@ _COLUMNS = [
     (2, 1, "code", "varchar", True, "column", "code varchar NOT NULL"),
     (2, 2, "userName", "varchar", False, "column", "userName varchar"),
     (2, 3, "kind", "int", False, "column", "kind int CHECK ((kind > ))"),
+    (2, 4, "depth", "int", False, "column",
+     "depth int CHECK ((kind + (id * (id + (kind + (id))))) > coalesce(kind, id))"),
     (3, 0, "id", "bigint", False, "inline_pk", '"id" bigint PRIMARY KEY REFERENCES "{V}" ("id") ON DELETE CASCADE'),
     (3, 1, "ref_id", "int", True, "column_ref", '"ref_id" int NOT NULL REFERENCES {V}(id)'),
     (3, 2, "code", "varchar", False, "column", '"code" varchar UNIQUE'),
@@ -58,13 +60,14 @@ _COLUMNS = [
 # template, position, clause kind, key type, columns, clause text (None: the column's own clause)
 _KEYS = [
     (0, 0, "inline_pk", "PrimaryKey", "id", None), (1, 0, "inline_pk", "PrimaryKey", "id", None),
-    (2, 4, "table_pk", "PrimaryKey", "id,code", "PRIMARY KEY (id, code)"),
-    (2, 5, "unique_key", "UniqueKey", "code", "UNIQUE KEY uk_code (code ASC)"),
-    (2, 6, "key", "CandidateKey", "userName", "KEY ix_user (userName)"),
-    (2, 7, "key", "CandidateKey", "nope", "KEY ix_bad (nope)"),
-    (2, 8, "index", "Index", "kind", "INDEX ix_kind (kind)"),
-    (2, 9, "unique_index", "UniqueIndex", "kind,id", "UNIQUE INDEX ux_kind (kind, id DESC)"),
-    (2, 10, "unique", "UniqueKey", "kind,code", "UNIQUE (kind, code)"),
+    (1, 6, "constraint_unique", "UniqueKey", "userName,status", "constraint uq_user unique (userName, status)"),
+    (2, 5, "table_pk", "PrimaryKey", "id,code", "PRIMARY KEY (id, code)"),
+    (2, 6, "unique_key", "UniqueKey", "code", "UNIQUE KEY uk_code (code ASC)"),
+    (2, 7, "key", "CandidateKey", "userName", "KEY ix_user (userName)"),
+    (2, 8, "key", "CandidateKey", "nope", "KEY ix_bad (nope)"),
+    (2, 9, "index", "Index", "kind", "INDEX ix_kind (kind)"),
+    (2, 10, "unique_index", "UniqueIndex", "kind,id", "UNIQUE INDEX ux_kind (kind, id DESC)"),
+    (2, 11, "unique", "UniqueKey", "kind,code", "UNIQUE (kind, code)"),
     (3, 0, "inline_pk", "PrimaryKey", "id", None), (3, 2, "column", "UniqueColumn", "code", None),
 ]
 
@@ -84,6 +87,8 @@ _ALTERS = [
     (1, 2, "{T}", "UniqueKey", "userName", None, None, "ADD UNIQUE KEY uk_n (userName)"),
     (1, 3, "{T}", "column", "extra", "varchar", None, "ADD COLUMN extra varchar"),
     (1, 4, "{T}", "CandidateKey", "price", None, None, "ADD KEY kx (price)"),
+    (1, 5, "{T}", "PrimaryKey", "id,price", None, None, "ADD CONSTRAINT pk_p PRIMARY KEY (id, price)"),
+    (1, 6, "{T}", "UniqueKey", "price", None, None, "ADD CONSTRAINT uq_p UNIQUE (price)"),
     (3, 0, "a_{k}", "fk", "id", "{U}", "id", "ADD FOREIGN KEY (id) REFERENCES {U} (id)"),
     (3, 1, "a_{k}", "column", "id", "int", None, "ADD id int"),
     (3, 2, "a_{k}", "none", "", None, None, "ADD INDEX ix (id)"),
@@ -108,6 +113,16 @@ _SCOPES = [
      "select * from {T} , {U} where {T}.id = {U}.id and {T}.code <> {U}.code and userName = note"),
     (9, 2, 0, _END, -1, 0, "inner", "select t.price from {T} t where exists (#1)"),
     (9, 2, 1, 6, 0, 1, "inner", "select 1 from {U} u where u.id = t.id and u.status in ('', '')"),
+    (9, 3, 0, _END, -1, 0, "right",
+     "with w (rid, amount) as (#5), deep as (#9) select w.amount, t.note from {T} t join w on t.id = w.rid right join deep d on d.zid = t.id"),
+    (9, 3, 5, 7, 0, 1, "inner", "select u.id, u.price from {U} u where u.kind = 4"),
+    (9, 3, 9, 15, 0, 1, "inner", "select z.rid as zid from (#11) z where z.rid > 0"),
+    (9, 3, 11, 13, 9, 2, "inner", "select id as rid, code from {T} where code = ''"),
+    (9, 4, 0, _END, -1, 0, "full", "with recursive r as (#1) select r.id from r full join {T} x on x.id == r.id"),
+    (9, 4, 1, 3, 0, 1, "inner", "select id, kind from {U}"),
+    (9, 4, 4, 5, 0, 1, "inner", "select c.id, c.kind from {U} c join r on c.kind = r.id"),
+    (9, 5, 0, _END, -1, 0, "inner",
+     "select extract(year from f(g(h(j(t.created_at))))) as y, t.note from {T} t join {U} u on u.id = t.id and u.kind >= current_date where (t.status = '')"),
 ]
 
 # template, query, lo, position, alias (None: the table's own name), table (None: derived), child
@@ -119,6 +134,11 @@ _SCOPE_TABLES = [
     (9, 0, 0, 0, "x", "{T}", -1), (9, 0, 0, 1, "y", None, 1), (9, 0, 1, 0, None, "{U}", -1),
     (9, 1, 0, 0, None, "{T}", -1), (9, 1, 0, 1, None, "{U}", -1),
     (9, 2, 0, 0, "t", "{T}", -1), (9, 2, 1, 0, "u", "{U}", -1),
+    (9, 3, 0, 0, "t", "{T}", -1), (9, 3, 0, 1, "w", None, 5), (9, 3, 0, 2, "d", None, 9),
+    (9, 3, 5, 0, "u", "{U}", -1), (9, 3, 9, 0, "z", None, 11), (9, 3, 11, 0, None, "{T}", -1),
+    (9, 4, 0, 0, "r", None, 1), (9, 4, 0, 1, "x", "{T}", -1), (9, 4, 1, 0, None, "{U}", -1),
+    (9, 4, 4, 0, "c", "{U}", -1), (9, 4, 4, 1, "r", None, 1),
+    (9, 5, 0, 0, "t", "{T}", -1), (9, 5, 0, 1, "u", "{U}", -1),
 ]
 
 # template, query, lo, position, text, operator name (None: dropped), left table and column, right
@@ -140,8 +160,24 @@ _ATOMS = [
     (9, 1, 0, 1, "{T}.code <> {U}.code", None, None, None, None, None, False),
     (9, 1, 0, 2, "userName = note", "Eq", "?", "username", "?", "note", False),
     (9, 2, 1, 0, "u.id = t.id", "Eq", "{U}", "id", "{T}", "id", False),
+    (9, 3, 0, 0, "t.id = w.rid", "Eq", "{T}", "id", "{U}", "id", True),
+    (9, 3, 0, 1, "d.zid = t.id", "Eq", "{T}", "id", "{T}", "id", True),
+    (9, 3, 5, 0, "u.kind = 4", "Eq", None, None, None, None, False),
+    (9, 3, 9, 0, "z.rid > 0", "Gt", None, None, None, None, False),
+    (9, 3, 11, 0, "code = ''", "Eq", None, None, None, None, False),
+    (9, 4, 0, 0, "x.id == r.id", "Eq", "{T}", "id", "{U}", "id", True),
+    (9, 4, 4, 0, "c.kind = r.id", "Eq", "{U}", "kind", "{U}", "id", True),
+    (9, 5, 0, 0, "u.id = t.id", "Eq", "{U}", "id", "{T}", "id", False),
+    (9, 5, 0, 1, "u.kind >= current_date", "GtEq", "{U}", "kind", "?", "current_date", False),
+    (9, 5, 0, 2, "t.status = ''", "Eq", None, None, None, None, False),
 ]
 
+# template, query, lo, position of the candidates with a side that is no column
+_UNLISTED = {(9, 5, 0, 1)}
+
+# template, query, lo, atom position, side, place, table, column: further tables of a derived side
+_MORE_TABLES = [(9, 4, 0, 0, "r", 1, "{U}", "id"), (9, 4, 4, 0, "r", 1, "{U}", "id")]
+
 # template, query, kind, function, table, column ('*': all columns)
 _REFS = [
     (5, 2, "projection", "", "{T}", "*"), (6, 2, "projection", "", "{T}", "id"),
@@ -163,15 +199,24 @@ _REFS = [
     (9, 0, "groupby", "", "{U}", "kind"),
     (9, 1, "projection", "", "{T}", "*"), (9, 1, "projection", "", "{U}", "*"),
     (9, 2, "projection", "", "{T}", "price"),
+    (9, 3, "projection", "", "{U}", "price"), (9, 3, "projection", "", "{T}", "note"),
+    (9, 3, "projection", "", "{U}", "id"), (9, 3, "projection", "", "{T}", "id"),
+    (9, 3, "projection", "", "{T}", "code"), (9, 3, "selection", "", "{U}", "kind"),
+    (9, 3, "selection", "", "{T}", "id"), (9, 3, "selection", "", "{T}", "code"),
+    (9, 4, "projection", "", "{U}", "id"), (9, 4, "projection", "", "{U}", "kind"),
+    (9, 5, "projection", "", "{T}", "note"), (9, 5, "selection", "", "{T}", "status"),
 ]
 
 # template, query, lo, expression, output name, function of the items of nested scopes
-_INNER_ITEMS = [(9, 0, 1, "id", "rid", ""), (9, 0, 1, "kind", "kind", ""), (9, 0, 1, "id", "n", "count")]
+_INNER_ITEMS = [(9, 0, 1, "id", "rid", ""), (9, 0, 1, "kind", "kind", ""), (9, 0, 1, "id", "n", "count"),
+                (9, 3, 5, "u.id", "rid", ""), (9, 3, 5, "u.price", "amount", ""), (9, 3, 9, "z.rid", "zid", ""),
+                (9, 3, 11, "id", "rid", ""), (9, 3, 11, "code", "code", ""), (9, 4, 1, "id", "id", ""),
+                (9, 4, 1, "kind", "kind", ""), (9, 4, 4, "c.id", "id", ""), (9, 4, 4, "c.kind", "kind", "")]
 
 # template, query position, is a union, is join-like
 _QUERIES = [(5, 2, False, False), (6, 2, False, False), (7, 0, False, True), (7, 2, False, True),
             (8, 0, False, False), (8, 2, True, False), (9, 0, False, True), (9, 1, False, True),
-            (9, 2, False, False)]
+            (9, 2, False, False), (9, 3, False, True), (9, 4, True, True), (9, 5, False, True)]
 
 
 def _render(col: str) -> str:
@@ -192,7 +237,9 @@ def _base() -> str:
         _values("p_alter", "seq, clause_seq, table_ref, adds, cols, target, target_cols, clause", _ALTERS),
         _values("p_scope", "tpl, q, lo, hi, parent_lo, depth, join_type, own_text", _SCOPES),
         _values("p_tab", "tpl, q, lo, pos, alias, table_ref, child", _SCOPE_TABLES),
-        _values("p_atom", "tpl, q, lo, atom_seq, atom, op, l_ref, l_col, r_ref, r_col, derived", _ATOMS),
+        _values("p_atom", "tpl, q, lo, atom_seq, atom, op, l_ref, l_col, r_ref, r_col, derived, listed",
+                [(*a, a[:4] not in _UNLISTED) for a in _ATOMS]),
+        _values("p_more", "tpl, q, lo, atom_seq, side, pos, table_ref, lcol", _MORE_TABLES),
         _values("p_ref", "tpl, q, kind, func, table_ref, lcol", _REFS),
         _values("p_item", "tpl, q, lo, expr, out, func", _INNER_ITEMS),
         _values("p_query", "tpl, q, is_union, join_like", _QUERIES),
@@ -353,20 +400,25 @@ def _base() -> str:
       FROM files f JOIN p_tab p USING (tpl)),
     q_atom AS (
       SELECT f.repo_url, f.file_id, {q_id} AS stmt_id, p.lo, p.atom_seq, {_render('p.atom')} AS atom, p.op,
-             {_render('p.l_ref')} AS l_ref, p.l_col, {_render('p.r_ref')} AS r_ref, p.r_col, p.derived
+             {_render('p.l_ref')} AS l_ref, p.l_col, {_render('p.r_ref')} AS r_ref, p.r_col, p.derived, p.listed
       FROM files f JOIN p_atom p USING (tpl)),
+    q_more AS (
+      SELECT f.repo_url, {q_id} AS stmt_id, p.lo, p.atom_seq, p.side, p.pos, {_render('p.table_ref')} AS table_ref, p.lcol
+      FROM files f JOIN p_more p USING (tpl)),
     owner AS (
       SELECT repo_url, lcol, table_name, col_name, file_id, stmt_seq FROM all_col
       QUALIFY row_number() OVER (PARTITION BY repo_url, lcol ORDER BY file_id, stmt_seq, table_name) = 1),
     side AS (
-      SELECT a.repo_url, a.stmt_id, a.lo, a.atom_seq, 'l' AS side, a.l_ref AS ref, a.l_col AS lcol FROM q_atom a WHERE l_ref IS NOT NULL
+      SELECT a.repo_url, a.stmt_id, a.lo, a.atom_seq, 'l' AS side, a.l_ref AS ref, a.l_col AS lcol FROM q_atom a WHERE l_ref IS NOT NULL AND listed
       UNION ALL
-      SELECT a.repo_url, a.stmt_id, a.lo, a.atom_seq, 'r', a.r_ref, a.r_col FROM q_atom a WHERE r_ref IS NOT NULL),
+      SELECT a.repo_url, a.stmt_id, a.lo, a.atom_seq, 'r', a.r_ref, a.r_col FROM q_atom a WHERE r_ref IS NOT NULL AND listed),
     side_cand AS (
       SELECT s.repo_url, s.stmt_id, s.lo, s.atom_seq, s.side, 0 AS pos, s.ref AS table_ref, s.lcol FROM side s WHERE ref <> '?'
       UNION ALL
       SELECT s.repo_url, s.stmt_id, s.lo, s.atom_seq, s.side, t.pos, t.table_ref, s.lcol
-      FROM side s JOIN q_tab t USING (stmt_id, lo) WHERE s.ref = '?'),
+      FROM side s JOIN q_tab t USING (stmt_id, lo) WHERE s.ref = '?'
+      UNION ALL
+      SELECT repo_url, stmt_id, lo, atom_seq, side, pos, table_ref, lcol FROM q_more),
     side_done AS (
       SELECT s.stmt_id, s.lo, s.atom_seq, s.side, s.ref, s.lcol,
              coalesce(arg_min(c.table_name, k.pos) FILTER (c.table_name IS NOT NULL),
@@ -514,7 +566,7 @@ def _final() -> dict[str, str]:
     f["b6_classify_stmt"] = "SELECT f.file_id || '#d' || p.seq || '#' || f.repo_url AS stmt_id, p.kind FROM files f JOIN p_ddl p USING (tpl)"
     f["b7_query_statements"] = "SELECT stmt_id, stmt FROM query_stmt"
     f["b7_join_statements"] = "SELECT stmt_id, stmt FROM query_stmt JOIN q_all USING (stmt_id) WHERE join_like"
-    f["b8_strip_hints"] = "SELECT stmt_id, replace(replace(stmt, '(nolock)', ''), '(+)', '') AS stmt FROM query_stmt"
+    f["b8_strip_hints"] = "SELECT stmt_id, replace(replace(replace(stmt, '(nolock)', ''), '(+)', ''), '(-)', '') AS stmt FROM query_stmt"
     f["b9_join_like"] = r"""SELECT file_id, (seq - 1)::BIGINT AS block_seq,
             contains(b, 'select') AND contains(b, 'from') AND (contains(b, 'join')
               OR (contains(b, 'where') AND contains(split_part(split_part(b, 'from', 2), 'where', 1), ','))) AS join_like
@@ -591,7 +643,7 @@ def _final() -> dict[str, str]:
           SELECT *, row_number() OVER (PARTITION BY repo_url, table_ref ORDER BY distance, table_name) AS rank FROM (
             SELECT m.repo_url, m.table_ref, t.table_name, levenshtein(lower(m.table_ref), lower(t.table_name)) AS distance
             FROM (SELECT DISTINCT repo_url, name AS table_ref FROM fail WHERE reason = 'table' AND name IS NOT NULL) m
-            JOIN final_tables t USING (repo_url)) WHERE distance <= 2) WHERE rank <= 3"""
+            JOIN final_tables t USING (repo_url))) WHERE rank <= 3"""
     f["d13_first_owner"] = """SELECT repo_url, lcol, table_name, col_name, file_id, stmt_seq::BIGINT AS stmt_seq FROM owner"""
 
     f["e1_scopes"] = """SELECT stmt_id, lo::BIGINT AS lo, hi::BIGINT AS hi, parent_lo::BIGINT AS parent_lo,
@@ -603,7 +655,7 @@ def _final() -> dict[str, str]:
     f["e5_join_candidates"] = _ATOM + "atom FROM q_atom WHERE l_ref IS NOT NULL"
     f["e6_operator_names"] = _ATOM + "op AS op_name FROM q_atom WHERE op IS NOT NULL"
     f["e7_side_resolution"] = _ATOM + "side, lower(table_ref) AS table_ref, lcol FROM side_cand"
-    f["e8_limit_conditions"] = _ATOM + "atom FROM q_atom WHERE l_ref IS NOT NULL"
+    f["e8_limit_conditions"] = _ATOM + "atom FROM q_atom WHERE l_ref IS NOT NULL AND listed"
     f["e9_derived_joins"] = _ATOM + "op, l_table, l_col, r_table, r_col FROM cond WHERE reason IS NULL AND derived"
     f["e10_binary_joins"] = """SELECT j.stmt_id, j.lo::BIGINT AS lo, j.l_table, j.r_table, s.join_type, j.conditions
         FROM joins j JOIN q_scope s USING (stmt_id, lo)"""
@@ -685,14 +737,21 @@ def _final() -> dict[str, str]:
 
     f["g1_label_rows"] = 'SELECT repo_url, file, "table", "column", label FROM label'
     f["g2_training_csv"] = 'SELECT file, "table", "column", label FROM label'
+    f["g3_reloaded_stats"] = f["f1_corpus_stats"]
     f["g3_catalog_folder"] = """SELECT repo_url, table_name, col_name, coalesce(col_type, '') AS col_type, origin FROM all_col"""
     f["g4_table_view"] = """SELECT t.repo_url, t.table_name,
-          (SELECT string_agg(col_name, ',' ORDER BY col_name) FROM all_col c WHERE c.repo_url = t.repo_url AND c.table_name = t.table_name) AS cols,
-          (SELECT count(*) FROM (SELECT DISTINCT key_type, cols FROM all_key k WHERE k.repo_url = t.repo_url AND k.table_name = t.table_name)) AS n_keys,
-          (SELECT count(*) FROM fk_resolved k WHERE k.repo_url = t.repo_url AND k.table_name = t.table_name) AS n_fks
+          (SELECT string_agg(concat_ws(' ', col_name, coalesce(col_type, ''), not_null::VARCHAR), ';' ORDER BY concat_ws(' ', col_name, coalesce(col_type, ''), not_null::VARCHAR))
+           FROM all_col c WHERE c.repo_url = t.repo_url AND c.table_name = t.table_name) AS cols,
+          coalesce((SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT DISTINCT key_type || '(' || cols || ')' AS x FROM all_key k
+           WHERE k.repo_url = t.repo_url AND k.table_name = t.table_name)), '') AS keys,
+          coalesce((SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT cols || '>' || ref_name || '(' || ref_cols || ')' AS x FROM fk_resolved k
+           WHERE k.repo_url = t.repo_url AND k.table_name = t.table_name)), '') AS fks
         FROM final_tables t"""
-    f["g4_query_view"] = """SELECT q.stmt_id, q.n_joins,
-          (SELECT count(*) FROM refs r WHERE r.stmt_id = q.stmt_id)::BIGINT AS n_refs FROM queries q"""
+    f["g4_query_view"] = """SELECT q.stmt_id,
+          coalesce((SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT concat_ws(' ', j.lo::VARCHAR, l_table, join_type, r_table, '[' || conditions || ']') AS x
+           FROM joins j JOIN q_scope s USING (stmt_id, lo) WHERE j.stmt_id = q.stmt_id)), '') AS joins,
+          coalesce((SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT concat_ws(' ', kind, func, table_name || '.' || col_name) AS x
+           FROM refs r WHERE r.stmt_id = q.stmt_id)), '') AS refs FROM queries q"""
     return f
 
 

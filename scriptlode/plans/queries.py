@@ -4,11 +4,13 @@ Every query returns flat columns (arrays joined by commas, integers as bigint),
 engine can be compared with it.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import text as X
 from ..operators import analytics as A, catalog as C, ddl as D, export as E
-from ..operators import query_facts as QF, scopes as Q, statements as S
+from ..operators import query_facts as QF, scopes as Q, statements as S, store as ST
 from ..session import shared_folder, tune
 from ..sources import scripts as R
 from ..sources.corpus import corpus
@@ -70,30 +72,48 @@ def _flat(df: DataFrame, *cols: str) -> DataFrame:
 
 # --- sources -----------------------------------------------------------------------------------
 
+def _folder(spark, what: str) -> str:
+    return f"{shared_folder(tune(spark))}/{what}-{uuid.uuid4().hex}"
+
+
+def _script_files(spark, sf) -> DataFrame:
+    """Scripts written as files, one folder for each, in two encodings, and read back: file_id and text."""
+    name = F.substring_index("file_id", ".", 1)
+    odd = name.cast("bigint") % 2 == 1
+    line = F.concat("text", F.lit(" é"))
+    coded = F.when(odd, F.encode(line, "ISO-8859-1")).otherwise(F.encode(line, "UTF-8"))
+    path = _folder(spark, "scripts")
+    scripts(spark, sf).select(name.alias("name"), coded.cast("string").alias("value")).write.partitionBy("name").text(path)
+    read = R.read_scripts(spark, path, "*.txt")
+    return read.select(F.concat(F.regexp_extract("file_id", "^name=([^/]+)/", 1), F.lit(".sql")).alias("file_id"),
+                       F.substring("text", F.lit(1), F.length("text") - 1).alias("text"))  # the writer ends the line
+
+
 def a1_script_decode(spark, sf):
-    odd = F.substring_index("file_id", ".", 1).cast("bigint") % 2 == 1
-    raw = scripts(spark, sf).select("file_id", F.when(
-        odd, F.encode(F.concat("text", F.lit(" é")), "ISO-8859-1")).otherwise(
-        F.encode(F.concat("text", F.lit(" é")), "UTF-8")).alias("content"))
-    return raw.select("file_id", R.decode_bytes(F.col("content")).alias("text"))
+    return _script_files(spark, sf)
 
 
 def _manifest_lines(spark, sf) -> DataFrame:
-    """Each file twice, and once under the name of a file that was not scanned."""
+    """Each file twice, again at another address, and once under the name of a file that was not scanned."""
     name = F.substring_index("file_id", ".", 1)
-    names = F.array(name, name, F.concat(name, F.lit("_gone")))
-    rows = scripts(spark, sf).select("repo_url", "raw_url", F.explode(names).alias("hash"))
+    again = F.concat("raw_url", F.lit("?again"))
+    rows = scripts(spark, sf).select("repo_url", F.inline(F.array(*[
+        F.struct(h.alias("hash"), u.alias("raw_url")) for h, u in (
+            (name, F.col("raw_url")), (name, F.col("raw_url")), (name, again), (F.concat(name, F.lit("_gone")), F.col("raw_url")))])))
     return rows.select(F.concat_ws("\t", "hash", F.concat("repo_url", F.lit("/blob/main/"), "hash"),
                                    "raw_url").alias("value"))
 
 
 def a2_manifest_files(spark, sf):
-    return R.manifest_files(R.parse_manifest(_manifest_lines(spark, sf)), scripts(spark, sf))
+    """Manifest lines written to a file and read back, against the scripts that were read from files."""
+    path = _folder(spark, "manifest")
+    _manifest_lines(spark, sf).write.text(path)
+    return R.manifest_files(R.read_manifest(spark, path), _script_files(spark, sf))
 
 
 def a3_repo_grouping(spark, sf):
     rows = R.with_repo(R.parse_manifest(_manifest_lines(spark, sf)))
-    return rows.groupBy("repo_url", "user", "repo_name").agg(F.count("*").alias("n_lines"))
+    return rows.filter("raw_url not like '%?again'").groupBy("repo_url", "user", "repo_name").agg(F.count("*").alias("n_lines"))
 
 
 def a4_repo_limit(spark, sf):
@@ -125,7 +145,10 @@ def log_input(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a5_log_lines(spark, sf):
-    return R.log_lines(log_input(spark, sf))
+    """Run-log lines written to files and read back."""
+    path = _folder(spark, "log")
+    log_input(spark, sf).write.text(path)
+    return R.read_log(spark, path)
 
 
 # --- statement shaping ---------------------------------------------------------------------------
@@ -574,7 +597,7 @@ def g1_label_rows(spark, sf):
 
 def g2_training_csv(spark, sf):
     """Write the training files and read the rows back."""
-    path = f"{shared_folder(tune(spark))}/training-{abs(hash(sf))}"
+    path = _folder(spark, "training")
     E.write_training(labels(spark, sf), A.dup_clusters(_signatures(spark, sf)), path, "s")
     rows = spark.read.schema("file string, `table` string, `column` string, label string").csv(f"{path}/rows")
     return _flat(rows)
@@ -582,7 +605,7 @@ def g2_training_csv(spark, sf):
 
 def g3_catalog_folder(spark, sf):
     """Write two batches of the columns table, and read the merged folder."""
-    path = f"{shared_folder(tune(spark))}/catalog-{abs(hash(sf))}"
+    path = _folder(spark, "catalog")
     cols = catalog(spark, sf).columns
     first = F.col("origin") == "create"
     E.write_catalog({"columns": cols.filter(first)}, path, 4, mode="overwrite")
@@ -590,20 +613,45 @@ def g3_catalog_folder(spark, sf):
     return _flat(E.read_catalog(spark, path, "columns"), "repo_url", "table_name", "col_name", "col_type", "origin")
 
 
+def _part_of(facts, batch: int):
+    """The facts of every second repository."""
+    mine = F.pmod(F.xxhash64("repo_url"), F.lit(2)) == batch
+    return type(facts)(**{name: df.filter(mine) for name, df in vars(facts).items()})
+
+
+def g3_reloaded_stats(spark, sf):
+    """Corpus counters over stored facts: two batches are written, the first one twice, and loaded."""
+    c, q = catalog(spark, sf), query_facts(spark, sf)
+    path = _folder(spark, "facts")
+    for batch in (0, 1, 0):
+        ST.write_batch(spark, path, str(batch), _part_of(c, batch), _part_of(q, batch))
+    return A.corpus_stats(ST.load_catalog(spark, path), ST.load_query_facts(spark, path))
+
+
+def _listed(items, form) -> Column:
+    return F.coalesce(F.array_join(F.array_sort(F.transform(items, form)), ";"), F.lit(""))
+
+
 def g4_table_view(spark, sf):
     c = catalog(spark, sf)
     view = E.table_view(c.tables, c.columns, c.keys, C.foreign_keys(c.fks))
-    size = lambda n: F.coalesce(F.size(n), F.lit(0)).cast("bigint")
-    names = F.array_join(F.array_sort(F.transform("cols", lambda c: c["col_name"])), ",")
-    return view.select("repo_url", "table_name", names.alias("cols"), size("keys").alias("n_keys"),
-                       size("fks").alias("n_fks"))
+    return view.select(
+        "repo_url", "table_name",
+        _listed("cols", lambda c: F.concat_ws(" ", c["col_name"], F.coalesce(c["col_type"], F.lit("")), c["not_null"].cast("string"))).alias("cols"),
+        _listed("keys", lambda k: F.concat(k["key_type"], F.lit("("), F.array_join(k["cols"], ","), F.lit(")"))).alias("keys"),
+        _listed("fks", lambda k: F.concat(F.array_join(k["cols"], ","), F.lit(">"), k["ref_name"], F.lit("("),
+                                          F.array_join(k["ref_cols"], ","), F.lit(")"))).alias("fks"))
 
 
 def g4_query_view(spark, sf):
     q = query_facts(spark, sf)
     view = E.query_view(q.queries, q.binary_joins, q.refs)
-    size = lambda n: F.coalesce(F.size(n), F.lit(0)).cast("bigint")
-    return view.select("stmt_id", size("joins").alias("n_joins"), size("refs").alias("n_refs"))
+    conds = lambda j: F.concat(F.lit("["), F.array_join(F.array_sort(F.transform(
+        j["conditions"], lambda c: F.concat_ws(" ", c["l"], c["op"], c["r"]))), ","), F.lit("]"))
+    return view.select(
+        "stmt_id",
+        _listed("joins", lambda j: F.concat_ws(" ", j["lo"].cast("string"), j["l_table"], j["join_type"], j["r_table"], conds(j))).alias("joins"),
+        _listed("refs", lambda r: F.concat_ws(" ", r["kind"], r["func"], F.concat_ws(".", r["table_name"], r["col_name"]))).alias("refs"))
 
 
 def all_queries() -> dict:

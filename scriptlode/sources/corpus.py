@@ -26,7 +26,8 @@ CREATE TABLE IF NOT EXISTS `{T}` (
   price float,
   status char(2),
   note text,
-  created_at timestamp not null
+  created_at timestamp not null,
+  constraint uq_user unique (userName, status)
 );
 """,
     2: """CREATE TABLE {T} (
@@ -34,6 +35,7 @@ CREATE TABLE IF NOT EXISTS `{T}` (
   code varchar(16) NOT NULL COMMENT 'a b',
   userName varchar(40),
   kind int CHECK ((kind > (0))),
+  depth int CHECK ((kind + (id * (id + (kind + (id))))) > coalesce(kind, id)),
   PRIMARY KEY (id, code),
   UNIQUE KEY uk_code (code ASC),
   KEY ix_user (userName),
@@ -57,7 +59,9 @@ CREATE TABLE IF NOT EXISTS `{T}` (
   ADD CONSTRAINT fk_u FOREIGN KEY (id, kind) REFERENCES {U} (id, kind),
   ADD UNIQUE KEY uk_n (userName),
   ADD COLUMN extra varchar(8),
-  ADD KEY kx (price);
+  ADD KEY kx (price),
+  ADD CONSTRAINT pk_p PRIMARY KEY (id, price),
+  ADD CONSTRAINT uq_p UNIQUE (price);
 ALTER TABLE a_{k} ADD FOREIGN KEY (id) REFERENCES {U} (id), ADD id int, ADD INDEX ix (id), ADD UNIQUE INDEX ux (id);
 """,
     5: """CREATE UNIQUE INDEX ux_{T} ON app.{T} USING btree (id, code DESC);
@@ -79,7 +83,11 @@ select status st, Sum(price) total FROM {T} where kind = 3 group by st union all
     9: """select x.id, y.n from {T} x join (select id as rid, kind, count(id) as n from {U} where kind > 2 group by id, kind) y on x.id = y.rid and y.kind <= x.kind
   \t
 select * from {T} (nolock), {U} where {T}.id (+) = {U}.id and {T}.code <> {U}.code and userName = note;
-select t.price from {T} t where exists (select 1 from {U} u where u.id = t.id and u.status in ('a', 'b'))
+select t.price from {T} t where exists (select 1 from {U} u where u.id = t.id and u.status in ('a', 'b'));
+with w (rid, amount) as (select u.id, u.price from {U} u where u.kind = 4), deep as (select z.rid as zid from (select id as rid, code from {T} where code = 'c') z where z.rid > 0)
+select w.amount, t.note from {T} t join w on t.id = w.rid right join deep d on d.zid = t.id;
+with recursive r as (select id, kind from {U} union all select c.id, c.kind from {U} c join r on c.kind = r.id) select r.id from r full join {T} x on x.id == r.id;
+select extract(year from f(g(h(j(t.created_at))))) as y, t.note from {T} t join {U} u on u.id (-) = t.id and u.kind >= current_date where (t.status = 'x');
 """,
 }
 

@@ -104,7 +104,28 @@ def test_nearest_names_against_brute_force(spark):
     want = []
     for a in asked:
         near = sorted((brute_distance(a, n), n) for n in names)
-        want += [(a, i, d, n) for i, (d, n) in enumerate([x for x in near if x[0] <= 2][:3], 1)]
+        want += [(a, i, d, n) for i, (d, n) in enumerate(near[:3], 1)]
+    assert got == sorted(want, key=repr)
+
+
+def test_nearest_names_of_a_large_repository(spark, monkeypatch):
+    """Many blocks of a length, lengths far apart, a repository with fewer names than asked for."""
+    import random
+    monkeypatch.setattr(C, "BLOCK", 3)
+    rng = random.Random(2)
+    word = lambda lo, hi: "".join(rng.choice("abc_") for _ in range(rng.randint(lo, hi)))
+    names = sorted({word(1, 4) for _ in range(60)} | {word(9, 14) for _ in range(60)} | {"Customers_Order_X1"})
+    few = ["One", "twenty_two"]
+    asked = [*{word(1, 16) for _ in range(40)}, "customer_orders", "a" * 40]
+    repos = {"https://example.org/u/many": names, "https://example.org/u/few": few}
+    tables = spark.createDataFrame([(r, n) for r, ns in repos.items() for n in ns], "repo_url string, table_name string")
+    missing = spark.createDataFrame([(r, a) for r in repos for a in asked] + [("https://example.org/u/none", "x")], "repo_url string, table_ref string")
+    got = listed(C.nearest_names(missing, tables, 3), "repo_url", "table_ref", "rank", "distance", "table_name")
+    want = []
+    for r, ns in repos.items():
+        for a in asked:
+            near = sorted((brute_distance(a.lower(), n.lower()), n) for n in ns)
+            want += [(r, a, i, d, n) for i, (d, n) in enumerate(near[:3], 1)]
     assert got == sorted(want, key=repr)
 
 

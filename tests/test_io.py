@@ -1,26 +1,71 @@
 from pyspark.sql import functions as F
 
-from scriptlode.operators import analytics as A, export as E, statements as S
+from scriptlode.operators import analytics as A, export as E, statements as S, store as ST
 from scriptlode.sources import scripts as R
 
 from .conftest import catalog_of, facts_of, listed
 
 
 def test_read_scripts_and_manifest(spark, tmp_path):
-    files = tmp_path / "files" / "deep"
-    files.mkdir(parents=True)
+    files = tmp_path / "files"
+    (files / "deep" / "er").mkdir(parents=True)
     (files / "h1.sql").write_bytes("create table t (x int) -- é".encode("utf-8"))
     (files / "h2.sql").write_bytes("create table u (x int) -- é".encode("latin-1"))
     (files / "skip.txt").write_text("no script")
+    (files / "deep" / "h1.sql").write_text("create table inner_one (x int)")
+    (files / "deep" / "er" / "a b%20+c.sql").write_text("create table odd_name (x int)")
+    (files / "deep" / "h3.sql").write_text("")
     base = "https://example.org/me/repo"
-    lines = [f"{h}\t{base}/blob/main/{h}.sql\t{base}/raw/{h}.sql" for h in ("h1", "h1", "h2", "absent")]
+    lines = [f"{h}\t{base}/blob/main/{h}.sql\t{base}/raw/{h}.sql" for h in ("h1", "h1", "h2", "absent", "deep/h1", "deep/h3", "deep/er/a b%20+c")]
+    lines.append(f"h1\t{base}/blob/main/h1.sql\t{base}/raw/z/h1.sql")
     (tmp_path / "list.tsv").write_text("\n".join(lines) + "\n")
     scanned = R.read_scripts(spark, str(tmp_path / "files"))
     scripts = R.scripts_from(R.read_manifest(spark, str(tmp_path / "list.tsv")), scanned)
     assert listed(scripts, "repo_url", "user", "repo_name", "file_id", "text") == [
+        (base, "me", "repo", "deep/er/a b%20+c.sql", "create table odd_name (x int)"),
+        (base, "me", "repo", "deep/h1.sql", "create table inner_one (x int)"),
+        (base, "me", "repo", "deep/h3.sql", ""),
         (base, "me", "repo", "h1.sql", "create table t (x int) -- é"),
         (base, "me", "repo", "h2.sql", "create table u (x int) -- é")]
-    assert S.statements(scripts).count() == 2
+    stmts = S.statements(scripts)
+    assert stmts.count() == stmts.select("stmt_id").distinct().count() == 4
+    manifest = R.read_manifest(spark, str(tmp_path / "list.tsv"))
+    assert R.script_urls(manifest, scanned).filter("file_id = 'h1.sql'").count() == 2
+
+
+def test_stored_batches(spark, tmp_path):
+    """From folder and manifest to stored facts; a batch that is run again replaces itself, also with less; an open one is not read."""
+    def corpus(n, texts):
+        folder = tmp_path / f"in{n}"
+        (folder / "sub").mkdir(parents=True, exist_ok=True)
+        lines = []
+        for i in range(9):
+            file = folder / "sub" / f"f{i}.sql"
+            file.unlink(missing_ok=True)
+            if i < len(texts):
+                file.write_text(texts[i])
+                base = f"https://example.org/u{n}/r{i}"
+                lines.append(f"sub/f{i}\t{base}/blob/main/f{i}.sql\t{base}/raw/f{i}.sql")
+        (tmp_path / f"list{n}.tsv").write_text("\n".join(lines) + "\n")
+        ST.run_batch(spark, str(folder), str(tmp_path / f"list{n}.tsv"), out, f"b{n}")
+
+    def stats():
+        return dict(tuple(r) for r in A.corpus_stats(ST.load_catalog(spark, out), ST.load_query_facts(spark, out)).collect())
+
+    out = str(tmp_path / "store")
+    one = ["create table a (x int primary key, y int);\nselect a.y, count(a.x) from a join b on a.x = b.x where a.y = 2 group by a.y;\ncreate table b (x int references a (x))",
+           "create table c (x int);\ncreate index i on c (x)"]
+    corpus(1, one)
+    corpus(2, ["create table d (z varchar(3), w int unique)"])
+    first = stats()
+    assert (first["tables"], first["columns"], first["foreign_keys"], first["queries"], first["binary_joins"], first["nonempty_repos"]) == (4, 6, 1, 1, 1, 3)
+    corpus(1, one)
+    assert stats() == first
+    corpus(1, one[1:])
+    again = stats()
+    assert (again["tables"], again["foreign_keys"], again["queries"], again["indexes"]) == (2, 0, 0, 1)
+    ST._replace(spark.createDataFrame([("b2", ST._OPEN, 0, "")], ST._LEDGER), f"{out}/ledger")
+    assert stats()["tables"] == 1
 
 
 def test_read_log(spark, tmp_path):

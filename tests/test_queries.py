@@ -21,26 +21,44 @@ create table a1 (k int, v int); create table b1 (k int, w int); create table c1
 CASES = {
     "having": ("select rank_name, count(pay) from crew group by rank_name having count(pay) > 3", [],
                {"projection": "crew.Rank_Name crew.pay", "aggregate": "count crew.pay", "groupby": "crew.Rank_Name"}, []),
-    "inner_and_left": ("""select port.town, ship.draftCm from cargo join port on cargo.portNo = port.id
-        left outer join ship on ship.id = cargo.shipNo where cargo.hold = 'aft, (dry)' and cargo.crates >= 7""",
-        ["cargo left port: portNo Eq id", "cargo left ship: shipNo Eq id"],
-        {"projection": "port.town ship.draftCm", "selection": "cargo.hold cargo.crates"}, []),
+    "left_and_cross": ("""select f.grams, t.fish, crew.pay from tank t left join feed f on f.depth = t.depth and f.salt > t.salt
+        cross join crew where crew.Rank_Name <> 'mate' and t.row_no between 2 and 5""",
+        ["feed left tank: depth Eq depth; salt Gt salt"], {"projection": "feed.grams tank.fish crew.pay"}, []),
     "natural": ("select reel from reels natural join labels where ink = 'red' and take = 'b'", [],
                 {"projection": "reels.reel", "selection": "labels.ink reels.take"}, []),
-    "comma_join": ("select q.mark from kiln as o, potters as q where q.batchNo = o.batchNo and (heat > 900 or hours = 4)",
-                   ["kiln inner potters: batchNo Eq batchNo"],
-                   {"projection": "potters.mark", "selection": "kiln.heat kiln.hours"}, []),
+    "three_by_commas": ("select port.town from ship, port, cargo c where c.portNo = port.id and c.shipNo = ship.id and ship.draftCm < c.crates and town = 'ulm'",
+                        ["cargo inner port: portNo Eq id", "cargo inner ship: crates Gt draftCm; shipNo Eq id"],
+                        {"projection": "port.town", "selection": "port.town"}, []),
     "aggregates": ("select depth, min(grams) as low, avg(salt) from feed where row_no = 2 group by depth", [],
                    {"projection": "feed.depth feed.grams feed.salt", "aggregate": "min feed.grams|avg feed.salt",
                     "selection": "feed.row_no", "groupby": "feed.depth"}, []),
-    "stars": ("select * from c1, b1, unknown_t where v = 8 and w = 9 group by w", [],
-              {"projection": "c1.k c1.v b1.k b1.w", "selection": "c1.v b1.w", "groupby": "b1.w"}, []),
-    "two_levels": ("""select z.fish, max(z.grams) as most from
-        (select t.fish, f.grams from (select fish, row_no, depth from tank) as t
-         join (select row_no, depth, grams from feed) as f on t.depth = f.depth and t.row_no < f.row_no) as z group by z.fish""",
-        ["feed inner tank: depth Eq depth; row_no Gt row_no"],
-        {"projection": "tank.fish tank.row_no tank.depth feed.row_no feed.depth feed.grams",
-         "aggregate": "max feed.grams", "groupby": "tank.fish"}, []),
+    "star_of_one": ("select b.*, v from a1 join b1 b on b.k = a1.k", ["a1 inner b1: k Eq k"], {"projection": "b1.k b1.w a1.v"}, []),
+    "renamed_below": ("""select m.total from (select n.k, n.total from (select k, sum(w) total from b1 where w > 4 group by k) n
+        join c1 on c1.k = n.k where c1.v = 2) m, a1 where a1.v >= m.total""",
+        ["b1 inner c1: k Eq k", "a1 inner b1: v GtEq w"],
+        {"projection": "b1.w b1.k", "aggregate": "sum b1.w", "groupby": "b1.k", "selection": "b1.w c1.v"}, []),
+    "renamed_twice": ("select o.c from (select i.b as c from (select a.k as b from a1 a) i) o join c1 on c1.v = o.c",
+                      ["a1 inner c1: k Eq v"], {"projection": "a1.k"}, []),
+    "with": ("""with w as (select k as wid, v from a1), u as (select max(wid) top from w) select b1.w, u.top from b1
+             join w on b1.k = w.wid join u on u.top > b1.w""", ["a1 inner b1: k Eq k; k Gt w"],
+             {"projection": "b1.w a1.k a1.v", "aggregate": "max a1.k"}, []),
+    "with_columns": ("with w (a, b) as (select k, v from c1) select w.b from w where w.a = 5", [],
+                     {"projection": "c1.k c1.v", "selection": "c1.k"}, []),
+    "with_recursive": ("with recursive r as (select k, w from b1 union all select a1.k, r.w from a1 join r on a1.v = r.k) select r.w from r",
+                       ["a1 inner b1: v Eq k"], {"projection": "b1.k b1.w a1.k"}, []),
+    "with_hides_a_table": ("select x.k from a1 x join (with c1 as (select w as k from b1) select k from c1) y on y.k = x.v",
+                           ["a1 inner b1: v Eq w"], {"projection": "a1.k b1.w"}, []),
+    "with_seen_below": ("""with w as (select k as id from c1) select v from a1 where exists (select 1 from w where w.id = a1.k)
+                        union select w from b1 join w on w.id = b1.k""",
+                        ["a1 inner c1: k Eq k", "b1 inner c1: k Eq k"], {"projection": "c1.k a1.v b1.w"}, []),
+    "before_its_with": ("select 1 from a1 x join w on w.k = x.k union select 2 from (with w as (select k from b1) select k from w) z",
+                        [], {"projection": "b1.k"}, ["left table w"]),
+    "deep_from": ("select extract(year from f(g(h(i(x.v))))), y.w from a1 x join b1 y on x.k = y.k", ["a1 inner b1: k Eq k"],
+                  {"projection": "b1.w"}, []),
+    "where_in_parentheses": ("select count(*) filter (where x.v = 1) n, x.k from a1 x join b1 y on x.k = y.k where y.w = 2",
+                             ["a1 inner b1: k Eq k"], {"projection": "a1.k", "selection": "b1.w"}, []),
+    "value_words": ("select x.v from a1 x join b1 y on x.k = y.k and x.v <= current_date", ["a1 inner b1: k Eq k"],
+                    {"projection": "a1.v"}, []),
     "correlated": ("select x.v from a1 x where exists (select 1 from b1 where b1.k >= x.k and x.nope = b1.w)",
                    ["a1 inner b1: k LtEq k"], {"projection": "a1.v"}, ["left column nope"]),
     "inner_alias_wins": ("select x.v from a1 x where x.k in (select x.k from c1 x join b1 y on x.k < y.k)",
@@ -113,7 +131,7 @@ def test_failure_reports(built, spark):
     sample = A.failure_sample(q.failures, 1, 1)
     assert sample.count() == 1
     tables = spark.createDataFrame([("https://example.org/u/else", "GONE")], "repo_url string, table_name string")
-    assert tuple(A.missing_in_user(q.failures, tables).first()) == (2, 1, 0.5)
+    assert tuple(A.missing_in_user(q.failures, tables).first()) == (3, 1, 1 / 3)
 
 
 def brute_scopes(sql):
@@ -203,3 +221,15 @@ def test_script_text_in_the_form_of_a_placeholder(spark):
         where x.v = (select max(w) from b1 where b1.w = 4)""", "r.sql": "select x.v from (a1) x, (b1) as y where x.k = y.k\u0001"})
     assert listed(q.failures, "reason", "name") == [("table", "#1")]
     assert listed(q.binary_joins, "l_table", "r_table") == [("a1", "b1")]
+
+
+def test_intervals_against_brute_force(spark):
+    import random
+    from scriptlode.operators.intervals import within
+    rng = random.Random(4)
+    points = [(rng.randint(0, 2), rng.choice([0, 1, rng.randint(0, 70), 2 ** 31 - 2])) for _ in range(150)]
+    spans = [(rng.randint(0, 2), a, rng.choice([a - 1, a, a + rng.randint(0, 40), 2 ** 31 - 1])) for a in
+             (rng.choice([0, 1, rng.randint(0, 70)]) for _ in range(150))]
+    got = within(spark.createDataFrame(points, "g int, x int"), spark.createDataFrame(spans, "g int, lo int, hi int"), ["g"], "x", "lo", "hi")
+    want = [(g, x, lo, hi) for g, x in points for h, lo, hi in spans if g == h and lo <= x <= hi]
+    assert sorted(tuple(r) for r in got.select("g", "x", "lo", "hi").collect()) == sorted(want)

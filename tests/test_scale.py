@@ -143,7 +143,7 @@ def test_hot_name_is_split(spark, tmp_path):
         F.concat(F.col("id").cast("string"), F.lit("#q0#r")).alias("stmt_id"), F.lit("https://example.org/u1/r1").alias("repo_url"),
         F.concat(F.md5(F.col("id").cast("string")), F.md5(F.lit("x") )).alias("file_id"), F.lit(0).alias("lo"), F.lit(0).alias("seq"),
         F.lit("projection").alias("kind"), F.lit("").alias("side"), F.lit("").alias("func"), F.md5((F.col("id") * 7).cast("string")).alias("atom"),
-        F.lit("named").alias("mode"), F.lit(0).cast("bigint").alias("c_pos"),
+        F.lit("named").alias("mode"), F.array(F.lit(0), F.lit(0)).alias("c_pos"),
         F.when(F.col("id") % 50 == 0, F.concat(F.lit("t"), F.col("id").cast("string"))).otherwise("hot").alias("table_ref"), F.lit("id").alias("lcol")))
     rows.repartition(12).write.parquet(str(tmp_path / "m"))
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
