@@ -237,7 +237,7 @@ def groupbys(refs: DataFrame) -> DataFrame:
 def limit_conditions(parts: DataFrame) -> DataFrame:
     """Join candidates whose two columns occur among the columns of the scope's join and where clauses, when
     that list is not empty. Only these are resolved."""
-    return (parts.select(*_KEYS, "lo", F.posexplode("atoms").alias("atom_seq", "a"))
+    return (parts.select(*_KEYS, "lo", F.posexplode_outer("atoms").alias("atom_seq", "a"))
             .filter("a.is_limited").select(*_KEYS, "lo", "atom_seq", "a.*"))
 
 

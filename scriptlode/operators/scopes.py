@@ -33,17 +33,18 @@ def is_union(queries: DataFrame) -> DataFrame:
 
 
 def _pieces(nested: DataFrame) -> DataFrame:
+    # cte, the same for a whole statement, is a key of every window so that a filter on it reaches the statements.
     marked = F.regexp_replace("q", r"(?i)\b(?:union(?:\s+all)?|intersect|except|minus)\b", _SETOP)
     toks = F.regexp_extract_all(marked, F.lit(f"[(){_SETOP}]|[^(){_SETOP}]+"), F.lit(0))
     rows = nested.select(*_KEYS, "cte", F.posexplode(toks).alias("pos", "tok"))
-    stmt = W.partitionBy("stmt_id").orderBy("pos")
+    stmt = W.partitionBy("stmt_id", "cte").orderBy("pos")
     step = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
     rows = (rows.withColumn("after", F.sum(step).over(stmt))
             .withColumn("opens", (F.col("tok") == "(")
                         & F.coalesce(F.lead("tok").over(stmt), F.lit("")).rlike(r"(?i)^\s*(?:select|with)\b"))
             .withColumn("level", F.col("after") + F.when(F.col("tok") == ")", 1).otherwise(0)))
     # A closing parenthesis belongs to the last one opened at its level.
-    same_level = W.partitionBy("stmt_id", "level").orderBy("pos")
+    same_level = W.partitionBy("stmt_id", "cte", "level").orderBy("pos")
     opened = F.last(F.when(F.col("tok") == "(", F.col("opens")), ignorenulls=True).over(same_level)
     rows = rows.withColumn("closes", (F.col("tok") == ")") & F.coalesce(opened, F.lit(False)))
     step = F.when(F.col("opens"), 1).when(F.col("closes"), -1).otherwise(0)
@@ -60,10 +61,10 @@ def _pieces(nested: DataFrame) -> DataFrame:
                        F.inline(F.when(F.col("opens"), F.array(own, hole)).otherwise(F.array(own))))
     is_open = F.col("opens") & F.col("child").isNull()
     block = F.last(F.when(is_open, F.col("pos")), ignorenulls=True).over(
-        W.partitionBy("stmt_id", "depth").orderBy("pos"))
+        W.partitionBy("stmt_id", "cte", "depth").orderBy("pos"))
     rows = rows.withColumn("block", F.when(F.col("depth") > 0, F.coalesce(block, F.lit(-1))).otherwise(-1))
     arm = F.sum(F.when(F.col("tok") == _SETOP, 1).otherwise(0)).over(
-        W.partitionBy("stmt_id", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+        W.partitionBy("stmt_id", "cte", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
     return rows.withColumn("arm", F.coalesce(arm, F.lit(0)))
 
 
@@ -72,7 +73,7 @@ def _nested_scopes(nested: DataFrame) -> DataFrame:
     arms = _pieces(nested).groupBy("stmt_id", "block", "arm", "repo_url", "file_id", "cte").agg(
         F.min("pos").alias("lo"), F.max("pos").alias("top"), F.max("depth").alias("depth"),
         F.array_join(F.transform(parts, lambda p: p["tok"]), "").alias("own_text"))
-    in_block = W.partitionBy("stmt_id", "block")
+    in_block = W.partitionBy("stmt_id", "cte", "block")
     last_arm = F.col("arm") == F.max("arm").over(in_block)
     hi = F.when((F.col("block") == -1) & last_arm, F.lit(_END)).otherwise(F.col("top"))
     arms = (arms.withColumn("hi", hi).withColumn("block_hi", F.max("hi").over(in_block))
@@ -83,7 +84,7 @@ def _nested_scopes(nested: DataFrame) -> DataFrame:
     as_child = F.struct((F.col("depth") + 1).alias("level"), F.struct("lo", "hi").alias("parent"))
     here = F.struct(F.col("depth").alias("level"), F.lit(None).cast("struct<lo:int,hi:int>").alias("parent"))
     both = selects.select("*", F.inline(F.array(here, as_child)))
-    parent = F.last("parent", ignorenulls=True).over(W.partitionBy("stmt_id", "level").orderBy("lo"))
+    parent = F.last("parent", ignorenulls=True).over(W.partitionBy("stmt_id", "cte", "level").orderBy("lo"))
     linked = both.withColumn("up", parent).filter(F.col("parent").isNull())
     return linked.withColumn("parent_lo", F.when(F.col("up.hi") >= F.col("lo"), F.col("up.lo")))
 
@@ -143,8 +144,9 @@ def scope_parts(scope_rows: DataFrame) -> DataFrame:
     from_tables (alias, table_ref, child), select_items, group_items and atoms. Tables of the from clause that
     a common table expression names are bound to its body (child).
     """
-    plain = _parts(scope_rows.filter("not cte")).drop("held")
-    held = cut(_with_definitions(_parts(scope_rows.filter("cte"))).drop("held"))
+    parts = _parts(scope_rows)
+    plain = parts.filter("not cte").drop("held")
+    held = cut(_with_definitions(parts.filter("cte")).drop("held"))
     return plain.unionByName(_bind_definitions(held).select(plain.columns))
 
 
@@ -345,15 +347,19 @@ def _judge(a: Column) -> Column:
 
 
 def scope_tables(parts: DataFrame) -> DataFrame:
-    """Tables and derived tables of each scope with their alias; equal ones once."""
-    return (parts.select(*_KEYS, "lo", "hi", F.posexplode("from_tables").alias("t_pos", "t"))
+    """Tables and derived tables of each scope with their alias; equal ones once.
+
+    Here and below the outer form of explode: the plain one adds a filter on the array, which the optimizer pushes down
+    and so computes the array twice.
+    """
+    return (parts.select(*_KEYS, "lo", "hi", F.posexplode_outer("from_tables").alias("t_pos", "t")).filter("t is not null")
             .select(*_KEYS, "lo", "hi", "t_pos", "t.alias", "t.table_ref", "t.child"))
 
 
 def comparisons(parts: DataFrame) -> DataFrame:
     """Comparison atoms of ON and WHERE, in order."""
-    return (parts.select(*_KEYS, "lo", F.posexplode("atoms").alias("atom_seq", "a"))
-            .select(*_KEYS, "lo", "atom_seq", "a.*").filter(F.col("op") != ""))
+    return (parts.select(*_KEYS, "lo", F.posexplode_outer("atoms").alias("atom_seq", "a"))
+            .filter("a.op <> ''").select(*_KEYS, "lo", "atom_seq", "a.*"))
 
 
 def join_candidates(atoms: DataFrame) -> DataFrame:

@@ -508,7 +508,7 @@ def e17_union_flag(spark, sf):
 
 def e18_inner_selects(spark, sf):
     """Facts reach the innermost select of any statement: columns projected by nested scopes."""
-    rows = scope_parts(spark, sf).filter("depth > 0").select("stmt_id", "lo", F.inline("select_items"))
+    rows = scope_parts(spark, sf).filter("depth > 0").select("stmt_id", "lo", F.inline_outer("select_items"))
     return _flat(rows.filter("expr is not null"), "stmt_id", "lo", "expr", "out", "func")
 
 
