@@ -162,7 +162,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one piece holds about `most` bytes of text, or one long row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -170,6 +170,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 6_000_000
         edges = np.flatnonzero(np.diff(which, prepend=-1, append=-2))
         for lo, hi in zip(edges[:-1], edges[1:]):
             yield batch.slice(int(lo), int(hi - lo))
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def word_lists(texts: pa.Array, ascii_only: bool = False) -> tuple[pa.Array, np.ndarray]:

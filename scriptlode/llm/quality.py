@@ -9,10 +9,13 @@ trained on the posteriors of a bounded sample and scores every document.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import least_by_hash, pieces, spread, staged, table
@@ -23,6 +26,7 @@ BINS = 16      # bins of each repetition feature
 KEEP = 0.5
 
 _LABELLERS = 7
+_WORD, _LINE = re.compile(r"\S+"), re.compile(r"[^\n]+")
 # Character classes of a byte: 0 letters and bytes of multi-byte characters, then one class each.
 _CLASS = np.zeros(256, np.uint8)
 for _n, _chars in enumerate(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\f\v", "\n", ".,;:", "!?", "|", "#", "$",
@@ -31,33 +35,95 @@ for _n, _chars in enumerate(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\
 _UPPER, _SYMBOLS, _PIPE = 1, np.isin(np.arange(16), [6, 7, 8, 9, 10, 11, 12, 15]), 7
 
 
+# Bin of each 4-gram of classes, a number of 16 bits.
+_BIN = (np.arange(1 << 16, dtype=np.int64) * 2654435761 >> 16) % HASHED
+PIECE = 1_000_000  # bytes of text whose arrays are in memory together
+
+
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Sum of each stretch between edges, 0 for an empty one."""
-    return np.diff(np.r_[0, np.cumsum(values, dtype=np.float64)][edges])
+    out = np.zeros(len(edges) - 1)
+    some = np.flatnonzero(np.diff(edges))
+    if len(some):
+        out[some] = np.add.reduceat(values, edges[some], dtype=np.float64 if values.dtype.kind == "f" else np.int64)
+    return out
+
+
+def _word_counts(text: str) -> tuple[int, int, int]:
+    """Words, distinct words and words that repeat the one before."""
+    if len(text) <= PIECE:
+        w = text.split()
+        return len(w), len(set(w)), sum(map(eq, w, w[1:]))
+    n, echo, last, seen = 0, 0, None, set()
+    for m in _WORD.finditer(text):  # a long text is never cut into all its words at once
+        word = m[0]
+        n, echo, last = n + 1, echo + (word == last), word
+        seen.add(word)
+    return n, len(seen), echo
+
+
+def _line_counts(text: str) -> tuple[int, int]:
+    """Lines that are not empty, and how many are distinct."""
+    if len(text) <= PIECE:
+        lines = [x for x in text.split("\n") if x]
+        return len(lines), len(set(lines))
+    n, seen = 0, set()
+    for m in _LINE.finditer(text):
+        n += 1
+        seen.add(hashlib.blake2b(m[0].encode("utf-8", "replace"), digest_size=16).digest())
+    return n, len(seen)
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """4-gram of classes that begins at each byte but the last three, 16 bits each."""
+    kind = _CLASS[data].astype(np.uint16)
+    gram = kind[:-3].copy() if len(kind) > 3 else np.zeros(0, np.uint16)
+    for j in range(1, 4):
+        gram |= kind[j:len(kind) - 3 + j] << np.uint16(4 * j)
+    return gram
+
+
+def _gram_sums(data: np.ndarray, edges: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sum of the weights (by 4-gram) of each text's 4-grams; those that reach into the next text count nowhere."""
+    out = np.zeros(len(edges) - 1)
+    lo = 0
+    while lo < len(data):  # overlapping stretches of bytes
+        hi = min(lo + PIECE, len(data))
+        first = int(np.searchsorted(edges, lo, side="right")) - 1
+        last = int(np.searchsorted(edges, hi, side="left"))
+        value = weights[_grams(data[lo:min(hi + 3, len(data))])]
+        own = edges[first:last + 1]
+        for j in range(1, 4):
+            at = own[1:] - j - lo
+            value[at[(at >= 0) & (at < len(value)) & (own[1:] - j >= own[:-1])]] = 0.0
+        out[first:last] += _sums(value, np.clip(own - lo, 0, len(value)))
+        lo = hi
+    return out
 
 
 def _read(texts: pa.Array):
-    """Of a batch: 4-gram codes with the edges of each text, repetition bins, votes, and word counts."""
-    strings = texts.to_pylist()
-    raw = [(t or "").encode("utf-8", "replace") for t in strings]
-    edges = np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    kind = _CLASS[data]
-    words, distinct, echo, lines, unique = np.zeros((5, len(raw)))
-    for i, t in enumerate(strings):
-        w = (t or "").split()
-        words[i], distinct[i], echo[i] = len(w), len(set(w)), sum(map(eq, w, w[1:]))
-        ls = [x for x in (t or "").split("\n") if x]
-        lines[i], unique[i] = len(ls), len(set(ls))
+    """Of a batch: the bytes with the edges of each text, repetition bins, votes, and word counts."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[edges[0]:edges[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
+    edges = edges - edges[0] if len(edges) else np.zeros(1, np.int64)
+    words, distinct, echo, lines, unique = np.zeros((5, len(texts)))
+    for i in range(len(texts)):
+        t = texts[i].as_py()
+        words[i], distinct[i], echo[i] = _word_counts(t)
+        lines[i], unique[i] = _line_counts(t)
     size = np.maximum(np.diff(edges), 1)
     some = np.maximum(words, 1)
+    kind = _CLASS[data]
     letters = np.maximum(_sums(kind <= _UPPER, edges), 1)
     upper = _sums(kind == _UPPER, edges) / letters
     symbols = _sums(_SYMBOLS[kind], edges) / size
     pipes = _sums(kind == _PIPE, edges) / some
-    pair = np.zeros(len(data))
+    pair = np.zeros(len(data), bool)
     pair[1:] = (data[1:] == data[:-1]) & _SYMBOLS[kind[1:]]
     runs = _sums(pair, edges) / some
+    del kind, pair
     fresh = distinct / np.maximum(np.minimum(words, 400), 1)
     echo = echo / some
     same = 1 - unique / np.maximum(lines, 1)
@@ -70,22 +136,12 @@ def _read(texts: pa.Array):
              vote(pipes > 0.03, pipes < 0.005), vote(runs > 0.1, runs < 0.02),
              vote(fresh < 0.35, fresh > 0.45, words >= 20), vote(same > 0.5, same < 0.35, lines >= 3), vote(echo > 0.15, echo < 0.05)]
     pattern = sum(v * 3 ** k for k, v in enumerate(votes))
-    code = kind.astype(np.int64)
-    gram = code.copy()
-    for j in range(1, 4):
-        gram[:-j] += code[j:] << (4 * j)
-    gram = (gram * 2654435761 >> 16) % HASHED
-    # 4-grams that reach into the next text count nowhere.
-    ends = np.zeros(len(data), bool)
-    for j in range(1, 4):
-        at = edges[1:] - j
-        ends[at[(at >= edges[:-1])]] = True
     bins = np.stack([np.minimum(v * BINS, BINS - 1) for v in (fresh, same, echo)]).astype(np.int64)
-    return gram, ends, edges, bins, pattern, words
+    return data, edges, bins, pattern, words
 
 
 def _votes(batches):
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "text", PIECE):
         *_, pattern, words = _read(piece.column("text"))
         pattern = np.where(words > 0, pattern, -1)
         yield pa.RecordBatch.from_arrays([pa.array(pattern.astype(np.int32))], names=["pattern"])
@@ -94,11 +150,13 @@ def _votes(batches):
 def _feature_rows(batches):
     """Bounded sample only: the whole feature vector of each document."""
     for piece in pieces(batches, "text", 500_000):
-        gram, ends, edges, bins, pattern, words = _read(piece.column("text"))
+        data, edges, bins, pattern, words = _read(piece.column("text"))
         x = np.zeros((piece.num_rows, HASHED + 3 * BINS), np.float32)
         for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-            inner = gram[lo:hi][~ends[lo:hi]]
-            x[i, :HASHED] = np.bincount(inner, minlength=HASHED) / max(len(inner), 1)
+            count = np.zeros(HASHED)
+            for at in range(lo, hi, PIECE):
+                count += np.bincount(_BIN[_grams(data[at:min(at + PIECE + 3, hi)])], minlength=HASHED)
+            x[i, :HASHED] = count / max(hi - lo - 3, 1)
         for k in range(3):
             x[np.arange(len(x)), HASHED + k * BINS + bins[k]] = 1
         yield pa.RecordBatch.from_arrays([pa.array(pattern.astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary())],
@@ -106,11 +164,12 @@ def _feature_rows(batches):
 
 
 def _scores(weights: np.ndarray, bias: float, posterior: np.ndarray):
+    by_gram = weights[_BIN]
+
     def run(batches):
-        for piece in pieces(batches, "text"):
-            gram, ends, edges, bins, pattern, words = _read(piece.column("text"))
-            inner = ~ends
-            z = _sums(weights[gram] * inner, edges) / np.maximum(_sums(inner, edges), 1) + bias
+        for piece in pieces(batches, "text", PIECE):
+            data, edges, bins, pattern, words = _read(piece.column("text"))
+            z = _gram_sums(data, edges, by_gram) / np.maximum(np.diff(edges) - 3, 1) + bias
             for k in range(3):
                 z += weights[HASHED + k * BINS + bins[k]]
             good = np.where(words > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
