@@ -20,13 +20,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import least_by_hash, pieces, spread, staged, table, word_lists
 
 LAMBDA = 0.7
 LONGEST = 24     # longer words are read in pieces that overlap by half
 TOXIC, CLEAN = 1500, 3000  # labelled documents that the model is fitted on, at most; those with the least hash
+SAMPLE_BYTES = 32_000_000  # and bytes of their texts
 COVER, PLAIN = 64, 64      # landmarks of either kind, at most
 
 _LETTERS = 64    # characters fold to so many codes: a-z, then others by code point
@@ -91,29 +92,39 @@ def self_kernel(codes: np.ndarray) -> np.ndarray:
     return lam * lam * (same * before[:, :-1, :-1]).sum(axis=(1, 2))
 
 
-def kernel_sums(units: list[str], weights: np.ndarray) -> np.ndarray:
-    """Inner products of each normalised unit with the columns of `weights` (subsequences x columns)."""
+def kernel_sums(units: list[str], weights: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Inner products of each normalised unit with the columns of `weights` (subsequences x columns); `rows` has the row of each
+    subsequence if only some have one."""
     out = np.zeros((len(units), weights.shape[1]))
     ways = {}
     for where, codes in _by_length(units):
         places, decay = ways.setdefault(codes.shape[1], _triples(codes.shape[1]))
         norm = np.sqrt(self_kernel(codes))
-        step = max(1, 4_000_000 // (len(places) * weights.shape[1]))
+        step = max(1, 1_000_000 // (len(places) * weights.shape[1]))
         for at in range(0, len(codes), step):
-            got = weights[_subsequences(codes[at:at + step], places)]
+            sub = _subsequences(codes[at:at + step], places)
+            got = weights[sub if rows is None else rows[sub]]
             out[where[at:at + step]] = np.einsum("ntm,t->nm", got, decay) / norm[at:at + step, None]
     return out
 
 
-def _landmark_table(landmarks: list[str]) -> np.ndarray:
-    table_ = np.zeros((_LETTERS ** 3, len(landmarks)), np.float32)
+def _landmark_table(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised weight of each subsequence in each landmark, for the subsequences that some landmark holds, and the row of
+    every subsequence (row 0 for one that none holds)."""
+    found, held = [], []
     for where, codes in _by_length(landmarks):
         places, decay = _triples(codes.shape[1])
         norm = np.sqrt(self_kernel(codes))
-        sub = _subsequences(codes, places)
-        for row, at in enumerate(where):
-            np.add.at(table_[:, at], sub[row], (decay / norm[row]).astype(np.float32))
-    return table_
+        for at, sub, n in zip(where, _subsequences(codes, places), norm):
+            found.append((at, sub, (decay / n).astype(np.float32)))
+            held.append(sub)
+    rows = np.zeros(_LETTERS ** 3, np.int32)
+    known = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+    rows[known] = np.arange(1, len(known) + 1)
+    table_ = np.zeros((len(known) + 1, len(landmarks)), np.float32)
+    for at, sub, weight in found:
+        np.add.at(table_[:, at], rows[sub], weight)
+    return table_, rows
 
 
 def _plain(word: str) -> str:
@@ -127,18 +138,21 @@ def _units(text: str) -> list[str]:
     return [p for w in found for p in _parts(w)]
 
 
-def _cover(toxic: list[set], clean_words: set) -> list[str]:
-    """Strings of 4 to 8 characters that clean documents lack, chosen greedily until they explain too few toxic ones."""
+def _cover(toxic: list[list[str]], clean_words: list[str]) -> list[str]:
+    """Strings of 4 to 8 characters that clean documents lack, chosen greedily until they explain too few toxic ones. `toxic` has the
+    words of each toxic document that no clean one has."""
     grams = lambda words: {w[i:i + k] for w in words for k in range(4, 9) for i in range(len(w) - k + 1)}
-    own = [grams(w for w in words if w not in clean_words) for words in toxic]
-    often = Counter(g for gs in own for g in gs)
     least = max(3, len(toxic) // 100)
+    # Substrings of a document are made twice and not kept; only those in enough documents are.
+    often = Counter()
+    for words in toxic:
+        often.update(grams(words))
     often = {g: n for g, n in often.items() if n >= least}
     for w in clean_words:
         for k in range(4, 9):
             for i in range(len(w) - k + 1):
                 often.pop(w[i:i + k], None)
-    own = [gs & often.keys() for gs in own]
+    own = [grams(words) & often.keys() for words in toxic]
     chosen = []
     while len(chosen) < COVER:
         count = Counter(g for gs in own for g in gs)
@@ -178,39 +192,48 @@ class Model:
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Fit on labelled texts (bounded by the caller)."""
-    bags, y = [_units(t) for t in texts], np.array(toxic)
-    bad = [set(b) for b, t in zip(bags, y) if t == 1]
-    clean = Counter(u for b, t in zip(bags, y) if t == 0 for u in b)
-    cover = _cover(bad, set(clean))
+    y, place, at = np.array(toxic), {}, []
+    for t in texts:  # every document as numbers of its units; a unit is kept once
+        at.append(np.array([place.setdefault(u, len(place)) for u in _units(t)], np.int64))
+    units = list(place)
+    of_clean = np.concatenate([a for a, t in zip(at, y) if t == 0] or [np.zeros(0, np.int64)])
+    negative, first, often = np.unique(of_clean, return_index=True, return_counts=True)
+    clean = np.zeros(len(units), bool)
+    clean[negative] = True
+    bad_at = [a for a, t in zip(at, y) if t == 1]
+    cover = _cover([[units[i] for i in a if not clean[i]] for a in bad_at], [units[i] for i in negative])
     if not cover:
         rate = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.49)
         return Model(np.zeros((_LETTERS ** 3, 1), np.float32), 0.0, 0.0, float(np.log(rate / (1 - rate))))
-    landmarks = cover + [u for u, _ in clean.most_common(8 * PLAIN) if len(u) >= 3][:PLAIN]
-    table_ = _landmark_table(landmarks)
-    gram = kernel_sums(landmarks, table_)
+    negative, often = negative[np.argsort(first)], often[np.argsort(first)]
+    usual = negative[np.argsort(-often, kind="stable")[:8 * PLAIN]]
+    landmarks = cover + [units[i] for i in usual if len(units[i]) >= 3][:PLAIN]
+    table_, rows = _landmark_table(landmarks)
+    gram = kernel_sums(landmarks, table_, rows)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
 
     def noisy(u):
         return [u] + [u[:i] + c + u[i:] for c in "*.-" for i in range(1, len(u))]
 
-    units = list(dict.fromkeys(u for b in bags for u in b))
-    place = {u: i for i, u in enumerate(units)}
-    x = kernel_sums(units, table_) @ root
-    negative = np.array([place[u] for u in clean], np.int64)
-    at = [np.array([place[u] for u in b], np.int64) for b in bags]
-    witness = [next((place[u] for u in b if any(c in u for c in cover)), None) for b, t in zip(bags, y) if t == 1]
-    inserted = kernel_sums([n for c in cover for n in noisy(c)], table_) @ root
+
+    def sums(ids, weights):  # in parts: the sums of all units and landmarks are never in memory together
+        parts = [kernel_sums([units[i] for i in ids[lo:lo + 4096]], weights, rows) for lo in range(0, len(ids), 4096)]
+        return np.concatenate(parts) if parts else np.zeros((0, weights.shape[1]))
+
+    reach = np.concatenate([sums(negative[lo:lo + 4096], table_[:, :len(cover)]).max(axis=1) for lo in range(0, len(negative), 4096)] or [np.zeros(0)])
+    witness = [next((int(i) for i in a if any(c in units[i] for c in cover)), None) for a in bad_at]
+    inserted = kernel_sums([n for c in cover for n in noisy(c)], table_, rows) @ root
     # Hard negatives only: the farther ones never become support vectors.
-    reach = (kernel_sums([units[i] for i in negative], table_)[:, :len(cover)]).max(axis=1) if len(negative) else np.zeros(0)
     negative = negative[np.argsort(-reach, kind="stable")[:20000]]
+    far = sums(negative, table_) @ root
     for _ in range(3):
         positive = np.array([w for w in witness if w is not None], np.int64)
-        xs = np.r_[x[positive], inserted, x[negative]]
+        xs = np.r_[sums(positive, table_) @ root, inserted, far]
         ys = np.r_[np.ones(len(positive) + len(inserted)), -np.ones(len(negative))]
         w, b = _svm(xs, ys, np.where(ys > 0, len(negative) / max(1, len(positive) + len(inserted)), 1.0))
-        f = x @ w + b
-        bad_at = [a for a, t in zip(at, y) if t == 1]
+        folded = table_ @ (root @ w)
+        f = sums(np.arange(len(units)), folded[:, None])[:, 0] + b
         witness = [int(a[np.argmax(f[a])]) if len(a) and f[a].max() > 0 else None for a in bad_at]
     best = np.array([f[a].max() if len(a) else -2.0 for a in at])
     # Platt's line, positive and negative documents weighing alike.
@@ -220,7 +243,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         p = 1 / (1 + np.exp(-np.clip(s * best + c, -40, 40)))
         e = share * (p - np.where(y == 1, 0.99, 0.01))
         s, c = max(0.1, s - 2.0 * (e @ best)), c - 2.0 * e.sum()
-    return Model((table_ @ (root @ w)).astype(np.float32)[:, None], b, float(s), float(c))
+    return Model(folded.astype(np.float32)[rows][:, None], b, float(s), float(c))
 
 
 def _scores(model: Model):
@@ -248,13 +271,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Model:
-    """Model fitted on at most `toxic` + `clean` labelled documents that are not held out. Null labels are unlabelled."""
+    """Model fitted on at most `toxic` + `clean` labelled documents that are not held out, and SAMPLE_BYTES of their texts. Null
+    labels are unlabelled."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter(
         "y IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).withColumn("h", spread(F.col("doc_id")))
     chosen = least_by_hash(usable.filter("y = 1"), "h", toxic, "doc_id").unionByName(
         least_by_hash(usable.filter("y = 0"), "h", clean, "doc_id"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(staged(chosen)), "doc_id").orderBy("h", "doc_id", "text").limit(
-        2 * (toxic + clean)).select("text", "y").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(staged(chosen)), "doc_id").select(
+        "doc_id", "h", "text", "y", F.octet_length("text").alias("size")).orderBy("h", "doc_id", "text").limit(2 * (toxic + clean))
+    before = Window.orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)  # of at most that many rows
+    rows = rows.withColumn("read", F.sum(F.coalesce("size", F.lit(0))).over(before)).filter(F.col("read") <= SAMPLE_BYTES).select("text", "y").collect()
     return fit([r.text for r in rows], [r.y for r in rows])
 
 

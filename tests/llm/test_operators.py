@@ -390,7 +390,7 @@ def test_subsequence_kernel():
         return out
     dot = lambda a, b: sum(v * b[k] for k, v in a.items())
     want = dot(phi(unit), phi(other)) / (dot(phi(unit), phi(unit)) * dot(phi(other), phi(other))) ** 0.5
-    assert abs(toxicity.kernel_sums([unit], toxicity._landmark_table([other]))[0, 0] - want) < 1e-5
+    assert abs(toxicity.kernel_sums([unit], *toxicity._landmark_table([other]))[0, 0] - want) < 1e-5
 
 
 def test_toxicity(spark, nothing):  # noqa: F811
@@ -414,3 +414,51 @@ def test_pipeline(spark):  # noqa: F811
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} == set(out.columns) and out.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+def test_long_texts_are_read_in_stretches(monkeypatch):
+    """Quality and language-model features of texts far longer than the arrays in memory equal those of a single stretch."""
+    import pyarrow as pa
+    rng = random.Random(12)
+    texts = [None, "", "ab\nc", "x", *("\n".join(words(rng, rng.randint(1, 40)) + rng.choice([" !!", " a|b|c", "", "é é"])
+                                              for _ in range(n)) for n in (1, 400, 3, 60))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "carry": texts})
+    weights, posterior = np.random.default_rng(1).normal(size=quality.HASHED + 3 * quality.BINS), np.arange(3 ** 7) / 3 ** 7
+    blocks = list(lm_scoring._blocks(iter([batch])))
+    alone = np.sort(np.frombuffer(blocks[0]["vocabulary"][0].as_py(), np.uint64)[::40])
+    table = np.random.default_rng(2).normal(size=(lm_scoring._KINDS * lm_scoring.CELLS + 1, len(alone) + lm_scoring.GROUPS)).astype(np.float32)
+    inside = np.ones(table.shape[1])
+
+    def all_of():
+        scored = list(quality._scores(weights, 0.1, posterior)(iter([batch])))
+        rows = list(quality._feature_rows(iter([batch])))
+        gradient = list(lm_scoring._gradients(table, alone)(iter(blocks)))
+        parts = list(lm_scoring._class_parts(table, alone, inside)(iter(blocks)))
+        return [np.concatenate([np.asarray(b[c].flatten() if hasattr(b[c], "flatten") else b[c]) for b in bs]) for bs, c in (
+            (scored, "score"), (scored, "label"), (rows, "pattern"), (gradient, "visits"), (gradient, "g"), (parts, "parts"))]
+
+    whole = all_of()
+    monkeypatch.setattr(quality, "PIECE", 100)
+    monkeypatch.setattr(lm_scoring, "STRETCH", 77)
+    monkeypatch.setattr(lm_scoring, "STEP", 13)
+    for a, b in zip(whole, all_of()):
+        assert a.shape == b.shape and np.allclose(a, b, rtol=1e-4, atol=1e-3)
+
+
+def test_estimate_finds_planted_accuracies():
+    """Votes drawn from known accuracies: expectation-maximisation gets them back, and the posterior of every pattern."""
+    rng = np.random.default_rng(5)
+    n, share = 200_000, 0.7
+    good = rng.random(n) < share
+    hit = np.array([0.9, 0.85, 0.8, 0.75, 0.9, 0.7, 0.8])
+    silent = 0.2
+    right = np.where(good, 1, 2)[:, None]
+    votes = np.where(rng.random((n, 7)) < silent, 0, np.where(rng.random((n, 7)) < hit, right, 3 - right))
+    pattern = (votes * 3 ** np.arange(7)).sum(axis=1)
+    posterior, tables = quality.estimate(np.bincount(pattern, minlength=3 ** 7).astype(float))
+    for k in range(7):
+        assert abs(tables[1, k, 1] - (1 - silent) * hit[k]) < 0.02 and abs(tables[0, k, 2] - (1 - silent) * hit[k]) < 0.02
+    every = np.arange(3 ** 7)[:, None] // 3 ** np.arange(7) % 3
+    odds = np.log(share / (1 - share)) + np.where(every == 1, 1, np.where(every == 2, -1, 0)) @ np.log(hit / (1 - hit))
+    seen = np.bincount(pattern, minlength=3 ** 7) > 50
+    assert np.abs(posterior - 1 / (1 + np.exp(-odds)))[seen].max() < 0.1
