@@ -1,7 +1,5 @@
 """Queries of the operators, and the SQL of those that SQL can express."""
 
-import corpus_pipeline
-
 from . import (decontaminate, divergence, exact_dedup, fingerprint, licenses, line_dedup, lm_scoring, merkle, mixing, near_dup,
                quality, sharding, toxicity)
 
@@ -19,7 +17,6 @@ QUERIES = {
     "op11_merkle": merkle.op11_merkle,
     "op12_divergence": divergence.op12_divergence,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
