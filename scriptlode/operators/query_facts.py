@@ -135,20 +135,22 @@ def _derived(cands: DataFrame, parts: DataFrame) -> DataFrame:
     asked = (cands.filter(F.col("child").isNotNull() & (F.col("lcol") != "*"))
              .withColumn("mode", F.when(F.col("mode") == "bare", "bare_derived").otherwise("derived"))
              .select(*_REF, "mode", "lcol", _order().cast("array<int>").alias("c_pos"), "child", F.array("child").alias("trail")))
+    # Each turn uses these several times; they are narrow, and written once.
+    asked, renames, held = cut_all([asked, renames, held])
     nested_deeper = inside.filter("depth > 1 or cte").limit(1).count() > 0
     out = []
     while True:
         spans = asked.select("stmt_id", "child", "lcol").distinct().join(blocks, ["stmt_id", "child"])
         first = (within(renames, spans, ["stmt_id", "lcol"], "s_lo", "child", "block_hi")
                  .groupBy("stmt_id", "child", "lcol").agg(F.min(F.struct("s_lo", "src", "src_child")).alias("r")))
-        traced = spans.join(first, ["stmt_id", "child", "lcol"], "left")
+        traced = cut(spans.join(first, ["stmt_id", "child", "lcol"], "left"))
         # A source block around the select itself is the table of a recursive definition; its base tables are asked already.
         onward = F.col("r.src_child").isNotNull() & ~((F.col("r.src_child") <= F.col("r.s_lo")) & (F.col("r.src_child") == F.col("child")))
         stays = traced.filter(~F.coalesce(onward, F.lit(False)))
-        found = within(held, stays, ["stmt_id"], "s_lo", "child", "block_hi").select(
+        found = cut(within(held, stays, ["stmt_id"], "s_lo", "child", "block_hi").select(
             "stmt_id", "child", "lcol", F.coalesce("r.src", "lcol").alias("src_col"),
             _order(F.when(F.col("s_lo") < F.col("r.s_lo"), 2).otherwise(1), F.col("s_lo"), F.col("t_pos")).alias("place"),
-            "base_ref", "base_child", ((F.col("base_child") >= F.col("child")) & (F.col("base_child") <= F.col("block_hi"))).alias("own"))
+            "base_ref", "base_child", ((F.col("base_child") >= F.col("child")) & (F.col("base_child") <= F.col("block_hi"))).alias("own")))
         hits = asked.join(found.filter("base_ref is not null"), ["stmt_id", "child", "lcol"])
         out.append(hits.select(*_REF, "mode", F.col("src_col").alias("lcol"), F.concat("c_pos", "place").alias("c_pos"),
                                F.col("base_ref").alias("table_ref")))
