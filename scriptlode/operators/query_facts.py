@@ -92,9 +92,12 @@ def _outer(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Bind aliases of enclosing scopes: the nearest enclosing scope that has the alias."""
     cols = [*_REF, "mode", "lcol", "prefix"]
     asked = rows.filter(F.col("mode") == "outer").select(*cols)
+    # Only names that are asked for, and only as far as the last mention: the outermost scope has no end of its own.
+    last = asked.groupBy("stmt_id", "prefix").agg(F.max("lo").alias("last"))
     names = tables.select(
         "stmt_id", F.col("lo").alias("t_lo"), (F.col("lo") + 1).alias("t_from"), F.col("hi").alias("t_hi"), "table_ref", "child",
-        F.explode(F.array_distinct(F.array_compact(F.array("alias", F.lower("table_ref"))))).alias("prefix"))
+        F.explode(F.array_distinct(F.array_compact(F.array("alias", F.lower("table_ref"))))).alias("prefix")
+    ).join(last, ["stmt_id", "prefix"]).withColumn("t_hi", F.least("t_hi", "last")).drop("last")
     found = within(asked, names, ["stmt_id", "prefix"], "lo", "t_from", "t_hi").select(
         *cols, F.struct("t_lo", "table_ref", "child").alias("t"))
     none = asked.select(*cols, F.lit(None).cast(found.schema["t"].dataType).alias("t"))
@@ -180,7 +183,7 @@ def candidates(parts: DataFrame) -> DataFrame:
     """
     flat, nested = mentions(parts.filter("not nested")), cut(mentions(parts.filter("nested")))
     tables = Q.scope_tables(parts.filter("nested"))
-    direct = _named_and_bare(nested).unionByName(_outer(nested, tables))
+    direct = _named_and_bare(nested).unionByName(cut(_outer(nested, tables)))
     named_child = nested.filter(F.col("mode") == "derived").select(
         *_REF, "mode", "lcol", _order(0, 0).alias("c_pos"),
         F.lit(None).cast("string").alias("table_ref"), F.col("bound.child").alias("child"))
