@@ -78,26 +78,42 @@ def table_keys(tables: DataFrame, prefixes: bool = True) -> DataFrame:
             .select("repo_url", "lookup", "table_name"))
 
 
-def resolve_table(refs: DataFrame, tables: DataFrame, prefixes: bool = False) -> DataFrame:
+def lookup_index(tables: DataFrame) -> DataFrame:
+    """Both lookup indexes in one table, unique on (repo_url, lookup), to be written once: table_name is what the
+    lookup finds with prefixes, plain_name without (null if only a form without its marks finds a table)."""
+    rows = tables.select("repo_url", "table_name", "file_id", "stmt_seq",
+                         F.size(name_variants(F.col("table_name"), False)).alias("n_plain"),
+                         F.posexplode(name_variants(F.col("table_name"))).alias("form", "lookup"))
+    place = F.struct("form", "file_id", "stmt_seq", "table_name")
+    return (rows.groupBy("lookup", "repo_url")
+            .agg(F.min(place).alias("any"), F.min(F.when(F.col("form") < F.col("n_plain"), place)).alias("plain"))
+            .select("repo_url", "lookup", "any.table_name", F.col("plain.table_name").alias("plain_name")))
+
+
+def resolve_table(refs: DataFrame, tables: DataFrame, prefixes: bool = False, index: DataFrame | None = None) -> DataFrame:
     """Distinct (repo_url, table_ref) with the table they name; null when there is none.
 
     Exact name first (ignoring case), then the last dotted part; with prefixes also # and @ forms
-    and schema prefixes such as dbo., public. and mydb.
+    and schema prefixes such as dbo., public. and mydb. `index`, if given, is a stored lookup_index of the tables.
     """
     names = refs.select("repo_url", "table_ref").distinct()
     forms = names.select("repo_url", "table_ref", F.posexplode(
         name_variants(F.col("table_ref"), prefixes)).alias("form", "lookup"))
-    found = forms.join(table_keys(tables, prefixes), ["lookup", "repo_url"], "left")
+    if index is None:
+        keys = table_keys(tables, prefixes)
+    else:
+        keys = index.select("repo_url", "lookup", F.col("table_name" if prefixes else "plain_name").alias("table_name"))
+    found = forms.join(keys, ["lookup", "repo_url"], "left")
     return found.groupBy("table_ref", "repo_url").agg(
         F.min_by("table_name", F.when(F.col("table_name").isNotNull(), F.col("form"))).alias("table_name"))
 
 
-def resolve_table_variants(refs: DataFrame, tables: DataFrame) -> DataFrame:
-    return resolve_table(refs, tables, prefixes=True)
+def resolve_table_variants(refs: DataFrame, tables: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    return resolve_table(refs, tables, prefixes=True, index=index)
 
 
 def resolve_column(refs: DataFrame, tables: DataFrame, columns: DataFrame,
-                   prefixes: bool = True) -> DataFrame:
+                   prefixes: bool = True, index: DataFrame | None = None) -> DataFrame:
     """Distinct (repo_url, table_ref, lcol) with table_name and col_name, null where not found.
 
     A reference with table_ref '*' means any table of the repository; the first one in catalog
@@ -105,7 +121,7 @@ def resolve_column(refs: DataFrame, tables: DataFrame, columns: DataFrame,
     """
     names = refs.select("repo_url", "table_ref", "lcol").distinct()
     named, any_table = names.filter("table_ref <> '*'"), names.filter("table_ref = '*'")
-    found = (named.join(resolve_table(named, tables, prefixes), ["table_ref", "repo_url"], "left")
+    found = (named.join(resolve_table(named, tables, prefixes, index), ["table_ref", "repo_url"], "left")
              .join(columns.select("repo_url", "table_name", "lcol", "col_name"),
                    ["lcol", "table_name", "repo_url"], "left"))
     # The owner is picked before the join: rows of a name that very many tables share are cut
@@ -257,7 +273,8 @@ def _single_pk(keys: DataFrame) -> DataFrame:
         "repo_url", F.col("table_name").alias("ref_name"), F.col("cols").alias("pk_cols"))
 
 
-def resolve_fks(fk_refs: DataFrame, tables: DataFrame, columns: DataFrame, keys: DataFrame) -> DataFrame:
+def resolve_fks(fk_refs: DataFrame, tables: DataFrame, columns: DataFrame, keys: DataFrame,
+                index: DataFrame | None = None) -> DataFrame:
     """Foreign keys against the whole catalog, equal ones once.
 
     Input: repo_url, stmt_id, clause_seq, file_id, stmt_seq, table_ref, cols, ref_table, ref_cols.
@@ -269,7 +286,7 @@ def resolve_fks(fk_refs: DataFrame, tables: DataFrame, columns: DataFrame, keys:
     refs = distinct.select(*same, F.concat_ws("#", "at.stmt_id", F.col("at.clause_seq").cast("string")).alias("fk_id"))
     both = refs.select("repo_url", "table_ref").unionByName(
         refs.select("repo_url", F.col("ref_table").alias("table_ref")))
-    names = resolve_table(both, tables)
+    names = resolve_table(both, tables, index=index)
     owned = (refs.join(names, ["table_ref", "repo_url"], "left")
              .join(names.select("repo_url", F.col("table_ref").alias("ref_table"),
                                 F.col("table_name").alias("ref_name")),
@@ -332,6 +349,7 @@ class Catalog:
     picked: DataFrame
     names: DataFrame
     all_tables: DataFrame
+    lookup: DataFrame
     tables: DataFrame
     columns: DataFrame
     later_keys: DataFrame
@@ -398,8 +416,9 @@ def build_catalog(stmts: DataFrame) -> Catalog:
                               F.col("table_name").alias("table_ref"), F.inline("fks"))
                .withColumn("clause_seq", F.col("seq")).select(*_FK))
     fk_refs = own_fks.unionByName(ddl.alter_fk(altered).select(*_FK))
-    fks, tables = cut_all([resolve_fks(fk_refs, all_tables, columns, keys), finalize_catalog(all_tables, columns)])
-    return Catalog(versions, picked, names, all_tables, tables, columns, later_keys, keys, fks)
+    lookup = cut(lookup_index(all_tables))
+    fks, tables = cut_all([resolve_fks(fk_refs, all_tables, columns, keys, lookup), finalize_catalog(all_tables, columns)])
+    return Catalog(versions, picked, names, all_tables, lookup, tables, columns, later_keys, keys, fks)
 
 
 # --- nearest names -----------------------------------------------------------------------------

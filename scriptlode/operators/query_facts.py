@@ -195,14 +195,14 @@ def candidates(parts: DataFrame) -> DataFrame:
 def resolved(cands: DataFrame, catalog: Catalog) -> DataFrame:
     """Candidates with the table and column found; null where not."""
     plain = cands.filter("lcol <> '*'")
-    found = resolve_column(plain, catalog.all_tables, catalog.columns)
+    found = resolve_column(plain, catalog.all_tables, catalog.columns, index=catalog.lookup)
     return plain.join(found, ["lcol", "table_ref", "repo_url"], "left")
 
 
 def star_columns(cands: DataFrame, catalog: Catalog) -> DataFrame:
     """Columns of the tables named by star projections."""
     stars = cands.filter("lcol = '*' and table_ref <> '*'").select(*_REF, "table_ref").distinct()
-    names = resolve_table(stars, catalog.all_tables, prefixes=True)
+    names = resolve_table(stars, catalog.all_tables, prefixes=True, index=catalog.lookup)
     return (stars.join(names, ["table_ref", "repo_url"])
             .join(catalog.columns.select("repo_url", "table_name", "col_name"), ["table_name", "repo_url"]))
 

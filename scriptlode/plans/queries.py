@@ -360,7 +360,8 @@ def _fk_targets(spark, sf):
 
 
 def d4_resolve_table(spark, sf):
-    return _flat(C.resolve_table(_fk_targets(spark, sf), catalog(spark, sf).all_tables))
+    c = catalog(spark, sf)
+    return _flat(C.resolve_table(_fk_targets(spark, sf), c.all_tables, index=c.lookup))
 
 
 def d5_key_validity(spark, sf):
@@ -390,20 +391,21 @@ def d9_base_types(spark, sf):
 
 
 def d10_name_variants(spark, sf):
+    c = catalog(spark, sf)
     low = "T"
     forms = F.array(F.concat(F.lit("[dbo].["), low, F.lit("]")), F.concat(F.lit("#"), low),
                     F.concat(F.lit("@"), low), F.concat(F.lit("public."), low), F.concat(F.lit("mydb."), "TU"),
                     F.concat(F.lit("["), low, F.lit("]")))
     refs = corpus(tune(spark), sf, ("T", "TU")).select("repo_url", F.explode(forms).alias("table_ref"))
     refs = refs.withColumn("table_ref", X.clean_ident(F.col("table_ref")))
-    return _flat(C.resolve_table_variants(refs, catalog(spark, sf).all_tables))
+    return _flat(C.resolve_table_variants(refs, c.all_tables, c.lookup))
 
 
 def d11_resolve_column(spark, sf):
     c = catalog(spark, sf)
     refs = corpus(tune(spark), sf, ("TU", "V")).select("repo_url", F.explode(F.array("TU", "V")).alias("table_ref"))
     names = F.array(*[F.lit(n) for n in ("username", "id", "memo", "extra", "absent")])
-    return _flat(C.resolve_column(refs.withColumn("lcol", F.explode(names)), c.all_tables, c.columns))
+    return _flat(C.resolve_column(refs.withColumn("lcol", F.explode(names)), c.all_tables, c.columns, index=c.lookup))
 
 
 def d12_nearest_names(spark, sf):

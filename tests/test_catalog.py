@@ -47,6 +47,10 @@ def test_exact_name_before_other_spellings(spark):
                    "y.Only_Here": "x.only_here", "public.tmp": "#tmp", "absent": None}
     plain = dict(listed(C.resolve_table(refs, c.all_tables), "table_ref", "table_name"))
     assert plain["public.tmp"] is None and plain["y.Only_Here"] == "x.only_here"
+    # The stored index finds the same, with and without prefixes, and no lookup names two tables.
+    assert dict(listed(C.resolve_table_variants(refs, c.all_tables, c.lookup), "table_ref", "table_name")) == got
+    assert dict(listed(C.resolve_table(refs, c.all_tables, index=c.lookup), "table_ref", "table_name")) == plain
+    assert c.lookup.count() == c.lookup.select("repo_url", "lookup").distinct().count()
 
 
 def test_later_statements_make_tables_and_columns(spark):
