@@ -14,6 +14,7 @@ from .common import prefix_sums, staged, table
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
+MOST_BROADCAST = 4096  # more sources than that are joined by a shuffle
 
 
 def n_words(text: Column) -> Column:
@@ -53,7 +54,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOS
     the mix takes of the row, repeats counted; the row at the cut is taken in part, so that a source gives
     exactly the whole part of its target) and copies (times the row is taken as a whole, the row at the
     cut rounded to the nearer side). Null and empty texts have no words and are taken 0 times; a null
-    source is a source; a null doc_id has a key like any other; equal rows are taken one after another;
+    source is a source, and one without words has the target 0; a null doc_id has a key like any other; equal rows are taken one after another;
     an empty table gives no rows. The same rows give the same mix.
     """
     digest = F.md5(F.concat(F.lit("mix "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -64,14 +65,16 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOS
     sizes = narrow.groupBy(F.col("src").alias("source")).agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, epochs)
     budget = F.floor("target")
-    plan = staged(plan.withColumn("full", F.coalesce(F.floor(budget / F.col("source_size")), F.lit(0)).cast("long"))
+    plan = staged(plan.withColumn("full", F.coalesce(F.floor(F.try_divide(budget, F.col("source_size"))), F.lit(0)).cast("long"))
                   .withColumn("rest", (budget - F.col("full") * F.col("source_size")).cast("long")))
+    # A row for each source: few are sent to every task, many are met by a shuffle.
+    small = F.broadcast if plan.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda df: df
     of = plan.select("no", F.col("source").alias("of"))
-    numbered = narrow.join(F.broadcast(of), F.col("src").eqNullSafe(F.col("of")))  # a row for each source
+    numbered = narrow.join(small(of), F.col("src").eqNullSafe(F.col("of")))
     wide = docs.select("doc_id", F.col("source").alias("src"), words.alias("size"), key.alias("key"), tie.alias("tie"),
                        (carry if carry is not None else F.lit(None)).alias("carry"))
-    wide = wide.join(F.broadcast(of), F.col("src").eqNullSafe(F.col("of"))).drop("of", "src")
-    placed = prefix_sums(wide, numbered, "no", "key", "size", "tie").join(F.broadcast(plan), "no")
+    wide = wide.join(small(of), F.col("src").eqNullSafe(F.col("of"))).drop("of", "src")
+    placed = prefix_sums(wide, numbered, "no", "key", "size", "tie").join(small(plan), "no")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", "carry",

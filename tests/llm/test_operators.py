@@ -1,14 +1,18 @@
 """The operators on training text against brute force, and their edge cases."""
 
+import functools
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scriptlode.llm import (common, decontaminate, fingerprint, licenses, line_dedup, lm_scoring, mixing, near_dup, quality, registered,
@@ -234,6 +238,20 @@ def test_sql_counterparts(spark, docs, nothing):  # noqa: F811
             assert sorted(map(str, map(tuple, op(d).collect()))) == sorted(map(str, want))
 
 
+def test_mixing_of_many_sources(spark, docs, monkeypatch):  # noqa: F811
+    """Without a broadcast the mix is the same, and ten thousand sources, one of them with a third of the rows, equal the SQL."""
+    few = sorted(map(str, mixing.mixed(docs).collect()))
+    rng = random.Random(3)
+    many = make_docs(spark, [(i, words(rng, rng.randint(0, 9)), None if i % 3 == 0 else f"s{i % 14999}") for i in range(15000)])
+    con = duckdb.connect()
+    con.register("documents", many.toArrow())
+    want = sorted(map(str, con.sql(registered.SQL["op6_mixing"]).fetchall()))
+    out = mixing.mixed(many).select("doc_id", "size", "source_size", "target", "taken")
+    assert sorted(map(str, map(tuple, out.collect()))) == want
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert sorted(map(str, mixing.mixed(docs).collect())) == few
+
+
 def test_mixing_stage(docs, rows):
     taken = mixing.mixed(docs).collect()
     for s in {r.source for r in taken}:
@@ -286,6 +304,38 @@ def test_fingerprints(docs, rows, nothing):
     assert fingerprint.fingerprints(nothing).count() == 0
 
 
+def _plain_sketch(text):
+    """Sketch of a text by definition: chained 64-bit hashes of five words each, below an eighth of the range."""
+    chained = lambda values: functools.reduce(lambda seed, v: xxhash.xxh64(v, seed=seed).intdigest(), values, 42)
+    split = [w for w in re.split("[ \t-\r]+", (text or "").lower()) if w]
+    codes = [struct.pack("<Q", chained([w.encode()])) for w in split]
+    every = {chained(codes[i:i + 5]) for i in range(max(1, len(codes) - 4))} if codes else set()
+    low = {h for h in every if h < 1 << 61}
+    return low or ({min(every)} if every else set())
+
+
+def test_sketches(spark, docs, rows):  # noqa: F811
+    """Sketches, likeness, containment and merged sketches against plain sets."""
+    texts = sorted({t or "" for _, t, _ in rows}) + ["a b c d", "one two three four five six", "Ä ß ü ö é x y z"]
+    pairs = list(zip(texts, texts[7:] + texts[:7])) + list(zip(texts, texts))
+    d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    d = d.select("i", fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b"))
+    got = d.select("i", "a", "b", fingerprint.merge(F.col("a"), F.col("b")).alias("both"), fingerprint.likeness(F.col("a"), F.col("b")).alias("like"),
+                   fingerprint.containment(F.col("a"), F.col("b")).alias("held")).collect()
+    unsigned = lambda hs: [h % (1 << 64) for h in hs]
+    for r in got:
+        a, b = map(_plain_sketch, pairs[r.i])
+        assert unsigned(r.a) == sorted(a) and unsigned(r.b) == sorted(b)
+        low = {h for h in a | b if h < 1 << 61}
+        assert unsigned(r.both) == sorted(low or ({min(a | b)} if a | b else set()))
+        assert r.like == (len(a & b) / len(a | b) if a | b else 1.0)
+        assert r.held == (len(a & b) / len(a) if a else 1.0)
+    by_id = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    for i, t, _ in rows:
+        if i is not None and sum(j == i for j, *_ in rows) == 1:
+            assert by_id[i].fingerprint == ",".join(f"{h:x}" for h in sorted(_plain_sketch(t)))
+
+
 def test_fingerprint_ranges(docs, monkeypatch):
     whole = sorted(map(str, fingerprint.fingerprints(docs).collect()))
     monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 7)
