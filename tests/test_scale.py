@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptlode.operators import analytics as A, catalog as C, ddl as D, query_facts as QF, scopes as Q, statements as S
 from scriptlode.plans import queries as P
+from scriptlode.session import cut
 
 from .conftest import make_scripts
 
@@ -162,3 +163,16 @@ def test_hot_name_is_split(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(found) == 60000
     assert sum(r["col_name"] == "id" for r in found) == 60000 - 1200
+
+
+def test_tables_are_not_broadcast_by_the_size_of_their_files(spark):
+    """Urls compress so well that a small file is a large table in memory; the driver must not collect it for a join."""
+    url = F.concat(F.lit("https://example.org/" + "u" * 150 + "/repo"), F.col("id").cast("string"))
+    made = cut(spark.range(60000).select(url.alias("repo_url"), F.col("id").alias("a")))
+    size = made._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) < 10 * 2 ** 20  # below Spark's own limit, although the rows take more
+    joined = made.join(made.select("repo_url", F.col("a").alias("b")), "repo_url")
+    assert joined.count() == 60000
+    counted = joined.groupBy("b").count()
+    counted.collect()
+    assert "BroadcastHashJoin" not in plan(joined) and "BroadcastHashJoin" not in plan(counted)
