@@ -1,6 +1,9 @@
+import os
+
 from pyspark.sql import functions as F
 
 from scriptlode.operators import analytics as A, export as E, statements as S, store as ST
+from scriptlode.plans import queries as P
 from scriptlode.sources import scripts as R
 
 from .conftest import catalog_of, facts_of, listed
@@ -138,3 +141,13 @@ def test_join_like_blocks(spark):
     rows = spark.createDataFrame([("r", "f", text)], "repo_url string, file_id string, text string")
     assert listed(S.join_like(rows), "block_seq", "join_like") == [(0, True), (1, False), (2, False)]
     assert S.join_like(rows).filter(F.col("join_like")).count() == 1
+
+
+def test_script_folders_stand_on_shelves(spark):
+    """The script folders of a query are written below few folders, each by one task, not all below one."""
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    P.a1_script_decode(spark, "/root/testdata/sf0.001")
+    made = [f for f in os.listdir(shared) if f not in before and f.startswith("scripts-")]
+    tops = [f for f in os.listdir(f"{shared}/{made[0]}") if not f.startswith(("_", "."))]
+    assert len(made) == 1 and 1 < len(tops) <= P.SHELVES and all(f.startswith("shelf=") for f in tops)
