@@ -380,6 +380,16 @@ def test_line_dedup_at_the_threshold(spark):  # noqa: F811
     assert {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"]) for r in got} == want and len(got) == len(want) > 100
 
 
+def test_line_dedup_verifies_the_earliest_first(spark, monkeypatch):  # noqa: F811
+    """Of a group of near copies each line is held against the earliest one, not against all."""
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1:]]) for k in range(30)]
+    asked, verify = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verify(pairs, *rest))
+    got = line_dedup.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["first_doc_id"] for r in got} == {k: 0 for k in range(1, 30)} and asked == [29]
+
+
 def test_lm_scores(docs, rows, nothing):
     count, total = Counter(), 0
     fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
