@@ -176,3 +176,12 @@ def test_tables_are_not_broadcast_by_the_size_of_their_files(spark):
     counted = joined.groupBy("b").count()
     counted.collect()
     assert "BroadcastHashJoin" not in plan(joined) and "BroadcastHashJoin" not in plan(counted)
+
+
+def test_statements_are_read_once(spark, tmp_path, monkeypatch):
+    """The catalog and a query that parses statements again share one written table of statements."""
+    spark.createDataFrame([(i, i % 10) for i in range(20)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0, 0), (1, 0)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    calls, read = [], P.S.statements
+    monkeypatch.setattr(P.S, "statements", lambda *a, **k: calls.append(1) or read(*a, **k))
+    assert P.d4_resolve_table(spark, str(tmp_path)).collect() and calls == [1]
