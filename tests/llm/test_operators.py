@@ -522,3 +522,20 @@ def test_estimate_finds_planted_accuracies():
     odds = np.log(share / (1 - share)) + np.where(every == 1, 1, np.where(every == 2, -1, 0)) @ np.log(hit / (1 - hit))
     seen = np.bincount(pattern, minlength=3 ** 7) > 50
     assert np.abs(posterior - 1 / (1 + np.exp(-odds)))[seen].max() < 0.1
+
+
+def test_expected_counts_by_cell():
+    """The sums by feature cell equal one addition for each token and kind, and a column of probabilities adds up to one."""
+    from scriptlode.llm import lm_scoring as lm
+    rng = np.random.default_rng(3)
+    weights = rng.normal(0, 0.5, (4 * lm.CELLS + 1, 6)).astype(np.float32)
+    cells = (rng.integers(0, 5, (500, 4)) + np.arange(4) * lm.CELLS).astype(np.int32)
+    share = lm._probabilities(weights, cells)
+    logits = weights[cells].sum(axis=1, dtype=np.float64) + weights[-1]
+    plain = (np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)).T
+    assert np.allclose(share, plain, atol=1e-6) and np.allclose(share.sum(axis=0), 1, atol=1e-12)
+    total, slow = np.zeros((6, 4 * lm.CELLS + 1)), np.zeros((6, 4 * lm.CELLS + 1))
+    lm._add_by_cell(total, share, cells)
+    for k in range(4):
+        np.add.at(slow.T, cells[:, k], share.T)
+    assert np.allclose(total, slow, atol=1e-9)
