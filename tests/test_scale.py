@@ -185,3 +185,30 @@ def test_statements_are_read_once(spark, tmp_path, monkeypatch):
     calls, read = [], P.S.statements
     monkeypatch.setattr(P.S, "statements", lambda *a, **k: calls.append(1) or read(*a, **k))
     assert P.d4_resolve_table(spark, str(tmp_path)).collect() and calls == [1]
+
+
+def _corpus_of(spark, folder, n=20):
+    """A folder with `n` parts of all templates and two suppliers."""
+    spark.createDataFrame([(i, i % 10) for i in range(n)], "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(0, 0), (1, 0)], "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+def _not_needed(*args, **kwargs):
+    raise AssertionError("built without need")
+
+
+def test_lookups_of_table_names_build_no_columns_and_keys(spark, tmp_path, monkeypatch):
+    """The names of a catalog are enough for a lookup, and the whole catalog goes on from them with the same rows."""
+    sf = _corpus_of(spark, tmp_path)
+    with monkeypatch.context() as m:
+        m.setattr(P.C, "build_columns", _not_needed)
+        m.setattr(P.C, "build_catalog", _not_needed)
+        narrow = sorted(map(tuple, P.d10_name_variants(spark, sf).collect()))
+    whole = P.catalog(spark, sf)
+    assert narrow and whole.lookup is P.catalog_names(spark, sf).lookup
+    assert sorted(map(tuple, P.d10_name_variants(spark, sf).collect())) == narrow
+    alone = C.build_catalog(P.stmts(spark, sf))
+    for name in ("tables", "columns", "keys", "fks", "later_keys"):
+        rows = [sorted(map(str, getattr(c, name).collect())) for c in (whole, alone)]
+        assert rows[0] and rows[0] == rows[1], name
