@@ -212,3 +212,23 @@ def test_lookups_of_table_names_build_no_columns_and_keys(spark, tmp_path, monke
     for name in ("tables", "columns", "keys", "fks", "later_keys"):
         rows = [sorted(map(str, getattr(c, name).collect())) for c in (whole, alone)]
         assert rows[0] and rows[0] == rows[1], name
+
+
+def test_join_conditions_build_no_other_facts(spark, tmp_path, monkeypatch):
+    """Sides of conditions need no catalog, failed conditions only its names and columns; all facts go on from them with the same rows."""
+    sf = _corpus_of(spark, tmp_path, 60)
+    names = ("e7_side_resolution", "e11_unfound_tables", "e11_failures", "f5_failure_sample")
+    with monkeypatch.context() as m:
+        m.setattr(P.QF, "build_query_facts", _not_needed)
+        m.setattr(P.C, "build_catalog", _not_needed)
+        with monkeypatch.context() as m2:
+            m2.setattr(P.C, "build_names", _not_needed)
+            assert P.e7_side_resolution(spark, sf).count() > 0
+        narrow = {n: sorted(map(str, getattr(P, n)(spark, sf).collect())) for n in names}
+    onward, alone = P.query_facts(spark, sf), QF.build_query_facts(S.query_statements(P.scripts(spark, sf)), P.catalog(spark, sf))
+    assert onward.conditions is P._made(spark, sf, "conditions").conditions
+    for name in vars(alone):
+        rows = [sorted(map(str, getattr(q, name).collect())) for q in (onward, alone)]
+        assert rows[0] and rows[0] == rows[1], name
+    for name in names:
+        assert narrow[name] and sorted(map(str, getattr(P, name)(spark, sf).collect())) == narrow[name], name
