@@ -151,3 +151,21 @@ def test_script_folders_stand_on_shelves(spark):
     made = [f for f in os.listdir(shared) if f not in before and f.startswith("scripts-")]
     tops = [f for f in os.listdir(f"{shared}/{made[0]}") if not f.startswith(("_", "."))]
     assert len(made) == 1 and 1 < len(tops) <= P.SHELVES and all(f.startswith("shelf=") for f in tops)
+
+
+def test_tasks_write_script_files_as_sparks_writer_does(spark, tmp_path):
+    """Tasks write the same lines into the same folders as Spark's writer, without its checksum files; a second attempt changes nothing."""
+    rows = spark.createDataFrame([(n % 3, str(n), line) for n in range(20) for line in (b"a\nb \xe9" * n, None if n % 2 else b"\xc3\xa9")],
+                                 "shelf int, name string, line binary")
+    plain = rows.select("shelf", "name", F.col("line").cast("string").alias("value")).repartition("shelf")
+    plain.write.partitionBy("shelf", "name").text(str(tmp_path / "spark"))
+    for _ in range(2):
+        P._write_scripts(rows, str(tmp_path / "tasks"))
+
+    def contents(folder):
+        return {tuple(f.relative_to(folder).parts[:2]): sorted(f.read_bytes().split(b"\n")) for f in folder.glob("shelf=*/name=*/*.txt")}
+
+    assert len(contents(tmp_path / "tasks")) == 20 and contents(tmp_path / "tasks") == contents(tmp_path / "spark")
+    assert sum(f.is_file() for f in (tmp_path / "tasks").rglob("*")) == 20
+    read = {r.file_id.rsplit("/", 1)[0]: r.text for r in R.read_scripts(spark, str(tmp_path / "tasks"), "*.txt").collect()}
+    assert read["shelf=2/name=2"].encode("latin-1").count(b"\n") == 4 and len(read) == 20
