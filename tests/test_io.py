@@ -169,3 +169,13 @@ def test_tasks_write_script_files_as_sparks_writer_does(spark, tmp_path):
     assert sum(f.is_file() for f in (tmp_path / "tasks").rglob("*")) == 20
     read = {r.file_id.rsplit("/", 1)[0]: r.text for r in R.read_scripts(spark, str(tmp_path / "tasks"), "*.txt").collect()}
     assert read["shelf=2/name=2"].encode("latin-1").count(b"\n") == 4 and len(read) == 20
+
+
+def test_manifest_query_makes_one_file_for_each_script(spark):
+    """The scripts that the manifest is held against are written as one file each: no checksum stands beside it."""
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    found = P.a2_manifest_files(spark, "/root/testdata/sf0.001").count()
+    made = [f for f in os.listdir(shared) if f not in before and f.startswith("scripts-")]
+    files = [f for folder, _, names in os.walk(f"{shared}/{made[0]}") for f in names if "name=" in folder]
+    assert len(made) == 1 and len(files) == found > 0
