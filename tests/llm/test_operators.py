@@ -427,6 +427,67 @@ def test_lm_learns_from_the_third_previous_token(spark):  # noqa: F811
     assert held and all(r.score > r.base_score + 0.3 * r.n_tokens for r in held)
 
 
+def lm_brute_force(rows):
+    """Scores of a model whose classes do not look at the context: of each token its class's share, its frequency in the class, and what
+    the previous token and the previous two make of that."""
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    lists = [[lm_scoring._END if w is None else np.uint64(xxhash.xxh3_64_intdigest(w)) for w in
+              [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None]] for _, t in rows]
+    count = Counter(w for (i, _), ws in zip(rows, lists) if not fold(i) for w in ws)
+    alone = np.sort(np.array(sorted(count, key=lambda w: (-count[w], w.astype(np.int64)))[:lm_scoring.ALONE], np.uint64))
+    kind = {w: int(lm_scoring.classes_of(np.array([w]), alone)[0]) for ws in lists for w in ws}
+    sums, types = Counter(), Counter()
+    for w, c in count.items():
+        sums[kind[w]] += c
+        types[kind[w]] += 1
+    pairs, cells = Counter(), Counter()
+    before = lambda ws, p, k: tuple(ws[p - j] if p >= j else lm_scoring._END for j in range(1, k + 1))
+    for (i, _), ws in zip(rows, lists):
+        for p, w in enumerate(ws):
+            if not fold(i) and kind[w] >= len(alone):
+                for k in (1, 2):
+                    pairs[before(ws, p, k), w] += 1
+                    cells[before(ws, p, k), kind[w]] += 1
+    out = []
+    for (i, _), ws in zip(rows, lists):
+        log = 0.0
+        for p, w in enumerate(ws):
+            log += np.log10((sums[kind[w]] + 1) / (sum(sums.values()) + len(alone) + lm_scoring.GROUPS))
+            if kind[w] >= len(alone):
+                share = (count[w] + 1) / (sums[kind[w]] + types[kind[w]] + 1)
+                for k in (1, 2):
+                    share = (pairs[before(ws, p, k), w] + lm_scoring.PRIOR * share) / (cells[before(ws, p, k), kind[w]] + lm_scoring.PRIOR)
+                log += np.log10(share)
+        out.append((str(i), round(log, 3)))
+    return sorted(out)
+
+
+def test_lm_context_inside_a_class(spark):  # noqa: F811
+    """Also the token inside its class depends on the tokens before it, counted over all blocks: against brute force, with repeated
+    rows, null ids and texts, texts of other blocks and two blocks that are the same."""
+    rng = random.Random(21)
+    some = [(i, words(rng, rng.randint(1, 60), 150)) for i in range(60)]
+    some += [(None, None), (3, ""), (7, None), (None, "w1 w2 w1 w2"), *some[:5], (200, "w3 W3 never\tseen")]
+    d = spark.createDataFrame(some, "doc_id long, text string").repartition(4)
+    d = d.union(spark.createDataFrame([(9, "w5 w6 w7"), (10, "w6 w5")], "doc_id long, text string").coalesce(1))
+    d = d.union(spark.createDataFrame([(9, "w5 w6 w7"), (10, "w6 w5")], "doc_id long, text string").coalesce(1))
+    rows = some + 2 * [(9, "w5 w6 w7"), (10, "w6 w5")]
+    got = lm_scoring.scores(d, passes=0).collect()
+    assert len(got) == len(rows)
+    for (i, a), (j, b) in zip(sorted((str(r.doc_id), round(r.score, 3)) for r in got), lm_brute_force(rows)):
+        assert i == j and abs(a - b) < 0.01
+
+
+def test_lm_shares_inside_a_class_add_up():
+    """After any context the tokens of a class and its unknown token have all of its probability."""
+    counts, kind = np.array([5, 1, 9, 0]), np.zeros(4, int)  # the last one is unknown
+    inside = np.array([counts.sum() + 3 + 1.0])
+    contexts = [(np.array([4, 0, 2, 0]), np.full(4, 6)), (np.array([1, 0, 0, 0]), np.full(4, 1))]
+    for given in ([], contexts[:1], contexts):
+        share = 10 ** lm_scoring._inside(counts, kind, inside, given) * (counts + 1) / inside[0]
+        assert abs(share.sum() - 1) < 1e-12
+
+
 def test_quality(spark, nothing):  # noqa: F811
     rng = random.Random(4)
     good = lambda: ". ".join(words(rng, 9, 3000).capitalize() for _ in range(8)) + "."
